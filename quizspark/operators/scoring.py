@@ -175,11 +175,16 @@ def option_perplexity(token_logprobs: DataFrame, keys=("question_index",)) -> Da
     return token_logprobs.groupBy(*keys, "option").agg((-F.avg("logprob")).alias("mean_nll"))
 
 
-def min_perplexity_choice(token_logprobs: DataFrame, keys=("question_index",), letters=LETTERS) -> DataFrame:
+def min_perplexity_choice(token_logprobs: DataFrame, keys=("question_index",), letters=LETTERS,
+                          tie_digits: int | None = 12) -> DataFrame:
     """Predicted letter = option with the lowest mean NLL (ties to the lowest
     letter); one aggregation per question computes all options at once.
     ``n_tied`` reports exact ties at the minimum (e.g. truncated prompts)."""
-    per = [(-F.avg(F.when(F.col("option") == x, F.col("logprob")))).alias(x) for x in letters]
+    def mean_nll(x):
+        v = -F.avg(F.when(F.col("option") == x, F.col("logprob")))
+        # equal means computed in a different order differ in the last bits
+        return (F.round(v, tie_digits) if tie_digits is not None else v).alias(x)
+    per = [mean_nll(x) for x in letters]
     wide = token_logprobs.groupBy(*keys).agg(*per)
     structs = [F.struct(F.col(x).alias("v"), F.lit(i).alias("i")) for i, x in enumerate(letters)]
     # least() ignores NULL structs only when the struct itself is NULL: make

@@ -178,3 +178,208 @@ def q_batch_assignment(spark, sf):
 def q_step_plan(spark, sf):
     o = O.order_blocked(I.training(spark, sf))
     return O.step_plan(o, 4, 2).select("question_index", "position", "step")
+
+
+# --- prompts ---------------------------------------------------------------
+
+from quizspark.functions import prompts as P  # noqa: E402
+from quizspark.functions.text import word_count  # noqa: E402
+from quizspark.operators import filters as Fl  # noqa: E402
+from quizspark.operators import stats as St  # noqa: E402
+
+
+@query("format_baseline_prompt")
+def q_format_baseline_prompt(spark, sf):
+    q = I.questions(spark, sf)
+    return q.select("question_index", P.baseline_prompt().alias("question"), P.shuffled_answer().alias("answer"))
+
+
+@query("shuffle_options")
+def q_shuffle_options(spark, sf):
+    q = I.questions(spark, sf).withColumn("shuffle", P.hash_shuffle("question_index", seed=0))
+    return q.select("question_index", P.baseline_prompt(shuffle=F.col("shuffle")).alias("question"),
+                    P.shuffled_answer(shuffle=F.col("shuffle")).alias("answer"),
+                    F.array_join(F.col("shuffle").cast("array<string>"), ",").alias("shuffle"))
+
+
+@query("format_scoring_prompt")
+def q_format_scoring_prompt(spark, sf):
+    return I.questions(spark, sf).select("question_index", P.scoring_prompt().alias("question"))
+
+
+@query("format_train_prompt")
+def q_format_train_prompt(spark, sf):
+    q = I.questions(spark, sf)
+    return q.select("question_index", P.train_prompt(q, fine_tune=True).alias("text"))
+
+
+@query("format_test_prompt")
+def q_format_test_prompt(spark, sf):
+    q = I.questions(spark, sf).drop("E")
+    return q.select("question_index", P.train_prompt(q, fine_tune=False).alias("text"))
+
+
+@query("completion_split")
+def q_completion_split(spark, sf):
+    q = I.questions(spark, sf)
+    t = q.select("question_index", P.train_prompt(q, fine_tune=True).alias("text"))
+    cols = P.completion_split("text")
+    return t.select("question_index", *[c.alias(n) for n, c in cols.items()])
+
+
+@query("word_count")
+def q_word_count(spark, sf):
+    return fx.prompts(spark, sf).select("question_index", word_count("prompt").alias("n_words"))
+
+
+def _shuffled_run(spark, sf):
+    r = I.responses(spark, sf).where(F.col("model") == "m2").withColumn("shuffle", fx.shuffle_slots())
+    return St.shuffle_responses(r)
+
+
+@query("unshuffle_responses")
+def q_unshuffle_responses(spark, sf):
+    u = St.unshuffle_responses(_shuffled_run(spark, sf))
+    return u.select("question_index", "response", "correct_answer", F.array_join("top3", ",").alias("top3"))
+
+
+@query("shuffle_agreement")
+def q_shuffle_agreement(spark, sf):
+    base = I.responses(spark, sf).where(F.col("model") == "m1")
+    return rounded(St.shuffle_agreement(base, St.unshuffle_responses(_shuffled_run(spark, sf))))
+
+
+# --- evaluation ------------------------------------------------------------
+
+@query("option_perplexity")
+def q_option_perplexity(spark, sf):
+    return rounded(S.option_perplexity(fx.token_logprobs(spark, sf)))
+
+
+@query("min_perplexity_choice")
+def q_min_perplexity_choice(spark, sf):
+    return S.min_perplexity_choice(fx.token_logprobs(spark, sf))
+
+
+def _attached(spark, sf):
+    preds = S.min_perplexity_choice(fx.token_logprobs(spark, sf)).select("question_index", "Prediction")
+    test = I.questions(spark, sf).select("question_index", "Category", "Answer")
+    return J.attach_predictions(test, preds)
+
+
+@query("attach_predictions")
+def q_attach_predictions(spark, sf):
+    return _attached(spark, sf)
+
+
+@query("eval_metrics")
+def q_eval_metrics(spark, sf):
+    return rounded(S.eval_metrics(_attached(spark, sf), "Answer", "Prediction"))
+
+
+# --- filters and sources ---------------------------------------------------
+
+@query("category_filter")
+def q_category_filter(spark, sf):
+    return Fl.category_filter(I.responses(spark, sf), "2-HIGH").select("question_index", "model", "response")
+
+
+@query("correct_filter")
+def q_correct_filter(spark, sf):
+    return Fl.correct_filter(I.responses(spark, sf)).select("question_index", "model")
+
+
+@query("limit_questions")
+def q_limit_questions(spark, sf):
+    return Fl.limit_questions(I.questions(spark, sf), 100_000).select("question_index", "prompt")
+
+
+@query("distinct_prompts")
+def q_distinct_prompts(spark, sf):
+    d = Fl.distinct_prompts(fx.prompts(spark, sf))
+    return d.select("first_index", "n_copies", F.md5("prompt").alias("prompt_md5"))
+
+
+@query("normalise_nested")
+def q_normalise_nested(spark, sf):
+    n = Fl.normalise_nested(fx.nested_mcq(I.questions(spark, sf)))
+    return n.select("question_index", "prompt", "A", "B", "C", "D", "E", "Answer")
+
+
+@query("normalise_flat")
+def q_normalise_flat(spark, sf):
+    n = Fl.normalise_flat(fx.flat_mcq(I.questions(spark, sf)))
+    return n.select("question_index", "prompt", "A", "B", "C", "D", "Answer")
+
+
+@query("join_on_text")
+def q_join_on_text(spark, sf):
+    r = I.responses(spark, sf).drop("question_index", "Category")
+    q = I.questions(spark, sf).select("question_index", P.scoring_prompt().alias("question"))
+    return J.join_on_text(r, q).select("question_index", "model", "response")
+
+
+@query("human_and_models")
+def q_human_and_models(spark, sf):
+    r = I.responses(spark, sf)
+    models = S.accuracy_by_model(r).join(S.expected_accuracy_by_model(r), "model") \
+        .select(F.col("model").alias("name"), F.col("n_correct").cast("double").alias("n_correct"),
+                "raw_accuracy", "expected_correct", "expected_accuracy")
+    human = S.human_baseline(I.master_questions(spark, sf)).where(F.col("Category") == "All") \
+        .select(F.lit("Human").alias("name"), "n_correct", "raw_accuracy", "expected_correct", "expected_accuracy")
+    return rounded(human.unionByName(models))
+
+
+# Fixed value of the fixture: report order of categories (one absent).
+CATEGORY_ORDER = ["5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT", "0-NONE", "All"]
+
+
+@query("ordered_category_table")
+def q_ordered_category_table(spark, sf):
+    t = q_accuracy_by_category(spark, sf)
+    order = spark.createDataFrame([(i, c) for i, c in enumerate(CATEGORY_ORDER)], "sort_order int, Category string")
+    return order.join(t, "Category", "left")
+
+
+# The reference's model registry (name, context window).
+MODEL_REGISTRY = [
+    ("Mistral_8x7B", 32768), ("Meditron_7B", 4096), ("Meditron_70B", 4096), ("Llama_2_7B", 4096),
+    ("Llama_2_13B", 4096), ("Llama_2_70B", 4096), ("Gemma_7B", 8192), ("Jamba", 256000), ("DBRX", 32768),
+]
+
+
+@query("context_cap")
+def q_context_cap(spark, sf):
+    q = I.questions(spark, sf).select(P.baseline_prompt().alias("question"))
+    reg = spark.createDataFrame(MODEL_REGISTRY, "model string, context long")
+    return S.context_cap(q, reg, "question")
+
+
+# --- statistics ------------------------------------------------------------
+
+@query("difficulty_corr")
+def q_difficulty_corr(spark, sf):
+    joined = J.join_on_index(I.responses(spark, sf), I.master_questions(spark, sf))
+    return rounded(St.difficulty_correlations(joined))
+
+
+@query("pairwise_corr")
+def q_pairwise_corr(spark, sf):
+    return rounded(St.pairwise_correlations(I.responses(spark, sf), I.MODELS))
+
+
+@query("best_peer")
+def q_best_peer(spark, sf):
+    return St.best_peer(rounded(St.pairwise_correlations(I.responses(spark, sf), I.MODELS)))
+
+
+@query("calibration")
+def q_calibration(spark, sf):
+    return rounded(St.calibration(I.responses(spark, sf)))
+
+
+@query("length_regression")
+def q_length_regression(spark, sf):
+    # questions are whole documents, so ln(word count) varies
+    r = fx.responses_for(fx.document_questions(fx.table(spark, sf, "documents")))
+    return rounded(St.length_regression(r, "question"), 6)

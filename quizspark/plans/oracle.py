@@ -249,6 +249,170 @@ FROM ({_ORDER_SQL["order_blocked"]})""",
 SQL.update(_ORDER_SQL)
 
 
+# --- batch 2: prompts, evaluation, filters, statistics ---------------------
+
+def _lit(s: str) -> str:
+    """SQL string literal; newlines become chr(10)."""
+    parts = s.split("\n")
+    quoted = ["'" + p.replace("'", "''") + "'" for p in parts]
+    return " || chr(10) || ".join(quoted)
+
+
+_INSTR = "Answer the following multiple choice question by giving the most appropriate response."
+_BASE_HEAD = _INSTR + " The answer should be one of ['A', 'B', 'C', 'D', 'E']. Question: "
+_SCORE_HEAD = _INSTR + " The answer should be one of [A, B, C, D, E]. Question: "
+_TRAIN5 = _INSTR + " Answer should be one among [A, B, C, D, E].\n\nQuestion: "
+_TRAIN4 = _INSTR + " Answer should be one among [A, B, C, D].\n\nQuestion: "
+_OPT = "CASE i WHEN 0 THEN A WHEN 1 THEN B WHEN 2 THEN C WHEN 3 THEN D ELSE E END"
+_LET = "substr('ABCDE', cast({x} AS int) + 1, 1)"
+_IDX = "(strpos('ABCDE', {x}) - 1)"
+
+
+def _train_sql(fine_tune: bool, five: bool) -> str:
+    letters = "ABCDE" if five else "ABCD"
+    opts = " || ".join(f"{_lit(chr(10) + x + ') ')} || {x}" for x in letters)
+    ans = " || Answer" if fine_tune else ""
+    return f"{_lit(_TRAIN5 if five else _TRAIN4)} || prompt || {opts} || {_lit(chr(10) + chr(10) + '### Answer: ')}{ans}"
+
+
+_NLL = """
+, nll AS (SELECT question_index, option, k, round(-avg(logprob), 12) AS v FROM token_logprobs_v GROUP BY question_index, option, k),
+pick AS (SELECT question_index, max(option) FILTER (WHERE rn = 1) AS Prediction,
+                cast(count(*) FILTER (WHERE v = vmin) AS int) AS n_tied
+         FROM (SELECT *, row_number() OVER (PARTITION BY question_index ORDER BY v, k) AS rn,
+                      min(v) OVER (PARTITION BY question_index) AS vmin FROM nll) t
+         GROUP BY question_index),
+att AS (SELECT q.question_index, q.Category, q.Answer, p.Prediction
+        FROM questions_v q LEFT JOIN pick p ON p.question_index = q.question_index)"""
+
+_UNSHUF = """
+, slots AS (SELECT question_index, option, k, cll, correct_answer,
+                   ((k - question_index) % 5 + 5) % 5 AS slot FROM resp_long_v WHERE model = 'm2'),
+unr AS (SELECT question_index, max(correct_answer) AS correct_answer,
+               max(option) FILTER (WHERE rn = 1) AS response,
+               string_agg(option, ',' ORDER BY rn) FILTER (WHERE rn <= 3) AS top3
+        FROM (SELECT *, row_number() OVER (PARTITION BY question_index ORDER BY cll DESC, slot) AS rn FROM slots) t
+        GROUP BY question_index)"""
+
+_PAIRS = """
+, pc AS (SELECT question_index, model, exp(cll) AS p FROM resp_long_v WHERE option = correct_answer),
+pairs AS (SELECT a.model AS m1, b.model AS m2, corr(a.p, b.p) AS r, count(*) AS n
+          FROM pc a JOIN pc b ON a.question_index = b.question_index GROUP BY a.model, b.model)"""
+
+_SHUF_PERM = """
+, perm AS (SELECT question_index, i,
+                  row_number() OVER (PARTITION BY question_index
+                                     ORDER BY md5('0:' || cast(question_index AS varchar) || ':' || cast(i AS varchar)), i) - 1 AS slot
+           FROM questions_v CROSS JOIN (SELECT cast(range AS int) AS i FROM range(5)) r)"""
+
+SQL.update({
+    "format_baseline_prompt": f"""
+SELECT question_index, {_lit(_BASE_HEAD)} || prompt || ' A) ' || A || ' B) ' || B || ' C) ' || C || ' D) ' || D || ' E) ' || E
+       AS question, Answer AS answer FROM questions_v""",
+    "shuffle_options": _SHUF_PERM + f"""
+SELECT p.question_index,
+       {_lit(_BASE_HEAD)} || max(q.prompt) || ' ' ||
+         string_agg({_LET.format(x='p.slot')} || ') ' || ({_OPT.replace('i ', 'p.i ')}), ' ' ORDER BY p.slot) AS question,
+       max({_LET.format(x='p.slot')}) FILTER (WHERE p.i = {_IDX.format(x='q.Answer')}) AS answer,
+       string_agg(cast(p.i AS varchar), ',' ORDER BY p.slot) AS shuffle
+FROM perm p JOIN questions_v q ON q.question_index = p.question_index
+GROUP BY p.question_index""",
+    "format_scoring_prompt": f"""
+SELECT question_index, {_lit(_SCORE_HEAD)} || prompt || ' A) ' || A || ' B) ' || B || ' C) ' || C || ' D) ' || D || ' E) ' || E
+       AS question FROM questions_v""",
+    "format_train_prompt": f"SELECT question_index, {_train_sql(True, True)} AS text FROM questions_v",
+    "format_test_prompt": f"SELECT question_index, {_train_sql(False, False)} AS text FROM questions_v",
+    "completion_split": f"""
+SELECT question_index, left(text, length(text) - length(string_split(text, 'Answer:')[-1])) AS prompt_part,
+       string_split(text, 'Answer:')[-1] AS completion, strpos(text, 'Answer:') > 0 AS has_marker,
+       cast(len(regexp_extract_all(text, '\\S+')) AS bigint) AS n_words
+FROM (SELECT question_index, {_train_sql(True, True)} AS text FROM questions_v) t""",
+    "word_count": r"""
+SELECT question_index, cast(len(regexp_extract_all(prompt, '\S+')) AS bigint) AS n_words FROM prompts_v""",
+    "unshuffle_responses": _UNSHUF + "\nSELECT question_index, response, correct_answer, top3 FROM unr",
+    "shuffle_agreement": _UNSHUF + """
+, j AS (SELECT coalesce(u.response = u.correct_answer, false) AS uc, coalesce(b.response = b.correct_answer, false) AS bc
+        FROM unr u JOIN predictions_v b ON b.question_index = u.question_index AND b.model = 'm1')
+SELECT count(*) FILTER (WHERE uc AND bc) AS n_both_correct, count(*) FILTER (WHERE uc AND NOT bc) AS n_unrand_only,
+       count(*) FILTER (WHERE NOT uc AND bc) AS n_base_only, count(*) FILTER (WHERE NOT uc AND NOT bc) AS n_both_wrong,
+       round(count(*) FILTER (WHERE uc = bc) / count(*), 9) AS diagonal_share FROM j""",
+    "option_perplexity": """
+SELECT question_index, option, round(-avg(logprob), 9) AS mean_nll FROM token_logprobs_v GROUP BY question_index, option""",
+    "min_perplexity_choice": _NLL + "\nSELECT question_index, Prediction, n_tied FROM pick",
+    "attach_predictions": _NLL + "\nSELECT question_index, Category, Answer, Prediction FROM att",
+    "eval_metrics": _NLL + """,
+lab AS (SELECT Answer AS label, 1 AS is_true, 0 AS is_pred, CASE WHEN coalesce(Answer = Prediction, false) THEN 1 ELSE 0 END AS tp FROM att
+        UNION ALL SELECT Prediction, 0, 1, 0 FROM att),
+per AS (SELECT label, sum(is_true) AS s, sum(is_pred) AS p, sum(tp) AS tp FROM lab GROUP BY label)
+SELECT round(sum(tp) / sum(s), 9) AS Accuracy,
+       round(sum(s * CASE WHEN s + p > 0 THEN CAST(2 AS DOUBLE) * tp / (s + p) ELSE 0 END) / sum(s), 9) AS "F1 Score"
+FROM per""",
+    "category_filter": "SELECT question_index, model, response FROM predictions_v WHERE Category = '2-HIGH'",
+    "correct_filter": "SELECT question_index, model FROM predictions_v WHERE coalesce(correct_answer = response, false)",
+    "limit_questions": "SELECT question_index, prompt FROM questions_v ORDER BY question_index LIMIT 100000",
+    "distinct_prompts": """
+SELECT min(question_index) AS first_index, count(*) AS n_copies, md5(prompt) AS prompt_md5
+FROM prompts_v WHERE prompt IS NOT NULL GROUP BY prompt""",
+    "normalise_nested": "SELECT question_index, prompt, A, B, C, D, E, Answer FROM questions_v",
+    "normalise_flat": """
+SELECT question_index, prompt, A, B, C, D, substr('ABCD', cast(question_index % 4 AS int) + 1, 1) AS Answer FROM questions_v""",
+    "join_on_text": "SELECT question_index, model, response FROM predictions_v",
+    "human_and_models": """
+SELECT 'Human' AS name, round(coalesce(sum(h.pct / 100), 0), 9) AS n_correct,
+       round(coalesce(sum(h.pct / 100), 0) / count(*), 9) AS raw_accuracy,
+       round(coalesce(sum(h.pct / 100), 0), 9) AS expected_correct,
+       round(coalesce(sum(h.pct / 100), 0) / count(*), 9) AS expected_accuracy
+FROM questions_v q LEFT JOIN human_v h ON h.question_index = q.question_index AND h.option = q.Answer
+UNION ALL
+SELECT p.model, cast(count(*) FILTER (WHERE coalesce(p.correct_answer = p.response, false)) AS double),
+       round(count(*) FILTER (WHERE coalesce(p.correct_answer = p.response, false)) / count(*), 9),
+       round(sum(exp(l.cll)), 9), round(sum(exp(l.cll)) / count(*), 9)
+FROM predictions_v p JOIN resp_long_v l ON l.question_index = p.question_index AND l.model = p.model
+     AND l.option = l.correct_answer
+GROUP BY p.model""",
+    "context_cap": """
+, reg AS (SELECT * FROM (VALUES ('Mistral_8x7B', 32768), ('Meditron_7B', 4096), ('Meditron_70B', 4096),
+                                ('Llama_2_7B', 4096), ('Llama_2_13B', 4096), ('Llama_2_70B', 4096),
+                                ('Gemma_7B', 8192), ('Jamba', 256000), ('DBRX', 32768)) AS r(model, context)),
+mx AS (SELECT max(length(""" + f"{_lit(_BASE_HEAD)} || prompt || ' A) ' || A || ' B) ' || B || ' C) ' || C || ' D) ' || D || ' E) ' || E" + """)) AS m FROM questions_v)
+SELECT reg.model, cast(reg.context AS bigint) AS context, cast(least(mx.m, reg.context) AS bigint) AS max_length
+FROM reg CROSS JOIN mx""",
+    "difficulty_corr": """
+, j AS (SELECT l.model, exp(l.cll) AS p, q.IOD, q.MD, h.pct AS hp
+        FROM resp_long_v l JOIN questions_v q ON q.question_index = l.question_index
+        LEFT JOIN human_v h ON h.question_index = q.question_index AND h.option = q.Answer
+        WHERE l.option = l.correct_answer),
+c AS (SELECT model, count(*) AS n, corr(IOD, p) AS iod, corr(MD, p) AS di, corr(hp, p) AS hum FROM j GROUP BY model)
+SELECT model, n, 'IOD' AS metric, round(iod, 9) AS r FROM c
+UNION ALL SELECT model, n, 'DI', round(di, 9) FROM c
+UNION ALL SELECT model, n, 'Human', round(hum, 9) FROM c""",
+    "pairwise_corr": _PAIRS + "\nSELECT m1, m2, round(r, 9) AS r, n FROM pairs",
+    "best_peer": _PAIRS + """
+SELECT m1 AS model, m2 AS best_peer, r FROM
+  (SELECT m1, m2, round(r, 9) AS r, row_number() OVER (PARTITION BY m1 ORDER BY round(r, 9) DESC, m2 DESC) AS rn
+   FROM pairs WHERE m1 <> m2) t WHERE rn = 1""",
+    "calibration": """
+, y AS (SELECT l.question_index, l.model, exp(max(l.cll)) AS y FROM resp_long_v l GROUP BY l.question_index, l.model),
+g AS (SELECT y.model, avg(y.y) FILTER (WHERE c) AS p1, count(*) FILTER (WHERE c) AS n1,
+             avg(y.y) FILTER (WHERE NOT c) AS p0, count(*) FILTER (WHERE NOT c) AS n0
+      FROM y JOIN (SELECT question_index, model, coalesce(correct_answer = response, false) AS c FROM predictions_v) p
+           ON p.question_index = y.question_index AND p.model = y.model
+      GROUP BY y.model)
+SELECT model, round(ln(p0 / (1 - p0)), 9) AS intercept, round(ln(p1 / (1 - p1)) - ln(p0 / (1 - p0)), 9) AS slope,
+       round(sqrt(1 / (n1 * p1 * (1 - p1)) + 1 / (n0 * p0 * (1 - p0))), 9) AS se,
+       round((ln(p1 / (1 - p1)) - ln(p0 / (1 - p0))) / sqrt(1 / (n1 * p1 * (1 - p1)) + 1 / (n0 * p0 * (1 - p0))), 9) AS z
+FROM g""",
+})
+
+_oc = _category_sql("raw").strip("\n")
+SQL["ordered_category_table"] = _oc.replace(
+    "\nSELECT cnt.Category, cnt.Count,",
+    ",\nord AS (SELECT * FROM (VALUES (0, '5-LOW'), (1, '4-NOT SPECIFIED'), (2, '3-MEDIUM'), (3, '2-HIGH'), "
+    "(4, '1-URGENT'), (5, '0-NONE'), (6, 'All')) AS o(sort_order, Category)),\n"
+    "tab AS (SELECT cnt.Category, cnt.Count,", 1) + ")\nSELECT ord.Category, cast(ord.sort_order AS int) AS sort_order, " \
+    "tab.Count, tab.m1, tab.m2, tab.m3, tab.m4, tab.Human FROM ord LEFT JOIN tab ON tab.Category = ord.Category"
+
+
 def oracle_sql() -> dict[str, str]:
     out = {}
     for k, body in SQL.items():

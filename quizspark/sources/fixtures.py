@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizspark.functions.arrays import argmax_letter, log_softmax, top_k_letters
+from quizspark.functions.prompts import scoring_prompt
 from quizspark.schema import LETTERS
 
 # Fixed values of the test fixture: model names with their numeric ids.
@@ -49,6 +50,30 @@ def questions(orders: DataFrame) -> DataFrame:
     )
 
 
+def document_questions(documents: DataFrame) -> DataFrame:
+    """Questions whose prompt is a whole document text (lengths vary from a
+    few words to tens of thousands): same columns as :func:`questions`."""
+    k, c = F.col("doc_id"), F.col("n_chars")
+    mods = {"A": 7, "B": 11, "C": 13, "D": 17, "E": 19}
+    return documents.select(
+        k.alias("question_index"), F.col("text").alias("prompt"), F.col("source").alias("Category"),
+        F.substr(F.lit("ABCDE"), (k % 5).cast("int") + 1, F.lit(1)).alias("Answer"),
+        *[F.concat(F.lit(x.lower()), (c % m).cast("string")).alias(x) for x, m in mods.items()],
+        (((k * 7) % 1000).cast("double") / 1000).alias("IOD"),
+        (((k * 11 + c) % 1000).cast("double") / 1000).alias("MD"),
+    )
+
+
+def responses_for(q: DataFrame) -> DataFrame:
+    """Model responses for any question table (see :func:`responses`)."""
+    lg = logits(q)
+    return lg.select(
+        "question_index", "Category", F.col("prompt").alias("question"), "correct_answer", "model",
+        F.array(*[F.lit(i) for i in range(5)]).alias("shuffle"),
+        argmax_letter("logits").alias("response"), top_k_letters("logits", 3).alias("top3"),
+        log_softmax("logits", 5).alias("clls"))
+
+
 def with_human(q: DataFrame) -> DataFrame:
     """Adds %A..%E: the share (percent) of humans choosing each option."""
     w = [((_qi() * 13 + i * 29) % 97 + 1).cast("double") for i in range(5)]
@@ -61,9 +86,11 @@ def master_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logits(q: DataFrame) -> DataFrame:
-    """One row per (question, model): the five choice logits as an array."""
+    """One row per (question, model): the five choice logits as an array;
+    ``prompt`` is the rendered scoring prompt the model saw."""
     m = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.lit(i).alias("mid")) for n, i in MODELS])).alias("m")
-    exploded = q.select("question_index", "Category", "prompt", F.col("Answer").alias("correct_answer"), m)
+    exploded = q.select("question_index", "Category", scoring_prompt().alias("prompt"),
+                        F.col("Answer").alias("correct_answer"), m)
     arr = F.array(*[
         ((_qi() * 31 + F.col("m.mid") * 17 + i * 7
           + F.when(F.lit(x) == F.col("correct_answer"), 40).otherwise(0)) % 101).cast("double") / 20
@@ -77,11 +104,14 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     question_index, Category, question, correct_answer, model, shuffle,
     response, top3, clls."""
     lg = logits(questions(table(spark, sf_dir, "orders")))
-    scored = lg.select(
+    # log-softmax is monotonic: response / top3 come straight from the logits
+    # (ties identical), which keeps the generated code small when a filter on
+    # ``response`` is pushed down into this projection.
+    return lg.select(
         "question_index", "Category", F.col("prompt").alias("question"), "correct_answer", "model",
         F.array(*[F.lit(i) for i in range(5)]).alias("shuffle"),
+        argmax_letter("logits").alias("response"), top_k_letters("logits", 3).alias("top3"),
         log_softmax("logits", 5).alias("clls"))
-    return scored.select("*", argmax_letter("clls").alias("response"), top_k_letters("clls", 3).alias("top3"))
 
 
 def token_logprobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,10 +127,24 @@ def token_logprobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("question_index", "option", "k", "tok", lp.alias("logprob"))
 
 
-def shuffle_slots(q: DataFrame) -> DataFrame:
+def shuffle_slots(key: str = "question_index"):
     """Option permutation as an array: shuffle[slot] = original option index,
     slot s shows original option (s + key) % 5."""
-    return q.select("question_index", F.array(*[((F.lit(s) + _qi()) % 5).cast("int") for s in range(5)]).alias("shuffle"))
+    return F.array(*[((F.lit(s) + F.col(key)) % 5).cast("int") for s in range(5)])
+
+
+def nested_mcq(q: DataFrame) -> DataFrame:
+    """Questions in the nested layout: question, answer_idx, options[{key, value}]."""
+    opts = F.array(*[F.struct(F.lit(x).alias("key"), F.col(x).alias("value")) for x in LETTERS])
+    return q.select("question_index", F.col("prompt").alias("question"), F.col("Answer").alias("answer_idx"),
+                    opts.alias("options"))
+
+
+def flat_mcq(q: DataFrame) -> DataFrame:
+    """Questions in the flat 4-option layout: question, opa..opd, cop."""
+    return q.select("question_index", F.col("prompt").alias("question"), F.col("A").alias("opa"),
+                    F.col("B").alias("opb"), F.col("C").alias("opc"), F.col("D").alias("opd"),
+                    (_qi() % 4).cast("int").alias("cop"))
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
