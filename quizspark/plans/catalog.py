@@ -383,3 +383,58 @@ def q_length_regression(spark, sf):
     # questions are whole documents, so ln(word count) varies
     r = fx.responses_for(fx.document_questions(fx.table(spark, sf, "documents")))
     return rounded(St.length_regression(r, "question"), 6)
+
+
+# --- clustering --------------------------------------------------------------
+
+from quizspark.operators import clustering as C  # noqa: E402
+
+
+def _vectors(spark, sf):
+    return fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+
+
+@query("knn_graph")
+def q_knn_graph(spark, sf):
+    return rounded(C.knn_graph(_vectors(spark, sf), 10, "id", "vec", metric="cosine"))
+
+
+@query("density_clusters")
+def q_density_clusters(spark, sf):
+    g = C.knn_graph(_vectors(spark, sf), 10, "id", "vec", metric="cosine")
+    return rounded(C.density_clusters(g, min_samples=5, min_cluster_size=25))
+
+
+@query("embed_prompts")
+def q_embed_prompts(spark, sf):
+    d = Fl.distinct_prompts(fx.prompts(spark, sf))
+    e = C.embed_prompts(d, "prompt", "embedding")
+    from pyspark.ml.functions import vector_to_array
+    arr = vector_to_array("embedding")
+    return e.select("first_index", F.size(F.filter(arr, lambda x: x != 0)).alias("n_terms"),
+                    F.sqrt(F.aggregate(arr, F.lit(0.0), lambda a, x: a + x * x)).alias("norm")).transform(rounded)
+
+
+@query("reduce_dims")
+def q_reduce_dims(spark, sf):
+    v = C.vectors_from_array(fx.table(spark, sf, "embeddings"), "embedding", "features")
+    from pyspark.ml.functions import vector_to_array
+    r = C.reduce_dims(v, 8, "features", "reduced").select("vec_id", vector_to_array("reduced").alias("r"))
+    return rounded(r.select("vec_id", *[F.get("r", i).alias(f"pc{i + 1}") for i in range(8)]), 6)
+
+
+@query("cluster_score")
+def q_cluster_score(spark, sf):
+    return rounded(C.cluster_score(fx.planted_clusters(spark, sf)))
+
+
+@query("cluster_objective")
+def q_cluster_objective(spark, sf):
+    return rounded(C.cluster_objective(C.cluster_score(fx.planted_clusters(spark, sf))))
+
+
+@query("cluster_search")
+def q_cluster_search(spark, sf):
+    v = C.vectors_from_array(fx.table(spark, sf, "embeddings"), "embedding", "features")
+    trials, _best = C.cluster_search(v, "vec_id", "features", n_trials=100)
+    return rounded(trials)

@@ -413,6 +413,29 @@ SQL["ordered_category_table"] = _oc.replace(
     "tab.Count, tab.m1, tab.m2, tab.m3, tab.m4, tab.Human FROM ord LEFT JOIN tab ON tab.Category = ord.Category"
 
 
+# --- clustering ---------------------------------------------------------------
+
+SQL.update({
+    "knn_graph": """
+, comp AS (SELECT vec_id, cast(unnest(embedding) AS double) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+nrm AS (SELECT vec_id, sqrt(sum(x * x)) AS nx FROM comp GROUP BY vec_id),
+dots AS (SELECT a.vec_id AS id, b.vec_id AS nbr, sum(a.x * b.x) AS dot
+         FROM comp a JOIN comp b ON a.i = b.i AND a.vec_id <> b.vec_id GROUP BY a.vec_id, b.vec_id),
+d AS (SELECT dots.id, dots.nbr, 1 - dot / (na.nx * nb.nx) AS dist
+      FROM dots JOIN nrm na ON na.vec_id = dots.id JOIN nrm nb ON nb.vec_id = dots.nbr),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nbr) AS rank FROM d)
+SELECT id, nbr, round(dist, 9) AS dist, cast(rank AS int) AS rank FROM r WHERE rank <= 10""",
+    "cluster_score": """
+SELECT count(DISTINCT cluster) AS label_count, round(count(*) FILTER (WHERE probability < 0.05) / count(*), 9) AS cost
+FROM clusters_v""",
+    "cluster_objective": """
+, s AS (SELECT count(DISTINCT cluster) AS label_count, count(*) FILTER (WHERE probability < 0.05) / count(*) AS cost
+        FROM clusters_v)
+SELECT label_count, round(cost, 9) AS cost,
+       round(cost + CASE WHEN label_count < 6 OR label_count > 20 THEN 0.20 ELSE 0.0 END, 9) AS loss FROM s""",
+})
+
+
 def oracle_sql() -> dict[str, str]:
     out = {}
     for k, body in SQL.items():
@@ -420,7 +443,7 @@ def oracle_sql() -> dict[str, str]:
         if body.startswith(","):
             # the body continues the WITH list with its own CTEs
             prefix = with_views("SELECT 1 " + body).partition("\nSELECT 1 ")[0]
-            out[k] = prefix + "\n" + body
+            out[k] = (prefix + "\n" + body) if prefix.startswith("WITH ") else "WITH " + body.lstrip(", ")
         else:
             out[k] = with_views(body)
     return out
