@@ -12,11 +12,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quizspark.functions.arrays import nan_to_null
-from quizspark.operators.position import count_groups, global_position, group_bounds, join_small
+from quizspark.operators.position import _PERSISTED, count_groups, global_position, group_bounds, join_small
 
 
 @dataclass(frozen=True)
@@ -164,9 +165,15 @@ ORDERINGS = {
 def all_orderings(df: DataFrame, spec: OrderingSpec = OrderingSpec(), names=None,
                   columns=None) -> DataFrame:
     """Every ordering of ``df`` as one table with an ``ordering`` column.
-    Identical upstream subplans are shuffled once (exchange reuse)."""
+    The base table is persisted once (memory, spilling to disk): the ten
+    orderings and their size checks all read it instead of recomputing the
+    upstream scoring and joins. Released with ``release_positions()``."""
     names = list(names or ORDERINGS)
     columns = list(columns or df.columns)
+    # a cache blocks column pruning: keep only what the orderings read
+    needed = list(dict.fromkeys(columns + [spec.key, spec.category_col, spec.difficulty_col]))
+    df = df.select(*needed).persist(StorageLevel.MEMORY_AND_DISK)
+    _PERSISTED.append(df)
     parts = [ORDERINGS[n](df, spec).select(F.lit(n).alias("ordering"), *columns, "position") for n in names]
     out = parts[0]
     for p in parts[1:]:

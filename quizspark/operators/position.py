@@ -45,7 +45,9 @@ def global_position(df: DataFrame, order_by: list, position_col: str = "position
                     n_partitions: int | None = None) -> DataFrame:
     """Add a 0-based ``position`` following ``order_by`` (Columns with
     asc/desc/nulls ordering, or names). The last sort column should be
-    unique so that positions are deterministic."""
+    unique so that positions are deterministic. The frame is persisted after
+    the range shuffle, and a cache stops column pruning: project ``df`` to
+    the columns you need first."""
     n = _n_partitions(df, n_partitions)
     cols = [F.col(c) if isinstance(c, str) else c for c in order_by]
     ranged = (df.repartitionByRange(n, *cols)

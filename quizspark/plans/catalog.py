@@ -137,7 +137,8 @@ def q_training_table(spark, sf):
 
 def _ordering(name):
     def run(spark, sf):
-        return O.ORDERINGS[name](I.training(spark, sf), O.OrderingSpec()).select("question_index", "position")
+        t = I.training(spark, sf).select("question_index", "cluster_label", "llm_difficulty")
+        return O.ORDERINGS[name](t, O.OrderingSpec()).select("question_index", "position")
     return run
 
 
