@@ -88,10 +88,11 @@ def top_k_letters(clls="clls", k: int = 3, letters=LETTERS) -> Column:
     """Letters of the k highest scores, descending; ties to the lowest letter."""
     arr = _col(clls)
     ordered = F.sort_array(F.array(*_ranked(arr, len(letters))), asc=False)
-    picks = [F.when(F.get(ordered, j)["s"].isNotNull(),
-                    F.get(letters_array(letters), -F.get(ordered, j)["neg"]))
-             for j in range(k)]
-    return F.array_compact(F.array(*picks))
+    # one reference to ``ordered`` (a lambda), so the sort is not repeated
+    # per pick in the generated code
+    la = letters_array(letters)
+    return F.transform(F.filter(F.slice(ordered, 1, k), lambda x: x["s"].isNotNull()),
+                       lambda x: F.get(la, -x["neg"]))
 
 
 def sorted_desc(clls="clls", n: int = 5) -> Column:

@@ -291,3 +291,51 @@ def cluster_search(df: DataFrame, id_col: str = "id", features_col: str = "featu
     scored = tdf.join(scores, "trial")
     best_trial = scored.orderBy("loss", "trial").first()["trial"]
     return scored, clusters.where(F.col("trial") == best_trial).drop("trial")
+
+
+# --- top TF-IDF words per cluster ---------------------------------------------
+
+TOKEN_PATTERN = r"[\pL\pN_]{2,}"  # runs of two or more word characters
+
+
+def top_k_per_group(df: DataFrame, group_cols, order_cols, k: int, tie_col: str, salt_buckets: int = 64) -> DataFrame:
+    """Exact top-k rows per group without one task per group: rank inside
+    (group, hash(tie_col) % salt_buckets) first, keep k per bucket, then rank
+    the at most k * salt_buckets survivors per group."""
+    groups = list(group_cols)
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(tie_col), F.lit(salt_buckets)))
+    w1 = Window.partitionBy(*groups, "_salt").orderBy(*order_cols)
+    local = salted.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= k).drop("_r", "_salt")
+    w2 = Window.partitionBy(*groups).orderBy(*order_cols)
+    return local.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k)
+
+
+def cluster_top_words(df: DataFrame, text_col: str = "prompt", cluster_col: str = "cluster", doc_col: str = "id",
+                      n_top: int = 10, stop_words=None, digits: int | None = 9) -> DataFrame:
+    """Top ``n_top`` unigrams + bigrams of each cluster by summed TF-IDF:
+    lower-cased tokens of 2+ word characters, English stop words removed
+    (Spark's default list) before bigrams are formed, IDF fitted inside the
+    cluster (smooth: ln((1+n)/(1+df)) + 1), each text's TF-IDF row
+    L2-normalised, scores summed over the cluster's texts. Clusters with at
+    most one text get no rows. Ties: lower term first (after rounding the
+    score to ``digits``)."""
+    from pyspark.ml.feature import NGram, StopWordsRemover
+    stop = stop_words or StopWordsRemover.loadDefaultStopWords("english")
+    docs = df.select(F.col(doc_col).alias("doc"), F.col(cluster_col).alias("cluster"),
+                     F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(TOKEN_PATTERN), 0)
+                     .alias("_raw"))
+    docs = StopWordsRemover(inputCol="_raw", outputCol="_tok", stopWords=stop, caseSensitive=True).transform(docs)
+    docs = NGram(n=2, inputCol="_tok", outputCol="_bi").transform(docs)
+    terms = docs.select("doc", "cluster", F.explode(F.concat("_tok", "_bi")).alias("term"))
+    tf = terms.groupBy("cluster", "doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+    n_docs = df.groupBy(F.col(cluster_col).alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
+    dfreq = tf.groupBy("cluster", "term").agg(F.count(F.lit(1)).alias("df"))
+    idf = dfreq.join(n_docs, "cluster").where(F.col("n") > 1).select(
+        "cluster", "term", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    w = tf.join(idf, ["cluster", "term"]).withColumn("w", F.col("tf") * F.col("idf"))
+    norms = w.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    scores = w.join(norms, "doc").groupBy("cluster", "term").agg(F.sum(F.col("w") / F.col("norm")).alias("score"))
+    if digits is not None:
+        scores = scores.withColumn("score", F.round("score", digits))
+    top = top_k_per_group(scores, ["cluster"], [F.col("score").desc(), F.col("term").asc()], n_top, "term")
+    return top.select("cluster", F.col("rank").cast("int").alias("rank"), "term", "score")

@@ -439,3 +439,9 @@ def q_cluster_search(spark, sf):
     v = C.vectors_from_array(fx.table(spark, sf, "embeddings"), "embedding", "features")
     trials, _best = C.cluster_search(v, "vec_id", "features", n_trials=100)
     return rounded(trials)
+
+
+@query("cluster_top_words")
+def q_cluster_top_words(spark, sf):
+    p = fx.prompts(spark, sf)
+    return C.cluster_top_words(p, "prompt", "Category", "question_index")

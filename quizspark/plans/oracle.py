@@ -415,6 +415,39 @@ SQL["ordered_category_table"] = _oc.replace(
 
 # --- clustering ---------------------------------------------------------------
 
+def _spark_english_stop_words() -> list[str]:
+    """Spark's default English stop-word list, read from the MLlib jar that
+    ships with PySpark (no JVM needed)."""
+    import os
+    import zipfile
+
+    import pyspark
+    jars = os.path.join(os.path.dirname(pyspark.__file__), "jars")
+    jar = next(f for f in os.listdir(jars) if f.startswith("spark-mllib_"))
+    with zipfile.ZipFile(os.path.join(jars, jar)) as z:
+        return z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8").split()
+
+
+def _top_words_sql() -> str:
+    stop = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in _spark_english_stop_words()) + "]"
+    return f"""
+, toks AS (SELECT question_index AS doc, Category AS cluster,
+                  list_filter(regexp_extract_all(lower(coalesce(prompt, '')), '[\\pL\\pN_]{{2,}}'),
+                              lambda t: NOT list_contains({stop}, t)) AS t
+           FROM prompts_v),
+terms AS (SELECT doc, cluster, unnest(t || list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS term
+          FROM toks),
+tf AS (SELECT cluster, doc, term, count(*) AS tf FROM terms GROUP BY cluster, doc, term),
+nd AS (SELECT Category AS cluster, count(*) AS n FROM prompts_v GROUP BY Category),
+dfq AS (SELECT cluster, term, count(*) AS df FROM tf GROUP BY cluster, term),
+idf AS (SELECT dfq.cluster, term, ln((n + 1) / (df + 1)) + 1 AS idf FROM dfq JOIN nd ON nd.cluster = dfq.cluster WHERE n > 1),
+w AS (SELECT tf.cluster, tf.doc, tf.term, tf.tf * idf.idf AS w FROM tf JOIN idf ON idf.cluster = tf.cluster AND idf.term = tf.term),
+norms AS (SELECT doc, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc),
+sc AS (SELECT cluster, term, round(sum(w / norm), 9) AS score FROM w JOIN norms ON norms.doc = w.doc GROUP BY cluster, term),
+rk AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, term) AS rank FROM sc)
+SELECT cluster, cast(rank AS int) AS rank, term, score FROM rk WHERE rank <= 10"""
+
+
 SQL.update({
     "knn_graph": """
 , comp AS (SELECT vec_id, cast(unnest(embedding) AS double) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
@@ -425,6 +458,7 @@ d AS (SELECT dots.id, dots.nbr, 1 - dot / (na.nx * nb.nx) AS dist
       FROM dots JOIN nrm na ON na.vec_id = dots.id JOIN nrm nb ON nb.vec_id = dots.nbr),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nbr) AS rank FROM d)
 SELECT id, nbr, round(dist, 9) AS dist, cast(rank AS int) AS rank FROM r WHERE rank <= 10""",
+    "cluster_top_words": _top_words_sql(),
     "cluster_score": """
 SELECT count(DISTINCT cluster) AS label_count, round(count(*) FILTER (WHERE probability < 0.05) / count(*), 9) AS cost
 FROM clusters_v""",
