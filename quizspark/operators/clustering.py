@@ -39,8 +39,10 @@ from quizspark.session import checkpoint_dir
 # --- embeddings ------------------------------------------------------------
 
 def embed_prompts(df: DataFrame, text_col: str = "prompt", out_col: str = "embedding",
-                  num_features: int = 1 << 11, encoder=None, batch_size: int = 32) -> DataFrame:
-    """Vector per row. Default: TF-IDF (word tokens, hashed) L2-normalised.
+                  num_features: int = 1 << 9, encoder=None, batch_size: int = 32) -> DataFrame:
+    """Vector per row. Default: TF-IDF (word tokens hashed to 512 features)
+    L2-normalised; the dimension stays small because PCA decomposes a d x d
+    covariance on the driver.
     ``encoder(list[str]) -> np.ndarray`` plugs a user model in through
     ``mapInPandas`` in batches of ``batch_size`` texts."""
     if encoder is not None:
@@ -79,13 +81,17 @@ def reduce_dims(df: DataFrame, k: int, features_col: str = "features", out_col:
 # --- exact k-nearest neighbours ---------------------------------------------
 
 def knn_graph(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec", metric: str = "cosine",
-              block_size: int = 2048) -> DataFrame:
+              block_size: int = 2048, prefix_dims=None) -> DataFrame:
     """Exact k nearest neighbours of every row (self excluded; ties to the
     lower id): (id, nbr, dist, rank). ``vec_col`` is array<double|float> or
     an MLlib vector. Rows are hashed into B = ceil(n / block_size) blocks;
     each (query block, candidate block) pair is one cogroup task holding two
     blocks; a final top-k merges the B partial lists of each row (B * k
-    candidates per row, a bounded group)."""
+    candidates per row, a bounded group).
+
+    ``prefix_dims`` (list of ints) computes, in the same pass, one graph per
+    leading-dimension count (nested PCA coordinates) and adds a ``dims``
+    column."""
     spark = df.sparkSession
     v = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
     if not isinstance(v.schema["v"].dataType, T.ArrayType):
@@ -96,21 +102,11 @@ def knn_graph(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec", m
     v = v.withColumn("blk", (F.xxhash64("id") % nb + nb) % nb)
     left = v.select("id", "v", F.col("blk").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("cb"))
     right = v.select("id", "v", F.col("blk").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("qb"))
-    out_schema = "id long, nbr long, dist double"
+    prefixes = list(prefix_dims) if prefix_dims else [None]
+    out_schema = "dims int, id long, nbr long, dist double"
 
-    def block_topk(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame({"id": [], "nbr": [], "dist": []})
-        qa = np.vstack(q["v"].to_numpy())
-        ca = np.vstack(c["v"].to_numpy())
-        if metric == "cosine":
-            qn = qa / np.maximum(np.linalg.norm(qa, axis=1, keepdims=True), 1e-300)
-            cn = ca / np.maximum(np.linalg.norm(ca, axis=1, keepdims=True), 1e-300)
-            d = 1.0 - qn @ cn.T
-        else:
-            d = np.sqrt(np.maximum((qa * qa).sum(1)[:, None] + (ca * ca).sum(1)[None, :] - 2 * qa @ ca.T, 0.0))
-        qid = q["id"].to_numpy()
-        cid = c["id"].to_numpy()
+    def topk(d, qid, cid):
+        d = d.copy()
         d[qid[:, None] == cid[None, :]] = np.inf
         kk = min(k, len(cid))
         # order by (dist, id): stable sort of candidates by id, then by dist
@@ -121,12 +117,36 @@ def knn_graph(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec", m
         nbrs = cid[order_c][idx].ravel()
         dists = np.take_along_axis(ds, idx, axis=1).ravel()
         keep = np.isfinite(dists)
-        return pd.DataFrame({"id": rows[keep], "nbr": nbrs[keep], "dist": dists[keep]})
+        return rows[keep], nbrs[keep], dists[keep]
+
+    def block_topk(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or c.empty:
+            return pd.DataFrame({"dims": [], "id": [], "nbr": [], "dist": []})
+        qa_all = np.vstack(q["v"].to_numpy())
+        ca_all = np.vstack(c["v"].to_numpy())
+        qid = q["id"].to_numpy()
+        cid = c["id"].to_numpy()
+        parts = []
+        for p in prefixes:
+            qa = qa_all if p is None else qa_all[:, :p]
+            ca = ca_all if p is None else ca_all[:, :p]
+            if metric == "cosine":
+                qn = qa / np.maximum(np.linalg.norm(qa, axis=1, keepdims=True), 1e-300)
+                cn = ca / np.maximum(np.linalg.norm(ca, axis=1, keepdims=True), 1e-300)
+                d = 1.0 - qn @ cn.T
+            else:
+                d = np.sqrt(np.maximum((qa * qa).sum(1)[:, None] + (ca * ca).sum(1)[None, :] - 2 * qa @ ca.T, 0.0))
+            r, nb, ds = topk(d, qid, cid)
+            parts.append(pd.DataFrame({"dims": np.full(len(r), -1 if p is None else p, dtype=np.int32),
+                                       "id": r, "nbr": nb, "dist": ds}))
+        return pd.concat(parts, ignore_index=True)
 
     partial = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(block_topk, out_schema)
-    best = partial.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("dist", "nbr"))), 1, k).alias("b"))
-    return best.select("id", F.posexplode("b").alias("rank", "e")).select(
-        "id", F.col("e.nbr").alias("nbr"), F.col("e.dist").alias("dist"), (F.col("rank") + 1).alias("rank"))
+    best = partial.groupBy("dims", "id").agg(
+        F.slice(F.sort_array(F.collect_list(F.struct("dist", "nbr"))), 1, k).alias("b"))
+    out = best.select("dims", "id", F.posexplode("b").alias("rank", "e")).select(
+        "dims", "id", F.col("e.nbr").alias("nbr"), F.col("e.dist").alias("dist"), (F.col("rank") + 1).alias("rank"))
+    return out if prefix_dims else out.drop("dims")
 
 
 # --- density clusters --------------------------------------------------------
@@ -269,13 +289,9 @@ def cluster_search(df: DataFrame, id_col: str = "id", features_col: str = "featu
     red = reduce_dims(df.select(F.col(id_col).alias("id"), F.col(features_col).alias("features")), kmax, "features",
                       "reduced").select("id", vector_to_array("reduced").alias("r"))
     red = red.checkpoint(eager=True) if checkpoint_dir(spark) else red
-    graphs = []
-    for nc in sorted({t[2] for t in trials}):
-        g = knn_graph(red.select("id", F.slice("r", 1, nc).alias("v")), nmax, "id", "v", metric="euclidean")
-        graphs.append(g.withColumn("n_components", F.lit(nc)))
-    graph = graphs[0]
-    for g in graphs[1:]:
-        graph = graph.unionByName(g)
+    # one pass computes the graph for every component count (nested PCA)
+    graph = knn_graph(red.select("id", F.col("r").alias("v")), nmax, "id", "v", metric="euclidean",
+                      prefix_dims=sorted({t[2] for t in trials})).withColumnRenamed("dims", "n_components")
     tdf = spark.createDataFrame(trials, "trial int, n_neighbors int, n_components int, min_cluster_size int")
     per_trial = graph.join(F.broadcast(tdf), "n_components").where(F.col("rank") <= F.col("n_neighbors"))
     per_trial = per_trial.checkpoint(eager=True)

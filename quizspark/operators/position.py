@@ -29,6 +29,15 @@ from pyspark.sql import functions as F
 _PERSISTED: list[DataFrame] = []
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Persist a derived table read by several jobs (range sampling, the
+    shuffle, size checks) so its upstream runs once; released together with
+    the position frames by :func:`release_positions`."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _PERSISTED.append(df)
+    return df
+
+
 def release_positions() -> None:
     """Unpersist the range-partitioned frames kept by global_position."""
     while _PERSISTED:

@@ -18,6 +18,7 @@ from quizspark.functions.arrays import letter_index
 from quizspark.operators import joins as J
 from quizspark.operators import ordering as O
 from quizspark.operators import scoring as S
+from quizspark.operators.position import keep
 from quizspark.plans import inputs as I
 from quizspark.sources import fixtures as fx
 
@@ -137,7 +138,7 @@ def q_training_table(spark, sf):
 
 def _ordering(name):
     def run(spark, sf):
-        t = I.training(spark, sf).select("question_index", "cluster_label", "llm_difficulty")
+        t = keep(I.training(spark, sf).select("question_index", "cluster_label", "llm_difficulty"))
         return O.ORDERINGS[name](t, O.OrderingSpec()).select("question_index", "position")
     return run
 
@@ -445,3 +446,10 @@ def q_cluster_search(spark, sf):
 def q_cluster_top_words(spark, sf):
     p = fx.prompts(spark, sf)
     return C.cluster_top_words(p, "prompt", "Category", "question_index")
+
+
+@query("prompt_categories")
+def q_prompt_categories(spark, sf):
+    from quizspark.plans.lifecycles import prompt_categories
+    labels, _trials = prompt_categories(spark, fx.prompts(spark, sf), n_trials=100)
+    return labels.select(F.md5("prompt").alias("prompt_md5"), "cluster_label")

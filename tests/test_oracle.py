@@ -10,7 +10,7 @@ from conftest import SF_SMALL
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
-SLOW = {"cluster_search", "density_clusters", "length_regression", "embed_prompts"}
+SLOW = {"cluster_search", "density_clusters", "length_regression", "embed_prompts", "prompt_categories"}
 
 
 @pytest.fixture(scope="module")
