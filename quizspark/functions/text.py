@@ -28,3 +28,8 @@ def format_stat(statistic, pvalue, alpha: float = 0.05, pad: str = " ") -> Colum
     tables, none in the pairwise table)."""
     mark = F.when(_col(pvalue) < alpha, F.lit("*")).otherwise(F.lit(pad))
     return F.format_string("%.2f%s", F.round(_col(statistic), 2), mark)
+
+
+def response_file_name(model="model", dataset="dataset") -> Column:
+    """'<last part of the model path>_<dataset>.json' (e.g. org/name -> name_medqa.json)."""
+    return F.concat(F.element_at(F.split(_col(model), "/"), -1), F.lit("_"), _col(dataset), F.lit(".json"))

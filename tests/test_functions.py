@@ -113,3 +113,9 @@ def test_completion_split(spark):
     assert rows[0]["completion"] == " B" and rows[0]["prompt_part"] == "x Answer: y ### Answer:"
     assert rows[0]["over_budget"] is True
     assert rows[1]["has_marker"] is False and rows[1]["completion"] is None
+
+
+def test_response_file_name(spark):
+    from quizspark.functions.text import response_file_name
+    df = spark.createDataFrame([("epfl-llm/meditron-70b", "medqa"), ("plain", "x")], "model string, dataset string")
+    assert [r[0] for r in df.select(response_file_name()).collect()] == ["meditron-70b_medqa.json", "plain_x.json"]
