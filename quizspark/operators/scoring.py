@@ -134,6 +134,9 @@ def category_metric_table(joined: DataFrame, questions: DataFrame, models, metri
     counts = questions.rollup(category).agg(F.grouping(category).alias("_g"), F.count(F.lit(1)).alias("Count")) \
         .select(_category_key(category).alias(category), "Count")
     out = counts.join(table, category, "left")
+    if metric == "gap":
+        # raw - expected cell by cell; Count - Count would be 0, so no Count
+        out = out.drop("Count")
     if human is not None:
         out = out.join(human.select(category, F.col("raw_accuracy").alias("Human")), category, "left")
     return out

@@ -108,13 +108,14 @@ hum AS (SELECT {key} AS Category, coalesce(sum(h.pct / 100), 0) / count(*) AS Hu
         GROUP BY ROLLUP (q.Category))""".format(key=_rollup_key("q.Category"))
     sel_h = ", round(hum.Human, 9) AS Human" if metric != "gap" else ""
     join_h = " LEFT JOIN hum ON hum.Category = cnt.Category" if metric != "gap" else ""
+    cnt_col = ", cnt.Count" if metric != "gap" else ""
     return f"""
 , scored AS (SELECT p.question_index, p.model, p.correct_answer, p.response, q.Category, exp(l.cll) AS p
              FROM predictions_v p JOIN questions_v q ON q.question_index = p.question_index
              JOIN resp_long_v l ON l.question_index = p.question_index AND l.model = p.model AND l.option = l.correct_answer),
 acc AS (SELECT {_rollup_key()} AS Category, {", ".join(cols)} FROM scored GROUP BY ROLLUP (Category)),
 cnt AS (SELECT {_rollup_key()} AS Category, count(*) AS Count FROM questions_v GROUP BY ROLLUP (Category)){human if metric != "gap" else ""}
-SELECT cnt.Category, cnt.Count, round(acc.m1, 9) AS m1, round(acc.m2, 9) AS m2, round(acc.m3, 9) AS m3,
+SELECT cnt.Category{cnt_col}, round(acc.m1, 9) AS m1, round(acc.m2, 9) AS m2, round(acc.m3, 9) AS m3,
        round(acc.m4, 9) AS m4{sel_h}
 FROM cnt LEFT JOIN acc ON acc.Category = cnt.Category{join_h}"""
 
