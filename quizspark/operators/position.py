@@ -8,9 +8,10 @@ into one task. Instead:
    always ends with a unique column) and sort inside each partition;
 2. number rows inside each partition (``monotonically_increasing_id`` minus
    the partition's base id: the sort order of the partition);
-3. count rows per partition — a table with exactly ``n_partitions`` rows, a
-   proven bound — and turn it into running offsets;
-4. broadcast-join the offsets back; position = offset + local index.
+3. count rows per partition — exactly ``n_partitions`` numbers, a proven
+   bound, collected like ``RDD.zipWithIndex`` does — into running offsets;
+4. position = offset[partition] + local index (a literal array lookup, no
+   join, no window).
 
 The range-partitioned frame is persisted (memory, spilling to disk) so the
 count branch and the main branch read the *same* partitions: range bounds
@@ -65,13 +66,16 @@ def global_position(df: DataFrame, order_by: list, position_col: str = "position
               .withColumn("_rid", F.monotonically_increasing_id())
               .persist(StorageLevel.MEMORY_AND_DISK))
     _PERSISTED.append(ranged)
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    # Window without partitioning on a table of n_partitions rows.
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_offset"))
+    # n_partitions counts (a proven bound, as RDD.zipWithIndex collects);
+    # this action also materialises the persisted partitions
+    counts = dict(ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).collect())
+    offsets, run = [], 0
+    for pid in range(n):
+        offsets.append(run)
+        run += counts.get(pid, 0)
+    offset = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("_pid") + 1)
     local = F.col("_rid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    out = ranged.join(F.broadcast(offsets), "_pid")
-    return out.withColumn(position_col, (F.col("_offset") + local).cast("long")).drop("_pid", "_rid", "_offset")
+    return ranged.withColumn(position_col, (offset + local).cast("long")).drop("_pid", "_rid")
 
 
 def count_groups(df: DataFrame, group_cols) -> int:
