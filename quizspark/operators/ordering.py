@@ -174,7 +174,20 @@ def all_orderings(df: DataFrame, spec: OrderingSpec = OrderingSpec(), names=None
     needed = list(dict.fromkeys(columns + [spec.key, spec.category_col, spec.difficulty_col]))
     df = df.select(*needed).persist(StorageLevel.MEMORY_AND_DISK)
     _PERSISTED.append(df)
-    parts = [ORDERINGS[n](df, spec).select(F.lit(n).alias("ordering"), *columns, "position") for n in names]
+    done: dict[str, DataFrame] = {}
+
+    def get(n: str) -> DataFrame:
+        # interleaved orders reuse the blocked orders already positioned
+        if n not in done:
+            if n == "interleaved":
+                done[n] = _interleave(get("blocked"), spec)
+            elif n == "interleaved_curriculum_strict":
+                done[n] = _interleave(get("blocked_curriculum_strict"), spec)
+            else:
+                done[n] = ORDERINGS[n](df, spec)
+        return done[n]
+
+    parts = [get(n).select(F.lit(n).alias("ordering"), *columns, "position") for n in names]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
