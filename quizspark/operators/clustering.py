@@ -85,9 +85,10 @@ def knn_graph(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec", m
     """Exact k nearest neighbours of every row (self excluded; ties to the
     lower id): (id, nbr, dist, rank). ``vec_col`` is array<double|float> or
     an MLlib vector. Rows are hashed into B = ceil(n / block_size) blocks;
-    each (query block, candidate block) pair is one cogroup task holding two
-    blocks; a final top-k merges the B partial lists of each row (B * k
-    candidates per row, a bounded group).
+    each unordered block pair (i <= j) is one cogroup group holding two
+    blocks, answering both from one distance matrix (each vector is shipped
+    to B groups); a final top-k merges the B partial lists of each row
+    (B * k candidates per row, a bounded group).
 
     ``prefix_dims`` (list of ints) computes, in the same pass, one graph per
     leading-dimension count (nested PCA coordinates) and adds a ``dims``
@@ -100,8 +101,12 @@ def knn_graph(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec", m
     n = v.count()
     nb = max(1, -(-n // block_size))
     v = v.withColumn("blk", (F.xxhash64("id") % nb + nb) % nb)
-    left = v.select("id", "v", F.col("blk").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("cb"))
-    right = v.select("id", "v", F.col("blk").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("qb"))
+    # each unordered block pair (qb <= cb) once: a vector is sent to nb
+    # tasks in total; the kernel answers both blocks from one distance matrix
+    left = v.select("id", "v", F.col("blk").alias("qb"),
+                    F.explode(F.sequence(F.col("blk"), F.lit(nb - 1))).alias("cb"))
+    right = v.select("id", "v", F.col("blk").alias("cb"),
+                     F.explode(F.sequence(F.lit(0), F.col("blk"))).alias("qb"))
     prefixes = list(prefix_dims) if prefix_dims else [None]
     out_schema = "dims int, id long, nbr long, dist double"
 
@@ -119,9 +124,10 @@ def knn_graph(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec", m
         keep = np.isfinite(dists)
         return rows[keep], nbrs[keep], dists[keep]
 
-    def block_topk(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+    def block_topk(key, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if q.empty or c.empty:
             return pd.DataFrame({"dims": [], "id": [], "nbr": [], "dist": []})
+        same_block = key[0] == key[1]
         qa_all = np.vstack(q["v"].to_numpy())
         ca_all = np.vstack(c["v"].to_numpy())
         qid = q["id"].to_numpy()
@@ -136,9 +142,13 @@ def knn_graph(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec", m
                 d = 1.0 - qn @ cn.T
             else:
                 d = np.sqrt(np.maximum((qa * qa).sum(1)[:, None] + (ca * ca).sum(1)[None, :] - 2 * qa @ ca.T, 0.0))
-            r, nb, ds = topk(d, qid, cid)
-            parts.append(pd.DataFrame({"dims": np.full(len(r), -1 if p is None else p, dtype=np.int32),
-                                       "id": r, "nbr": nb, "dist": ds}))
+            dims = -1 if p is None else p
+            r, nb_, ds = topk(d, qid, cid)
+            parts.append(pd.DataFrame({"dims": np.full(len(r), dims, dtype=np.int32), "id": r, "nbr": nb_, "dist": ds}))
+            if not same_block:
+                r, nb_, ds = topk(d.T, cid, qid)
+                parts.append(pd.DataFrame({"dims": np.full(len(r), dims, dtype=np.int32),
+                                           "id": r, "nbr": nb_, "dist": ds}))
         return pd.concat(parts, ignore_index=True)
 
     partial = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(block_topk, out_schema)
