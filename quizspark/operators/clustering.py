@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quizspark.operators.position import count_groups, global_position, join_small
 from quizspark.session import checkpoint_dir
 
 
@@ -227,8 +228,15 @@ def _flat_cut(e: DataFrame, verts: DataFrame, thr, min_size, keys: list) -> Data
     # one row per cluster: a small table
     firsts = out.where(F.col("cluster_raw").isNotNull()).groupBy(*keys, "cluster_raw").agg(
         F.min("id").alias("_first"), F.min("core").alias("_mincore"))
-    w = Window.partitionBy(*keys).orderBy("_first") if keys else Window.orderBy("_first")
-    firsts = firsts.withColumn("cluster", (F.row_number().over(w) - 1).cast("int"))
+    # dense numbers 0.. per key without a single-task window: global
+    # position over (keys, first member), minus each key's first position
+    firsts = global_position(firsts, [*[F.col(k) for k in keys], F.col("_first")], "_gpos")
+    if keys:
+        starts = firsts.groupBy(*keys).agg(F.min("_gpos").alias("_kstart"))
+        firsts = join_small(firsts, starts, keys, count_groups(firsts, keys) <= 1_000_000)
+        firsts = firsts.withColumn("cluster", (F.col("_gpos") - F.col("_kstart")).cast("int"))
+    else:
+        firsts = firsts.withColumn("cluster", F.col("_gpos").cast("int"))
     out = out.join(firsts, keys + ["cluster_raw"], "left")
     prob = F.when(F.col("cluster").isNotNull(), F.col("_mincore") / F.col("core")).otherwise(F.lit(0.0))
     return out.select(*keys, "id", F.coalesce("cluster", F.lit(-1)).alias("cluster"), prob.alias("probability"))
