@@ -97,3 +97,30 @@ def test_batches_and_steps(base):
     assert b == (base.count() - 1) // 8
     s = O.step_plan(o, 4, 2).groupBy("step").count().agg(F.max("count")).first()[0]
     assert s == 8
+
+
+def test_interleaved_with_hot_category_matches_pandas_semantics(spark):
+    # one category holds a third of the rows; compare with a direct
+    # re-implementation of the blocked -> thirds -> interleave steps
+    import hashlib
+    rows = [(i, 0 if i % 3 == 0 else 1 + i % 5, (i * 13 % 97) / 97) for i in range(900)]
+    df = _table(spark, rows)
+    got = {r["question_index"]: r["position"] for r in O.order_interleaved(df, O.OrderingSpec()).collect()}
+    h = lambda k: hashlib.md5(f"1:{k}".encode()).hexdigest()
+    blocks = {}
+    for k, c, _ in sorted(rows, key=lambda r: (r[1], h(r[0]), r[0])):
+        blocks.setdefault(c, []).append(k)
+    order = []
+    for part in range(3):
+        for c in sorted(blocks):
+            n = len(blocks[c])
+            sizes = [n // 3 + (1 if part_i < n % 3 else 0) for part_i in range(3)]
+            start = sum(sizes[:part])
+            order.extend(blocks[c][start:start + sizes[part]])
+    assert got == {k: i for i, k in enumerate(order)}
+
+
+def test_global_position_desc_and_nulls_last(spark):
+    df = spark.createDataFrame([(1, 0.5), (2, None), (3, 0.9), (4, 0.5)], "k long, v double")
+    out = global_position(df, [F.col("v").desc_nulls_last(), F.col("k")]).orderBy("position").collect()
+    assert [r["k"] for r in out] == [3, 1, 4, 2]
