@@ -225,7 +225,8 @@ def q_format_test_prompt(spark, sf):
 def q_completion_split(spark, sf):
     q = I.questions(spark, sf)
     t = q.select("question_index", P.train_prompt(q, fine_tune=True).alias("text"))
-    cols = P.completion_split("text")
+    # the reference trains with max_seq_length=512; words stand in for tokens
+    cols = P.completion_split("text", max_words=512)
     return t.select("question_index", *[c.alias(n) for n, c in cols.items()])
 
 

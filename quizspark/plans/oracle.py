@@ -326,7 +326,8 @@ SELECT question_index, {_lit(_SCORE_HEAD)} || prompt || ' A) ' || A || ' B) ' ||
     "completion_split": f"""
 SELECT question_index, left(text, length(text) - length(string_split(text, 'Answer:')[-1])) AS prompt_part,
        string_split(text, 'Answer:')[-1] AS completion, strpos(text, 'Answer:') > 0 AS has_marker,
-       cast(len(regexp_extract_all(text, '\\S+')) AS bigint) AS n_words
+       cast(len(regexp_extract_all(text, '\\S+')) AS bigint) AS n_words,
+       len(regexp_extract_all(text, '\\S+')) > 512 AS over_budget
 FROM (SELECT question_index, {_train_sql(True, True)} AS text FROM questions_v) t""",
     "word_count": r"""
 SELECT question_index, cast(len(regexp_extract_all(prompt, '\S+')) AS bigint) AS n_words FROM prompts_v""",
