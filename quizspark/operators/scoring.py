@@ -69,8 +69,10 @@ def llm_difficulty(responses: DataFrame, keys=("question_index",), require_all_m
 def expected_by_model(responses: DataFrame, models, keys=("question_index",)) -> DataFrame:
     """Questions x models matrix of p_correct (pivot on an explicit model
     list, so no extra job discovers the values)."""
-    s = with_scores(responses)
-    return s.groupBy(*keys).pivot("model", list(models)).agg(F.max(nan_to_null("p_correct")))
+    s = with_scores(responses).select(*keys, "model", nan_to_null("p_correct").alias("_p"))
+    # conditional aggregation over the explicit list: one partial-aggregated
+    # shuffle on the question key (a pivot may plan a two-level aggregate)
+    return s.groupBy(*keys).agg(*[F.max(F.when(F.col("model") == m, F.col("_p"))).alias(m) for m in models])
 
 
 def model_means(responses: DataFrame, models, keys=("question_index",)) -> DataFrame:

@@ -14,7 +14,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,7 +136,8 @@ def pairwise_correlations(responses: DataFrame, models, keys=("question_index",)
     and one aggregate with M(M+1)/2 ``corr`` expressions; no row pairs."""
     models = list(models)
     p = nan_to_zero(p_correct("clls", "correct_answer"))
-    wide = responses.select(*keys, "model", p.alias("_p")).groupBy(*keys).pivot("model", models).agg(F.max("_p"))
+    wide = responses.select(*keys, "model", p.alias("_p")).groupBy(*keys).agg(
+        *[F.max(F.when(F.col("model") == m, F.col("_p"))).alias(m) for m in models])
     filled = wide.select(*[F.coalesce(F.col(f"`{m}`"), F.lit(0.0)).alias(m) for m in models])
     aggs, pairs = [], []
     for i, a in enumerate(models):

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quizspark.functions.arrays import letter_index
 from quizspark.operators import joins as J
 from quizspark.operators import ordering as O
 from quizspark.operators import scoring as S
