@@ -27,6 +27,7 @@ import random
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -163,7 +164,7 @@ def knn_graph(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec", m
 # --- density clusters --------------------------------------------------------
 
 def connected_components(edges: DataFrame, vertices: DataFrame, key_cols=(), max_iter: int = 100,
-                         checkpoint_every: int = 1) -> DataFrame:
+                         checkpoint_every: int = 3) -> DataFrame:
     """Min-label connected components of an undirected edge list
     (src, dst [+ key_cols]) over ``vertices`` (id [+ key_cols]).
 
@@ -178,7 +179,7 @@ def connected_components(edges: DataFrame, vertices: DataFrame, key_cols=(), max
     und = edges.select(*keys, "src", "dst").unionByName(
         edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().checkpoint(eager=True)
     labels = vertices.select(*keys, "id", F.col("id").alias("label")).distinct().checkpoint(eager=True)
-    total = None
+    total, cached = None, None
     for it in range(max_iter):
         lab_src = labels.select(*keys, F.col("id").alias("src"), F.col("label").alias("l_src"))
         cand = und.join(lab_src, keys + ["src"]).select(*keys, F.col("dst").alias("id"), F.col("l_src").alias("label"))
@@ -186,9 +187,15 @@ def connected_components(edges: DataFrame, vertices: DataFrame, key_cols=(), max
         parent = new.select(*keys, F.col("id").alias("label"), F.col("label").alias("p_label"))
         jump = new.join(parent, keys + ["label"], "left").select(
             *keys, "id", F.least(F.col("label"), F.coalesce(F.col("p_label"), F.col("label"))).alias("label"))
+        # the convergence sum materialises the persisted round; every
+        # ``checkpoint_every`` rounds the lineage is cut on reliable storage
+        jump = jump.persist(StorageLevel.MEMORY_AND_DISK)
+        new_total = jump.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         if (it + 1) % checkpoint_every == 0:
             jump = jump.checkpoint(eager=True)
-        new_total = jump.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+        if cached is not None:
+            cached.unpersist()
+        cached = jump
         labels = jump
         if total is not None and new_total == total:
             break
