@@ -50,3 +50,12 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["question_index", "Category", "llm_difficulty"]
     assert df.count() > 0
+
+
+FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython")
+
+
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - SLOW - {"reduce_dims"}))
+def test_plan_has_no_pair_explosion_or_row_udf(spark, name):
+    plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert not [p for p in FORBIDDEN if p in plan]
