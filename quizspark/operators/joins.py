@@ -19,10 +19,21 @@ def join_on_index(responses: DataFrame, questions: DataFrame, key: str = "questi
 
 
 def join_on_text(responses: DataFrame, questions: DataFrame, text_col: str = "question",
-                 null_safe: bool = False) -> DataFrame:
+                 null_safe: bool = False, duplicates: str = "first", key: str = "question_index") -> DataFrame:
     """Fallback when responses lack ``question_index``: join on the rendered
-    question text. Duplicate texts multiply rows (as a merge does)."""
+    question text.
+
+    ``duplicates="first"`` (default) resolves each text to its first
+    question (lowest ``key``; a partial aggregate, so a text repeated in a
+    third of the questions is still one row per partition before the
+    shuffle) and every response matches at most one question: no pairs are
+    emitted within a group of copies. ``duplicates="multiply"`` keeps a
+    pandas merge's behaviour (each response x each copy)."""
     q = questions.withColumnRenamed(text_col, "_qtext")
+    if duplicates == "first" and key in q.columns:
+        cols = [c for c in q.columns if c not in ("_qtext", key)]
+        first = q.groupBy("_qtext").agg(F.min(F.struct(key, *cols)).alias("_q"))
+        q = first.select("_qtext", "_q.*")
     shared = [c for c in responses.columns if c in q.columns]
     r = responses.drop(*shared)
     cond = r[text_col].eqNullSafe(q["_qtext"]) if null_safe else r[text_col] == q["_qtext"]

@@ -107,3 +107,12 @@ def test_difficulty_and_expected_accuracy_nan_conventions(spark):
     assert abs(e["m2"]["expected_correct"] - 0.1) < 1e-12 and abs(e["m2"]["expected_accuracy"] - 0.05) < 1e-12
     a = {r["model"]: r for r in S.accuracy_by_model(df).collect()}
     assert a["m2"]["n_correct"] == 0 and a["m1"]["n_correct"] == 2
+
+
+def test_join_on_text_duplicates(spark):
+    from quizspark.operators.joins import join_on_text
+    r = spark.createDataFrame([("t1", "A"), ("t1", "B"), ("t2", "C")], "question string, response string")
+    q = spark.createDataFrame([(5, "t1"), (3, "t1"), (9, "t2")], "question_index long, question string")
+    first = sorted((x["question_index"], x["response"]) for x in join_on_text(r, q).collect())
+    assert first == [(3, "A"), (3, "B"), (9, "C")]
+    assert join_on_text(r, q, duplicates="multiply").count() == 5
