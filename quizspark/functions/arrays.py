@@ -71,6 +71,23 @@ def log_softmax(logits="logits", n: int = 5) -> Column:
     return F.slice(F.array(*[it - lse for it in items]), 1, F.size(arr))
 
 
+def with_log_softmax(df, logits: str = "logits", out: str = "clls", n: int = 5):
+    """DataFrame form of :func:`log_softmax` computed in stages (max, then
+    log-sum-exp, then the array): each stage is referenced several times by
+    the next, so Catalyst keeps them as separate projections and the
+    generated code stays small."""
+    arr = F.col(logits)
+    items = [F.get(arr, i) for i in range(n)]
+    df = df.withColumn("_mx", F.greatest(*items))
+    total = None
+    for it in items:
+        term = F.coalesce(F.exp(it - F.col("_mx")), F.lit(0.0))
+        total = term if total is None else total + term
+    df = df.withColumn("_lse", F.col("_mx") + F.log(total))
+    return df.withColumn(out, F.slice(F.array(*[it - F.col("_lse") for it in items]), 1, F.size(arr))) \
+        .drop("_mx", "_lse")
+
+
 def _ranked(arr, n: int):
     # struct(score, -index): greatest/sort on it orders by score, ties to the
     # lowest index. NaN scores are treated as missing.

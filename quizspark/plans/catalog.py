@@ -110,7 +110,10 @@ def q_top3_options(spark, sf):
 @query("choice_log_likelihood")
 def q_choice_log_likelihood(spark, sf):
     r = I.responses(spark, sf)
-    e = r.select("question_index", "model", F.posexplode("clls").alias("k", "cll"))
+    # posexplode_outer + a filter on its output: the non-outer generator makes
+    # Spark infer size(clls) > 0 and push it below the projection that builds
+    # clls, inlining the whole log-softmax into one oversized filter
+    e = r.select("question_index", "model", F.posexplode_outer("clls").alias("k", "cll")).where(F.col("k").isNotNull())
     letters = F.array(*[F.lit(x) for x in "ABCDE"])
     return rounded(e.select("question_index", "model", F.get(letters, F.col("k")).alias("option"), "cll"))
 

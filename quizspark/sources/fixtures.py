@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizspark.functions.arrays import argmax_letter, log_softmax, top_k_letters
+from quizspark.functions.arrays import argmax_letter, top_k_letters, with_log_softmax
 from quizspark.functions.prompts import scoring_prompt
 from quizspark.schema import LETTERS
 
@@ -67,11 +67,11 @@ def document_questions(documents: DataFrame) -> DataFrame:
 def responses_for(q: DataFrame) -> DataFrame:
     """Model responses for any question table (see :func:`responses`)."""
     lg = logits(q)
-    return lg.select(
+    out = lg.select(
         "question_index", "Category", F.col("prompt").alias("question"), "correct_answer", "model",
         F.array(*[F.lit(i) for i in range(5)]).alias("shuffle"),
-        argmax_letter("logits").alias("response"), top_k_letters("logits", 3).alias("top3"),
-        log_softmax("logits", 5).alias("clls"))
+        argmax_letter("logits").alias("response"), top_k_letters("logits", 3).alias("top3"), "logits")
+    return with_log_softmax(out, "logits", "clls", 5).drop("logits")
 
 
 def with_human(q: DataFrame) -> DataFrame:
@@ -107,11 +107,11 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     # log-softmax is monotonic: response / top3 come straight from the logits
     # (ties identical), which keeps the generated code small when a filter on
     # ``response`` is pushed down into this projection.
-    return lg.select(
+    out = lg.select(
         "question_index", "Category", F.col("prompt").alias("question"), "correct_answer", "model",
         F.array(*[F.lit(i) for i in range(5)]).alias("shuffle"),
-        argmax_letter("logits").alias("response"), top_k_letters("logits", 3).alias("top3"),
-        log_softmax("logits", 5).alias("clls"))
+        argmax_letter("logits").alias("response"), top_k_letters("logits", 3).alias("top3"), "logits")
+    return with_log_softmax(out, "logits", "clls", 5).drop("logits")
 
 
 def token_logprobs(spark: SparkSession, sf_dir: str) -> DataFrame:
