@@ -86,9 +86,14 @@ def test_global_position_skewed_key_and_partition_count(spark):
     assert {r["k"]: r["position"] for r in b} == expect
 
 
-def test_no_single_partition_window_in_plan(base):
-    plan = O.order_random(base)._jdf.queryExecution().executedPlan().toString()
-    assert "SinglePartition" not in plan or "Window" not in plan.split("SinglePartition")[0][-200:]
+@pytest.mark.parametrize("name", ["original", "random_shuffle", "curriculum_strict", "blocked_emh",
+                                  "interleaved_emh"])
+def test_orderings_plan_no_window(base, name):
+    # positions come from range partitions + collected per-partition counts,
+    # so no Window (and no single-partition window over the data) is planned
+    plan = O.ORDERINGS[name](base, O.OrderingSpec())._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    assert "rangepartitioning" in plan.lower()
 
 
 def test_batches_and_steps(base):
