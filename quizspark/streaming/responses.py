@@ -42,10 +42,14 @@ def ingest_responses(spark: SparkSession, source_dir: str, table_dir: str, check
 
 
 def running_accuracy(spark: SparkSession, source_dir: str, checkpoint: str, query_name: str = "running_accuracy",
-                     available_now: bool = True):
+                     available_now: bool = True, table_path: str | None = None):
     """Per (dataset, model): responses seen, n_correct, raw and expected
-    accuracy so far (stateful streaming aggregate, complete mode, memory
-    sink named ``query_name``)."""
+    accuracy so far (stateful streaming aggregate in complete mode).
+
+    Without ``table_path`` the result goes to an in-memory table named
+    ``query_name`` (tests, notebooks). With it, every micro-batch overwrites
+    a Parquet table with the complete aggregate through ``foreachBatch``: a
+    replayed batch writes the same rows again, so the sink is idempotent."""
     s = response_stream(spark, source_dir)
     p = nan_to_null(p_correct("clls", "correct_answer"))
     agg = s.groupBy("dataset", "model").agg(
@@ -53,7 +57,12 @@ def running_accuracy(spark: SparkSession, source_dir: str, checkpoint: str, quer
         F.coalesce(F.sum(p), F.lit(0.0)).alias("expected_correct"))
     agg = agg.withColumn("raw_accuracy", F.col("n_correct") / F.col("n")) \
         .withColumn("expected_accuracy", F.col("expected_correct") / F.col("n"))
-    q = (agg.writeStream.format("memory").queryName(query_name).outputMode("complete")
-         .option("checkpointLocation", checkpoint))
-    q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="30 seconds")
-    return q.start()
+    w = agg.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
+    if table_path is None:
+        w = w.format("memory").queryName(query_name)
+    else:
+        def overwrite(batch: DataFrame, _epoch: int) -> None:
+            batch.write.mode("overwrite").parquet(table_path)
+        w = w.foreachBatch(overwrite)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
+    return w.start()

@@ -18,3 +18,16 @@ def test_stream_ingest_and_running_accuracy(spark, tmp_path):
     q2.awaitTermination(120)
     rows = {r["model"]: r for r in spark.sql("SELECT * FROM acc_test").collect()}
     assert rows["mA"]["n_correct"] == 1 and rows["mB"]["n_correct"] == 3 and rows["mB"]["n"] == 3
+
+
+def test_running_accuracy_to_table(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    qs = [{"question": f"q{i}", "correct_answer": "A", "question_index": i, "shuffle": [0, 1, 2, 3, 4],
+           "response": "A" if i % 2 else "B", "top3": ["A"], "clls": [-0.1, -2.0, -3.0, -4.0, -5.0]}
+          for i in range(4)]
+    (src / "mX_toy.json").write_text(json.dumps({"questions": qs}))
+    q = SR.running_accuracy(spark, str(src), str(tmp_path / "ck"), table_path=str(tmp_path / "acc"))
+    q.awaitTermination(120)
+    row = spark.read.parquet(str(tmp_path / "acc")).first()
+    assert row["model"] == "mX" and row["n"] == 4 and row["n_correct"] == 2
