@@ -324,8 +324,13 @@ def cluster_search(df: DataFrame, id_col: str = "id", features_col: str = "featu
     # min_samples defaults to min_cluster_size, bounded by the graph here
     k_core = F.least(F.col("min_cluster_size"), F.col("n_neighbors"))
     e, verts = _mutual_reachability(per_trial, ["trial"], k_core, F.col("n_neighbors"))
-    thr = verts.where(F.col("core") < float("inf")).groupBy("trial").agg(
-        F.percentile_approx("core", eps_quantile).alias("eps"))
+    # eps per trial is pinned (<= n_trials rows collected): a lazily
+    # recomputed approximate percentile could merge its sketches in another
+    # order after an executor loss and move the cut between branches
+    eps_rows = verts.where(F.col("core") < float("inf")).groupBy("trial").agg(
+        F.percentile_approx("core", eps_quantile).alias("eps")).collect()
+    thr = F.broadcast(spark.createDataFrame([(r["trial"], float(r["eps"])) for r in eps_rows],
+                                            "trial int, eps double"))
     clusters = _flat_cut(e, verts, thr, tdf.select("trial", "min_cluster_size"), ["trial"])
     clusters = clusters.checkpoint(eager=True)
     scores = cluster_objective(cluster_score(clusters, key_cols=("trial",)), label_lower, label_upper, penalty)
