@@ -55,11 +55,12 @@ def main(argv=None) -> None:
 
     from quizspark.operators.ordering import OrderingSpec
     from quizspark.plans import lifecycles as L
-    from quizspark.session import checkpoint_dir
+    from quizspark.session import checkpoint_dir, ship_package
     from quizspark.sources import readers as R
 
     spark = _session()
     checkpoint_dir(spark)
+    ship_package(spark)
     if args.cmd == "difficulty":
         r = (spark.read.parquet(args.responses) if args.responses.endswith(".parquet")
              else R.read_responses(spark, args.responses))

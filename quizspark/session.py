@@ -57,3 +57,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="quizspark-ckpt-")
     sc.setCheckpointDir(configured)
     return configured
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quizspark`` importable on executors (pandas UDFs reference its
+    modules): zip the package on the driver and ``addPyFile`` it once per
+    SparkContext — what ``spark-submit --py-files`` does."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quizspark_shipped", False):
+        return
+    import zipfile
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    zpath = os.path.join(tempfile.mkdtemp(prefix="quizspark-pyfiles-"), "quizspark.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    sc._quizspark_shipped = True
