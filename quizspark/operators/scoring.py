@@ -91,20 +91,24 @@ def model_means(responses: DataFrame, models, keys=("question_index",)) -> DataF
 
 def difficulty_histogram(difficulty: DataFrame, col: str = "llm_difficulty", bins: int = 10) -> DataFrame:
     """Counts in ``bins`` equal-width bins between min and max (last bin
-    closed), every bin listed. min/max enter as scalar subqueries."""
+    closed), every bin listed. min/max are one aggregate row collected as
+    two literals (a fixed bound); the counts are one partial aggregate."""
     x = F.col(col)
     clean = difficulty.select(nan_to_null(col).alias(col)).where(x.isNotNull())
-    lo = clean.select(F.min(col)).scalar()
-    hi = clean.select(F.max(col)).scalar()
-    lo_e = F.when(lo == hi, lo - 0.5).otherwise(lo)
-    hi_e = F.when(lo == hi, hi + 0.5).otherwise(hi)
-    b = F.least(F.lit(bins - 1), F.floor((x - lo_e) * bins / (hi_e - lo_e))).cast("int")
+    lo, hi = clean.agg(F.min(col), F.max(col)).first()
+    spark = clean.sparkSession
+    all_bins = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
+    if lo is None:
+        return all_bins.select("bin", F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"),
+                               F.lit(0).cast("long").alias("count"))
+    if lo == hi:
+        lo, hi = lo - 0.5, hi + 0.5
+    b = F.least(F.lit(bins - 1), F.floor((x - F.lit(lo)) * bins / F.lit(hi - lo))).cast("int")
     counts = clean.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    all_bins = clean.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    width = (hi_e - lo_e) / bins
+    width = (hi - lo) / bins
     return (all_bins.join(counts, "bin", "left")
-            .select("bin", (lo_e + F.col("bin") * width).alias("lo"),
-                    (lo_e + (F.col("bin") + 1) * width).alias("hi"),
+            .select("bin", (F.lit(lo) + F.col("bin") * F.lit(width)).alias("lo"),
+                    (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("hi"),
                     F.coalesce("count", F.lit(0)).cast("long").alias("count")))
 
 
