@@ -19,7 +19,8 @@ def join_on_index(responses: DataFrame, questions: DataFrame, key: str = "questi
 
 
 def join_on_text(responses: DataFrame, questions: DataFrame, text_col: str = "question",
-                 null_safe: bool = False, duplicates: str = "first", key: str = "question_index") -> DataFrame:
+                 null_safe: bool = False, duplicates: str = "first", key: str = "question_index",
+                 warn_if_empty: bool = False) -> DataFrame:
     """Fallback when responses lack ``question_index``: join on the rendered
     question text.
 
@@ -28,7 +29,9 @@ def join_on_text(responses: DataFrame, questions: DataFrame, text_col: str = "qu
     third of the questions is still one row per partition before the
     shuffle) and every response matches at most one question: no pairs are
     emitted within a group of copies. ``duplicates="multiply"`` keeps a
-    pandas merge's behaviour (each response x each copy)."""
+    pandas merge's behaviour (each response x each copy).
+    ``warn_if_empty`` runs a one-row probe and warns when nothing matches
+    (e.g. responses rendered with another prompt template)."""
     q = questions.withColumnRenamed(text_col, "_qtext")
     if duplicates == "first" and key in q.columns:
         cols = [c for c in q.columns if c not in ("_qtext", key)]
@@ -37,7 +40,12 @@ def join_on_text(responses: DataFrame, questions: DataFrame, text_col: str = "qu
     shared = [c for c in responses.columns if c in q.columns]
     r = responses.drop(*shared)
     cond = r[text_col].eqNullSafe(q["_qtext"]) if null_safe else r[text_col] == q["_qtext"]
-    return r.join(q, cond, "inner").drop("_qtext")
+    out = r.join(q, cond, "inner").drop("_qtext")
+    if warn_if_empty and out.isEmpty():
+        import warnings
+        warnings.warn("join_on_text matched no question: were the responses rendered with another prompt "
+                      "template?", stacklevel=2)
+    return out
 
 
 def attach_predictions(test: DataFrame, predictions: DataFrame, key: str = "question_index") -> DataFrame:

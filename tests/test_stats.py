@@ -116,3 +116,14 @@ def test_join_on_text_duplicates(spark):
     first = sorted((x["question_index"], x["response"]) for x in join_on_text(r, q).collect())
     assert first == [(3, "A"), (3, "B"), (9, "C")]
     assert join_on_text(r, q, duplicates="multiply").count() == 5
+
+
+def test_join_on_text_warns_on_zero_matches(spark):
+    import warnings
+    from quizspark.operators.joins import join_on_text
+    r = spark.createDataFrame([("rendered A",)], "question string")
+    q = spark.createDataFrame([(1, "rendered B")], "question_index long, question string")
+    with warnings.catch_warnings(record=True) as w:
+        warnings.simplefilter("always")
+        assert join_on_text(r, q, warn_if_empty=True).count() == 0
+    assert any("matched no question" in str(x.message) for x in w)
