@@ -13,7 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizspark.functions.arrays import nan_to_null
@@ -124,9 +124,41 @@ def with_thirds(blocked: DataFrame, spec: OrderingSpec, position_col: str = "pos
 
 
 def _interleave(blocked: DataFrame, spec: OrderingSpec) -> DataFrame:
-    t = with_thirds(blocked, spec)
-    out = global_position(t.drop("position"), [F.col("_third"), F.col(spec.category_col), F.col("_rank")])
-    return out.drop("_third", "_rank")
+    """Interleaved position from the blocked one, by arithmetic: every
+    (third, category) run is contiguous in the blocked order, so
+
+        position = rows in earlier thirds (all categories)
+                 + rows of this third in earlier categories
+                 + offset inside the run.
+
+    The per-category table (sizes, part sizes, running sums over categories)
+    has one row per category; when its size check passes it is broadcast
+    and no second shuffle of the data is needed. Otherwise the runs are
+    re-sorted with a second global position."""
+    cat = spec.category_col
+    if count_groups(blocked, [cat]) > 1_000_000:
+        t = with_thirds(blocked, spec)
+        out = global_position(t.drop("position"), [F.col("_third"), F.col(cat), F.col("_rank")])
+        return out.drop("_third", "_rank")
+    n = F.col("_gsize")
+    q = F.floor(n / 3)
+    parts = [q + F.when(n % 3 > 0, 1).otherwise(0), q + F.when(n % 3 > 1, 1).otherwise(0), q]
+    sizes = group_bounds(blocked, [cat], "position").select(
+        cat, "_gstart", "_gsize", *[p.cast("long").alias(f"_s{i}") for i, p in enumerate(parts)])
+    # windows over the per-category table (one row per category, size-checked)
+    before = Window.orderBy(F.col(cat).asc()).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy()
+    table = sizes.select(
+        "*", *[F.coalesce(F.sum(f"_s{i}").over(before), F.lit(0)).alias(f"_cum{i}") for i in range(3)],
+        F.sum("_s0").over(whole).alias("_tot0"), F.sum("_s1").over(whole).alias("_tot1"))
+    b = blocked.join(F.broadcast(table), cat)
+    rank = F.col("position") - F.col("_gstart")
+    third = third_of(rank, n)
+    start_in_cat = F.when(third == 0, 0).when(third == 1, F.col("_s0")).otherwise(F.col("_s0") + F.col("_s1"))
+    base = F.when(third == 0, 0).when(third == 1, F.col("_tot0")).otherwise(F.col("_tot0") + F.col("_tot1"))
+    cum = F.when(third == 0, F.col("_cum0")).when(third == 1, F.col("_cum1")).otherwise(F.col("_cum2"))
+    pos = (base + cum + rank - start_in_cat).cast("long")
+    return b.withColumn("position", pos).drop(*[c for c in table.columns if c != cat])
 
 
 def order_interleaved(df: DataFrame, spec: OrderingSpec = OrderingSpec()) -> DataFrame:
