@@ -180,6 +180,23 @@ def order_interleaved_emh(df: DataFrame, spec: OrderingSpec = OrderingSpec()) ->
     return out.drop("_level")
 
 
+def reorder_runs(positioned: DataFrame, run_cols, position_col: str = "position") -> DataFrame:
+    """Re-order contiguous runs without re-sorting the rows: the runs keyed by
+    ``run_cols`` are contiguous in the current order; the result orders runs
+    by ``run_cols`` (in that column order, ascending) and keeps the current
+    order inside each run. One row per run is aggregated, offset by a
+    running sum over that small table (size-checked before broadcast), and
+    joined back."""
+    runs = positioned.groupBy(*run_cols).agg(F.min(position_col).alias("_rstart"),
+                                              F.count(F.lit(1)).alias("_rsize"))
+    before = Window.orderBy(*[F.col(c).asc() for c in run_cols]).rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_roff", F.coalesce(F.sum("_rsize").over(before), F.lit(0)))
+    small = count_groups(positioned, run_cols) <= 1_000_000
+    out = join_small(positioned, runs, list(run_cols), small)
+    return out.withColumn(position_col, (F.col("_roff") + F.col(position_col) - F.col("_rstart")).cast("long")) \
+        .drop("_rstart", "_rsize", "_roff")
+
+
 ORDERINGS = {
     "original": order_original,
     "random_shuffle": order_random,
@@ -215,6 +232,10 @@ def all_orderings(df: DataFrame, spec: OrderingSpec = OrderingSpec(), names=None
                 done[n] = _interleave(get("blocked"), spec)
             elif n == "interleaved_curriculum_strict":
                 done[n] = _interleave(get("blocked_curriculum_strict"), spec)
+            elif n == "interleaved_emh":
+                # (level, category) runs are contiguous in the blocked EMH order
+                be = get("blocked_emh").withColumn("_level", _level(spec))
+                done[n] = reorder_runs(be, ["_level", spec.category_col]).drop("_level")
             else:
                 done[n] = ORDERINGS[n](df, spec)
         return done[n]

@@ -129,3 +129,12 @@ def test_global_position_desc_and_nulls_last(spark):
     df = spark.createDataFrame([(1, 0.5), (2, None), (3, 0.9), (4, 0.5)], "k long, v double")
     out = global_position(df, [F.col("v").desc_nulls_last(), F.col("k")]).orderBy("position").collect()
     assert [r["k"] for r in out] == [3, 1, 4, 2]
+
+
+def test_reorder_runs_matches_direct_sort(spark):
+    rows = [(i, i % 4, i % 3, (i * 37) % 101) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, a int, b int, h long")
+    first = global_position(df, [F.col("a"), F.col("b"), F.col("h"), F.col("k")])
+    got = {r["k"]: r["position"] for r in O.reorder_runs(first, ["b", "a"]).collect()}
+    want = {k: i for i, (b, a, h, k) in enumerate(sorted((b, a, h, k) for k, a, b, h in rows))}
+    assert got == want
