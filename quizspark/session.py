@@ -9,6 +9,7 @@ the master is local (tests).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -52,7 +53,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        if not sc.master.startswith("local"):
+        if not re.match(r"local(\[|$)", sc.master):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         configured = tempfile.mkdtemp(prefix="quizspark-ckpt-")
     sc.setCheckpointDir(configured)
@@ -68,6 +69,9 @@ def ship_package(spark: SparkSession) -> None:
         return
     import zipfile
 
+    if not os.path.isfile(__file__):  # imported from an archive, which the job already ships
+        sc._quizspark_shipped = True
+        return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
     zpath = os.path.join(tempfile.mkdtemp(prefix="quizspark-pyfiles-"), "quizspark.zip")
