@@ -69,7 +69,9 @@ def main(argv=None) -> None:
                                     out_path=args.out)
     elif args.cmd == "order":
         t = R.read_questions(spark, args.train)
-        t = t.withColumn("cluster_label", t["cluster_label"].cast("int")) if "cluster_label" in t.columns else t
+        # labels of any type: whole numbers sort as numbers, others as text
+        if "cluster_label" in t.columns and t.where("cluster_label is not null and try_cast(cluster_label as int) is null").isEmpty():
+            t = t.withColumn("cluster_label", t["cluster_label"].cast("int"))
         spec = OrderingSpec(easy_threshold=args.easy, med_threshold=args.med)
         names = args.orderings.split(",") if args.orderings else None
         L.write_curriculum(t, args.out, args.dataset, spec, names)

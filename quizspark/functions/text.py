@@ -33,3 +33,11 @@ def format_stat(statistic, pvalue, alpha: float = 0.05, pad: str = " ") -> Colum
 def response_file_name(model="model", dataset="dataset") -> Column:
     """'<last part of the model path>_<dataset>.json' (e.g. org/name -> name_medqa.json)."""
     return F.concat(F.element_at(F.split(_col(model), "/"), -1), F.lit("_"), _col(dataset), F.lit(".json"))
+
+
+#: Common English words without content, for the registered query
+#: and its SQL.
+STOP_WORDS = tuple(
+    "a about after all also an and any are as at be been but by can could did do does for from had has have he her his how i if "
+    "in into is it its may more most no not of on or our out over she should so some such than that the their them then there "
+    "these they this those to under up was we were what when which who will with would you your".split())

@@ -200,6 +200,8 @@ def connected_components(edges: DataFrame, vertices: DataFrame, key_cols=(), max
         if total is not None and new_total == total:
             break
         total = new_total
+    else:
+        raise RuntimeError(f"connected_components: labels still change after {max_iter} rounds; give a larger max_iter")
     return labels
 
 
@@ -245,7 +247,7 @@ def _flat_cut(e: DataFrame, verts: DataFrame, thr, min_size, keys: list) -> Data
     else:
         firsts = firsts.withColumn("cluster", F.col("_gpos").cast("int"))
     out = out.join(firsts, keys + ["cluster_raw"], "left")
-    prob = F.when(F.col("cluster").isNotNull(), F.col("_mincore") / F.col("core")).otherwise(F.lit(0.0))
+    prob = F.when(F.col("cluster").isNotNull(), F.coalesce(F.try_divide("_mincore", "core"), F.lit(1.0))).otherwise(F.lit(0.0))
     return out.select(*keys, "id", F.coalesce("cluster", F.lit(-1)).alias("cluster"), prob.alias("probability"))
 
 
@@ -273,7 +275,7 @@ def cluster_score(clusters: DataFrame, prob_threshold: float = 0.05, key_cols=()
     lbl = F.col("cluster") if count_noise else F.when(F.col("cluster") != -1, F.col("cluster"))
     return clusters.groupBy(*key_cols).agg(
         F.count_distinct(lbl).alias("label_count"),
-        (F.count(F.when(F.col("probability") < prob_threshold, 1)) / F.count(F.lit(1))).alias("cost"))
+        F.try_divide(F.count(F.when(F.col("probability") < prob_threshold, 1)), F.count(F.lit(1))).alias("cost"))
 
 
 def cluster_objective(scores: DataFrame, label_lower: int = 6, label_upper: int = 20,

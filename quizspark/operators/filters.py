@@ -21,10 +21,34 @@ def correct_filter(df: DataFrame, incorrect: bool = False) -> DataFrame:
     return df.where(~ok if incorrect else ok)
 
 
-def limit_questions(df: DataFrame, n: int = 100_000, key: str = "question_index") -> DataFrame:
-    """First ``n`` questions in source order (a top-n, planned as
-    TakeOrderedAndProject: per-partition top-n, then one merge of n rows)."""
-    return df.orderBy(key).limit(n)
+def limit_questions(df: DataFrame, n: int, key: str = "question_index", slots: int = 512, last: int = 10_000) -> DataFrame:
+    """First ``n`` questions by a whole-number key (null keys first). Counts per
+    key range narrow down the bound: rows under it are a filter that reaches
+    the scan, and only the at most ``last`` rows around it are sorted."""
+    k = F.col(key)
+    nulls = df.where(k.isNull())
+    n_null = nulls.count()
+    if n_null >= n:
+        return nulls.limit(n)
+    lo, hi = df.agg(F.min(k), F.max(k)).first()
+    if lo is None:
+        return df
+    hi, below = hi + 1, n_null          # rows with keys under lo
+    while True:
+        width = -(-(hi - lo) // slots)
+        slot = F.floor((k - F.lit(lo)) / width)
+        counts = {r[0]: r[1] for r in df.where((k >= lo) & (k < hi)).groupBy(slot.alias("s")).count().collect()}
+        for s in sorted(counts):
+            if below + counts[s] >= n:
+                break
+            below += counts[s]
+        else:
+            return df                    # the limit is not reached
+        lo, hi = lo + s * width, min(hi, lo + (s + 1) * width)
+        if counts[s] <= last or hi - lo == 1:
+            break
+    rest = df.where((k >= lo) & (k < hi))
+    return df.where(k.isNull() | (k < lo)).unionByName(rest if below + counts[s] == n else rest.orderBy(key).limit(n - below))
 
 
 def distinct_prompts(df: DataFrame, prompt_col: str = "prompt", key: str = "question_index") -> DataFrame:

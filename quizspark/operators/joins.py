@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quizspark.operators.position import global_position
+
 
 def join_on_index(responses: DataFrame, questions: DataFrame, key: str = "question_index",
                   how: str = "inner") -> DataFrame:
@@ -19,28 +21,30 @@ def join_on_index(responses: DataFrame, questions: DataFrame, key: str = "questi
 
 
 def join_on_text(responses: DataFrame, questions: DataFrame, text_col: str = "question",
-                 null_safe: bool = False, duplicates: str = "first", key: str = "question_index",
+                 null_safe: bool = False, duplicates: str = "all", by: tuple[str, ...] = ("model",),
                  warn_if_empty: bool = False) -> DataFrame:
     """Fallback when responses lack ``question_index``: join on the rendered
-    question text.
+    question text, through its SHA-256 (the text itself is not shuffled twice).
 
-    ``duplicates="first"`` (default) resolves each text to its first
-    question (lowest ``key``; a partial aggregate, so a text repeated in a
-    third of the questions is still one row per partition before the
-    shuffle) and every response matches at most one question: no pairs are
-    emitted within a group of copies. ``duplicates="multiply"`` keeps a
-    pandas merge's behaviour (each response x each copy).
-    ``warn_if_empty`` runs a one-row probe and warns when nothing matches
-    (e.g. responses rendered with another prompt template)."""
-    q = questions.withColumnRenamed(text_col, "_qtext")
-    if duplicates == "first" and key in q.columns:
-        cols = [c for c in q.columns if c not in ("_qtext", key)]
-        first = q.groupBy("_qtext").agg(F.min(F.struct(key, *cols)).alias("_q"))
-        q = first.select("_qtext", "_q.*")
-    shared = [c for c in responses.columns if c in q.columns]
-    r = responses.drop(*shared)
-    cond = r[text_col].eqNullSafe(q["_qtext"]) if null_safe else r[text_col] == q["_qtext"]
-    out = r.join(q, cond, "inner").drop("_qtext")
+    Every question with a matching text gets its rows, copies included.
+    ``duplicates="all"`` (default) first reduces the responses to one per
+    (text, ``by``) - the least by its columns - so a text that stands c times
+    gives c rows per model, never c x c. ``duplicates="multiply"`` keeps every
+    response x copy, as a plain merge does. ``warn_if_empty`` runs a one-row
+    probe and warns when nothing matches (e.g. responses rendered with another
+    prompt template)."""
+    if duplicates not in ("all", "multiply"):
+        raise ValueError("duplicates is 'all' or 'multiply'")
+    text = F.col(text_col)
+    key = F.sha2((F.coalesce(F.concat(F.lit("t"), text), F.lit("null")) if null_safe else text).cast("binary"), 256)
+    q = questions.withColumn("_text_key", key).drop(text_col)
+    r = responses.drop(*[c for c in responses.columns if c in questions.columns and c != text_col])
+    r = r.withColumn("_text_key", key)
+    if duplicates == "all":
+        groups = [c for c in by if c in r.columns]
+        rest = [c for c in r.columns if c not in (*groups, "_text_key")]
+        r = r.groupBy("_text_key", *groups).agg(F.min(F.struct(*rest)).alias("_r")).select("_text_key", *groups, "_r.*")
+    out = r.join(q, "_text_key").drop("_text_key")
     if warn_if_empty and out.isEmpty():
         import warnings
         warnings.warn("join_on_text matched no question: were the responses rendered with another prompt "
@@ -57,13 +61,18 @@ def attach_predictions(test: DataFrame, predictions: DataFrame, key: str = "ques
 def training_table(questions: DataFrame, difficulty: DataFrame, clusters: DataFrame,
                    key: str = "question_index", prompt_col: str = "prompt",
                    difficulty_digits: int | None = 12) -> DataFrame:
-    """Questions with ``llm_difficulty`` (by question index; a difficulty file
-    keyed ``Index`` is accepted) and ``cluster_label`` (by prompt text); left
-    joins keep every question. Difficulty is rounded to 12 digits so level
-    thresholds and sort ties do not depend on the last bits of exp/ln."""
-    d = difficulty.withColumnRenamed("Index", key) if "Index" in difficulty.columns else difficulty
-    d = d.select(key, "llm_difficulty")
+    """Questions with ``llm_difficulty`` (by ``key``) and ``cluster_label`` (by
+    prompt text); left joins keep every question. A difficulty table that has
+    only ``Index`` is joined by row position in key order, which is what that
+    column means. Difficulty is rounded to 12 digits so level thresholds and
+    sort ties do not depend on the last bits of exp/ln."""
+    value = F.col("llm_difficulty")
     if difficulty_digits is not None:
-        d = d.withColumn("llm_difficulty", F.round("llm_difficulty", difficulty_digits))
+        value = F.round(value, difficulty_digits)
+    if key in difficulty.columns:
+        d = difficulty.select(key, value.alias("llm_difficulty"))
+    else:
+        at = global_position(questions.select(key), [F.col(key)], "_at")
+        d = at.join(difficulty.select(F.col("Index").alias("_at"), value.alias("llm_difficulty")), "_at").drop("_at")
     c = clusters.select(prompt_col, "cluster_label")
     return questions.join(d, key, "left").join(c, prompt_col, "left")

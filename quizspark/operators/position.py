@@ -73,9 +73,14 @@ def global_position(df: DataFrame, order_by: list, position_col: str = "position
     for pid in range(n):
         offsets.append(run)
         run += counts.get(pid, 0)
-    offset = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("_pid") + 1)
     local = F.col("_rid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return ranged.withColumn(position_col, (offset + local).cast("long")).drop("_pid", "_rid")
+    if len(offsets) <= 512:
+        offset = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("_pid") + 1)
+        return ranged.withColumn(position_col, (offset + local).cast("long")).drop("_pid", "_rid")
+    # a literal per partition would be slow to plan; the table has a row for each
+    table = df.sparkSession.createDataFrame(list(enumerate(offsets)), "_pid int, _offset long")
+    return (ranged.join(F.broadcast(table), "_pid")
+            .withColumn(position_col, (F.col("_offset") + local).cast("long")).drop("_pid", "_rid", "_offset"))
 
 
 def count_groups(df: DataFrame, group_cols) -> int:

@@ -118,34 +118,38 @@ def _category_key(category: str) -> Column:
 
 
 def category_metric_table(joined: DataFrame, questions: DataFrame, models, metric: str = "raw",
-                          category: str = "Category", human: DataFrame | None = None) -> DataFrame:
+                          category: str = "Category", with_human: bool = False, letters=LETTERS) -> DataFrame:
     """Category x model table with an ``All`` row and ``Count`` column.
 
     ``joined`` = responses joined to questions (J1). ``metric`` is ``raw``
     (accuracy), ``expected`` (expected accuracy) or ``gap`` (raw - expected).
-    Count comes from the questions table, accuracies from the responses.
-    One rollup over the responses computes every model column at once.
+    Count and ``Human`` come from the questions table, accuracies from the
+    responses: one aggregate by category over each, joined null-safely; the
+    ``All`` row sums those few rows, so a category that is itself called All,
+    or NULL, keeps its own row.
     """
     s = with_scores(joined)
     p = nan_to_null("p_correct")
-    aggs = []
-    for m in models:
+    sums = []
+    for i, m in enumerate(models):
         is_m = F.col("model") == m
-        n = F.count(F.when(is_m, F.lit(1)))
-        raw = F.try_divide(F.count(F.when(is_m & F.col("correct"), F.lit(1))), n)
-        exp_ = F.try_divide(F.coalesce(F.sum(F.when(is_m, p)), F.lit(0.0)), n)
-        val = {"raw": raw, "expected": exp_, "gap": raw - exp_}[metric]
-        aggs.append(val.alias(m))
-    table = s.rollup(category).agg(F.grouping(category).alias("_g"), *aggs).select(_category_key(category).alias(category), *models)
-    counts = questions.rollup(category).agg(F.grouping(category).alias("_g"), F.count(F.lit(1)).alias("Count")) \
-        .select(_category_key(category).alias(category), "Count")
-    out = counts.join(table, category, "left")
-    if metric == "gap":
-        # raw - expected cell by cell; Count - Count would be 0, so no Count
-        out = out.drop("Count")
-    if human is not None:
-        out = out.join(human.select(category, F.col("raw_accuracy").alias("Human")), category, "left")
-    return out
+        sums += [F.count(F.when(is_m, F.lit(1))).alias(f"_n{i}"), F.count(F.when(is_m & F.col("correct"), F.lit(1))).alias(f"_c{i}"),
+                 F.sum(F.when(is_m, p)).alias(f"_e{i}")]
+    per = s.groupBy(F.col(category).alias("_category")).agg(*sums)
+    share = nan_to_null(F.get(F.array(*[F.col(f"`%{x}`") for x in letters]), letter_index("Answer", letters))) / 100 if with_human else F.lit(0.0)
+    base = questions.groupBy(category).agg(F.count(F.lit(1)).alias("_rows"), F.sum(share).alias("_human"))
+    cells = []
+    for i, m in enumerate(models):
+        n = F.sum(f"_n{i}")
+        raw = F.try_divide(F.sum(f"_c{i}"), n)
+        expected = F.try_divide(F.coalesce(F.sum(f"_e{i}"), F.lit(0.0)), n)
+        cells.append({"raw": raw, "expected": expected, "gap": raw - expected}[metric].alias(m))
+    # raw - expected cell by cell; Count - Count would be 0, so gap has no Count
+    first = [] if metric == "gap" else [F.sum("_rows").alias("Count")]
+    last = [F.try_divide(F.coalesce(F.sum("_human"), F.lit(0.0)), F.sum("_rows")).alias("Human")] if with_human else []
+    both = base.join(per, F.col(category).eqNullSafe(F.col("_category")), "left")
+    out = both.rollup(category).agg(F.grouping(category).alias("_g"), *first, *cells, *last)
+    return out.select(_category_key(category).alias(category), *out.columns[2:])
 
 
 def human_baseline(questions: DataFrame, category: str = "Category", letters=LETTERS) -> DataFrame:

@@ -27,62 +27,32 @@ from quizspark.schema import LETTERS
 
 # --- p-values (small numeric helpers, run on result rows only) -------------
 
-def _betacf(a, b, x, iters=300, eps=1e-15):
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c = np.ones_like(x)
-    d = 1.0 - qab * x / qap
-    d = np.where(np.abs(d) < tiny, tiny, d)
-    d = 1.0 / d
-    h = d.copy()
-    for m in range(1, iters + 1):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = np.where(np.abs(d) < tiny, tiny, d)
-        c = 1.0 + aa / c
-        c = np.where(np.abs(c) < tiny, tiny, c)
-        d = 1.0 / d
-        h = h * d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = np.where(np.abs(d) < tiny, tiny, d)
-        c = 1.0 + aa / c
-        c = np.where(np.abs(c) < tiny, tiny, c)
-        d = 1.0 / d
-        delta = d * c
-        h = h * delta
-        if np.all(np.abs(delta - 1.0) < eps):
-            break
-    return h
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(40)
 
 
-def betainc_reg(a, b, x):
-    """Regularised incomplete beta I_x(a, b) for arrays (a, b scalars or
-    arrays, 0 <= x <= 1)."""
-    a = np.asarray(a, dtype=float)
-    b = np.asarray(b, dtype=float)
-    x = np.clip(np.asarray(x, dtype=float), 0.0, 1.0)
-    a, b, x = np.broadcast_arrays(a, b, x)
-    lbeta = np.vectorize(math.lgamma)(a + b) - np.vectorize(math.lgamma)(a) - np.vectorize(math.lgamma)(b)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        front = np.exp(lbeta + a * np.log(x) + b * np.log1p(-x))
-        direct = x < (a + 1.0) / (a + b + 2.0)
-        out = np.where(direct, front * _betacf(a, b, x) / a, 1.0 - front * _betacf(b, a, 1.0 - x) / b)
-    out = np.where(x <= 0.0, 0.0, np.where(x >= 1.0, 1.0, out))
-    return out
+def _t_tail(t: float, df: float) -> float:
+    """P(|T| >= |t|) of Student's t by Gauss-Legendre panels. With u = sqrt(df)
+    tan(a) the density is proportional to cos(a)^(df - 1) on (-pi/2, pi/2)."""
+    start = math.atan(abs(t) / math.sqrt(df))
+    # beyond twelve widths the density has dropped by e^-72
+    end = min(math.pi / 2, start + 12 / math.sqrt(df))
+    log_front = math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(math.pi)
+    total, step = 0.0, (end - start) / 8
+    for i in range(8):
+        a = start + step * (i + (_NODES + 1) / 2)
+        total += step / 2 * float(_WEIGHTS @ np.exp(log_front + (df - 1) * np.log(np.maximum(np.cos(a), 1e-300))))
+    return min(1.0, 2 * total)
 
 
 def pearson_pvalue(r, n):
     """Two-sided p of Pearson r with n pairs (t with n-2 df)."""
-    r = np.asarray(r, dtype=float)
-    df = np.asarray(n, dtype=float) - 2.0
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t2 = r * r * df / np.maximum(1.0 - r * r, 0.0)
-        p = betainc_reg(df / 2.0, 0.5, df / (df + t2))
-    p = np.where(np.abs(r) >= 1.0, 0.0, p)
-    return np.where(df > 0, p, np.nan)
+    def one(x: float, m: float) -> float:
+        if not math.isfinite(x) or m <= 2:
+            return math.nan
+        if abs(x) >= 1:
+            return 0.0
+        return _t_tail(x * math.sqrt((m - 2) / (1 - x * x)), m - 2)
+    return np.vectorize(one, otypes=[float])(np.asarray(r, dtype=float), np.asarray(n, dtype=float))
 
 
 def normal_pvalue(z):
@@ -116,6 +86,13 @@ def human_share(letters=LETTERS) -> Column:
     return F.get(F.array(*[F.col(f"`%{x}`") for x in letters]), letter_index("Answer", letters))
 
 
+def safe_corr(x: Column, y: Column) -> Column:
+    """Pearson r over the rows where both are present; NULL without variance."""
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def difficulty_correlations(joined: DataFrame, with_p: bool = False) -> DataFrame:
     """Pearson r per model between p_correct (NaN -> 0) and IOD, MD ('DI')
     and the human share of the right answer (Answer from the questions
@@ -124,7 +101,7 @@ def difficulty_correlations(joined: DataFrame, with_p: bool = False) -> DataFram
     s = joined.select("model", p.alias("_p"), F.col("IOD").alias("_iod"), F.col("MD").alias("_md"),
                       human_share().alias("_h"))
     wide = s.groupBy("model").agg(
-        F.corr("_iod", "_p").alias("IOD"), F.corr("_md", "_p").alias("DI"), F.corr("_h", "_p").alias("Human"),
+        safe_corr(F.col("_iod"), F.col("_p")).alias("IOD"), safe_corr(F.col("_md"), F.col("_p")).alias("DI"), safe_corr(F.col("_h"), F.col("_p")).alias("Human"),
         F.count(F.lit(1)).alias("n"))
     out = wide.select("model", "n", F.expr("stack(3, 'IOD', IOD, 'DI', DI, 'Human', Human) as (metric, r)"))
     return with_pearson_p(out) if with_p else out
@@ -132,26 +109,22 @@ def difficulty_correlations(joined: DataFrame, with_p: bool = False) -> DataFram
 
 def pairwise_correlations(responses: DataFrame, models, keys=("question_index",), with_p: bool = False) -> DataFrame:
     """Full M x M Pearson matrix (self included, mirrored) of p_correct
-    (NaN -> 0) across questions. One pivot (shuffle on the question key)
+    (NaN -> 0) across the questions that both models answered, with their
+    number; NULL for a model without variance. One pivot (shuffle on the question key)
     and one aggregate with M(M+1)/2 ``corr`` expressions; no row pairs."""
     models = list(models)
     p = nan_to_zero(p_correct("clls", "correct_answer"))
     wide = responses.select(*keys, "model", p.alias("_p")).groupBy(*keys).agg(
         *[F.max(F.when(F.col("model") == m, F.col("_p"))).alias(m) for m in models])
-    filled = wide.select(*[F.coalesce(F.col(f"`{m}`"), F.lit(0.0)).alias(m) for m in models])
-    aggs, pairs = [], []
+    rows = []
+    aggs = []
     for i, a in enumerate(models):
         for b in models[i:]:
-            name = f"_c{len(pairs)}"
-            aggs.append(F.corr(F.col(f"`{a}`"), F.col(f"`{b}`")).alias(name))
-            pairs.append((a, b, name))
-    one = filled.agg(F.count(F.lit(1)).alias("n"), *aggs)
-    rows = []
-    for a, b, name in pairs:
-        rows.append(F.struct(F.lit(a).alias("m1"), F.lit(b).alias("m2"), F.col(name).alias("r")))
-        if a != b:
-            rows.append(F.struct(F.lit(b).alias("m1"), F.lit(a).alias("m2"), F.col(name).alias("r")))
-    out = one.select("n", F.explode(F.array(*rows)).alias("e")).select("e.m1", "e.m2", "e.r", "n")
+            x, y, name = F.col(f"`{a}`"), F.col(f"`{b}`"), f"_{len(aggs)}"
+            aggs.append(F.struct(safe_corr(x, y).alias("r"), F.count(F.when(x.isNotNull() & y.isNotNull(), 1)).alias("n")).alias(name))
+            for m1, m2 in {(a, b), (b, a)}:
+                rows.append(F.struct(F.lit(m1).alias("m1"), F.lit(m2).alias("m2"), F.col(name)["r"].alias("r"), F.col(name)["n"].alias("n")))
+    out = wide.agg(*aggs).select(F.explode(F.array(*rows)).alias("e")).select("e.*")
     return with_pearson_p(out) if with_p else out
 
 
@@ -170,18 +143,19 @@ def calibration(responses: DataFrame, with_p: bool = False) -> DataFrame:
     With one binary regressor the fit is saturated: the MLE reproduces the
     group means, so slope = logit(p1) - logit(p0) and
     se^2 = 1/(n1 p1 (1-p1)) + 1/(n0 p0 (1-p0)) — one aggregate, no
-    iterations."""
+    iterations. A group without rows, or with mean 0 or 1, has no finite
+    estimate: its columns are NULL."""
     y = nan_to_zero(F.exp(F.array_max(F.array(*[nan_to_null(F.get("clls", i)) for i in range(5)]))))
     x = correct_flag("correct_answer", "response")
     g = responses.select("model", y.alias("_y"), x.alias("_x")).groupBy("model").agg(
         F.avg(F.when(F.col("_x"), F.col("_y"))).alias("p1"), F.count(F.when(F.col("_x"), 1)).alias("n1"),
         F.avg(F.when(~F.col("_x"), F.col("_y"))).alias("p0"), F.count(F.when(~F.col("_x"), 1)).alias("n0"))
-    logit = lambda p: F.log(p / (F.lit(1.0) - p))
-    se = F.sqrt(F.lit(1.0) / (F.col("n1") * F.col("p1") * (1 - F.col("p1")))
-                + F.lit(1.0) / (F.col("n0") * F.col("p0") * (1 - F.col("p0"))))
+    logit = lambda p: F.log(F.try_divide(F.when(p > 0, p), F.lit(1.0) - p))
+    part = lambda n, p: F.try_divide(F.lit(1.0), F.col(n) * F.col(p) * (1 - F.col(p)))
+    se = F.sqrt(part("n1", "p1") + part("n0", "p0"))
     out = g.select("model", logit(F.col("p0")).alias("intercept"),
                    (logit(F.col("p1")) - logit(F.col("p0"))).alias("slope"), se.alias("se"))
-    out = out.withColumn("z", F.col("slope") / F.col("se"))
+    out = out.withColumn("z", F.try_divide("slope", "se"))
     return with_normal_p(out) if with_p else out
 
 
@@ -200,12 +174,14 @@ def length_regression(responses: DataFrame, text_col: str = "question", max_iter
     per model, by grouped IRLS (Newton): each iteration is one
     ``groupBy(model)`` of five weighted sums with the current coefficients
     inlined as literals; the 2x2 solves run on the M coefficient rows, the
-    only data collected. The (model, x, y) projection is persisted for the
-    iterations; lineage stays one aggregate deep."""
+    only data collected. The responses are read once, into counts and sums of
+    y per (model, word count); the steps run on that small persisted table.
+    Raises if the steps do not settle."""
     spark = responses.sparkSession
     y = nan_to_zero(p_correct("clls", "correct_answer"))
     x = F.log(F.greatest(word_count(text_col), F.lit(1)).cast("double"))
-    data = responses.select("model", x.alias("x"), y.alias("y")).persist(StorageLevel.MEMORY_AND_DISK)
+    data = (responses.select("model", x.alias("x"), y.alias("y")).groupBy("model", "x")
+            .agg(F.sum("y").alias("y"), F.count(F.lit(1)).alias("k")).persist(StorageLevel.MEMORY_AND_DISK))
 
     def sums(coef):
         if coef is None:
@@ -213,12 +189,12 @@ def length_regression(responses: DataFrame, text_col: str = "question", max_iter
         else:
             eta = _per_model(coef, 0) + _per_model(coef, 1) * F.col("x")
         mu = F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
-        w = F.greatest(mu * (F.lit(1.0) - mu), F.lit(1e-12))
-        z = eta + (F.col("y") - mu) / w
+        w = F.greatest(mu * (F.lit(1.0) - mu), F.lit(1e-12)) * F.col("k")
+        wz = w * eta + F.col("y") - mu * F.col("k")
         rows = data.groupBy("model").agg(
             F.sum(w).alias("sw"), F.sum(w * F.col("x")).alias("swx"),
-            F.sum(w * F.col("x") * F.col("x")).alias("swxx"), F.sum(w * z).alias("swz"),
-            F.sum(w * F.col("x") * z).alias("swxz"), F.count(F.lit(1)).alias("n")).collect()
+            F.sum(w * F.col("x") * F.col("x")).alias("swxx"), F.sum(wz).alias("swz"),
+            F.sum(F.col("x") * wz).alias("swxz"), F.sum("k").alias("n")).collect()
         return {r["model"]: r for r in rows}
 
     coef, info = None, None
@@ -238,6 +214,9 @@ def length_regression(responses: DataFrame, text_col: str = "question", max_iter
         coef = new
         if delta < tol:
             break
+    else:
+        data.unpersist()
+        raise RuntimeError(f"length_regression: coefficients still move by {delta:.3g} after {max_iter} steps")
     info = sums(coef)  # information matrix at the estimate
     data.unpersist()
     rows = []
@@ -266,7 +245,7 @@ def shuffle_agreement(base: DataFrame, unshuffled: DataFrame, key: str = "questi
         F.count(F.when(u_ & ~b_, 1)).alias("n_unrand_only"),
         F.count(F.when(~u_ & b_, 1)).alias("n_base_only"),
         F.count(F.when(~u_ & ~b_, 1)).alias("n_both_wrong"),
-        (F.count(F.when(u_ == b_, 1)) / F.count(F.lit(1))).alias("diagonal_share"))
+        F.try_divide(F.count(F.when(u_ == b_, 1)), F.count(F.lit(1))).alias("diagonal_share"))
 
 
 def shuffle_responses(responses: DataFrame, shuffle: str = "shuffle", letters=LETTERS) -> DataFrame:

@@ -72,8 +72,7 @@ def q_difficulty_histogram(spark, sf):
 def _category_table(spark, sf, metric):
     q = I.master_questions(spark, sf)
     joined = J.join_on_index(I.responses(spark, sf), q)
-    human = S.human_baseline(q) if metric != "gap" else None
-    return rounded(S.category_metric_table(joined, q, I.MODELS, metric, human=human))
+    return rounded(S.category_metric_table(joined, q, I.MODELS, metric, with_human=metric != "gap"))
 
 
 @query("accuracy_by_category")
@@ -187,7 +186,7 @@ def q_step_plan(spark, sf):
 # --- prompts ---------------------------------------------------------------
 
 from quizspark.functions import prompts as P  # noqa: E402
-from quizspark.functions.text import word_count  # noqa: E402
+from quizspark.functions.text import STOP_WORDS, word_count  # noqa: E402
 from quizspark.operators import filters as Fl  # noqa: E402
 from quizspark.operators import stats as St  # noqa: E402
 
@@ -296,7 +295,7 @@ def q_correct_filter(spark, sf):
 
 @query("limit_questions")
 def q_limit_questions(spark, sf):
-    return Fl.limit_questions(I.questions(spark, sf), 100_000).select("question_index", "prompt")
+    return Fl.limit_questions(I.questions(spark, sf), 1000).select("question_index", "prompt")
 
 
 @query("distinct_prompts")
@@ -319,11 +318,25 @@ def q_normalise_flat(spark, sf):
 
 @query("join_on_text")
 def q_join_on_text(spark, sf):
-    r = I.responses(spark, sf).drop("question_index", "Category")
-    q = I.questions(spark, sf).select("question_index", P.scoring_prompt().alias("question"))
+    """Documents stand for questions (with their copies), answered by two models."""
+    d = fx.table(spark, sf, "documents")
+    r = d.select(F.col("text").alias("question"), F.concat(F.lit("m"), (F.col("doc_id") % 2 + 1).cast("string")).alias("model"),
+                 F.substr(F.lit("ABCDE"), (F.col("doc_id") % 5 + 1).cast("int"), F.lit(1)).alias("response"))
+    q = d.select(F.col("doc_id").alias("question_index"), F.col("text").alias("question"))
     return J.join_on_text(r, q).select("question_index", "model", "response")
 
 
+@query("difficulty_index")
+def q_difficulty_index(spark, sf):
+    from quizspark.sources.writers import difficulty_index
+    return rounded(difficulty_index(I.difficulty(spark, sf).select("question_index", "llm_difficulty")))
+
+
+@query("incorrect_filter")
+def q_incorrect_filter(spark, sf):
+    return Fl.correct_filter(I.responses(spark, sf), incorrect=True).select("question_index", "model")
+
+
 @query("human_and_models")
 def q_human_and_models(spark, sf):
     r = I.responses(spark, sf)
@@ -448,7 +461,7 @@ def q_cluster_search(spark, sf):
 @query("cluster_top_words")
 def q_cluster_top_words(spark, sf):
     p = fx.prompts(spark, sf)
-    return C.cluster_top_words(p, "prompt", "Category", "question_index")
+    return C.cluster_top_words(p, "prompt", "Category", "question_index", stop_words=list(STOP_WORDS))
 
 
 @query("prompt_categories")

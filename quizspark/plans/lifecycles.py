@@ -46,8 +46,8 @@ def score_report(responses: DataFrame, questions: DataFrame, models) -> dict[str
     return {
         "accuracy_by_model": S.accuracy_by_model(responses),
         "expected_accuracy_by_model": S.expected_accuracy_by_model(responses),
-        "accuracy_by_category": S.category_metric_table(joined, questions, models, "raw", human=human),
-        "expected_by_category": S.category_metric_table(joined, questions, models, "expected", human=human),
+        "accuracy_by_category": S.category_metric_table(joined, questions, models, "raw", with_human=True),
+        "expected_by_category": S.category_metric_table(joined, questions, models, "expected", with_human=True),
         "accuracy_gap": S.category_metric_table(joined, questions, models, "gap"),
         "human_baseline": human,
         "difficulty_corr": St.difficulty_correlations(joined, with_p=True),

@@ -4,6 +4,8 @@ statement runs on the driver's pre-registered tables."""
 
 from __future__ import annotations
 
+from quizspark.functions.text import STOP_WORDS
+
 _CTES = {
     "questions_v": """
 SELECT o_orderkey AS question_index,
@@ -351,14 +353,20 @@ SELECT round(sum(tp) / sum(s), 9) AS Accuracy,
 FROM per""",
     "category_filter": "SELECT question_index, model, response FROM predictions_v WHERE Category = '2-HIGH'",
     "correct_filter": "SELECT question_index, model FROM predictions_v WHERE coalesce(correct_answer = response, false)",
-    "limit_questions": "SELECT question_index, prompt FROM questions_v ORDER BY question_index LIMIT 100000",
+    "limit_questions": "SELECT question_index, prompt FROM questions_v ORDER BY question_index LIMIT 1000",
     "distinct_prompts": """
 SELECT min(question_index) AS first_index, count(*) AS n_copies, md5(prompt) AS prompt_md5
 FROM prompts_v WHERE prompt IS NOT NULL GROUP BY prompt""",
     "normalise_nested": "SELECT question_index, prompt, A, B, C, D, E, Answer FROM questions_v",
     "normalise_flat": """
 SELECT question_index, prompt, A, B, C, D, substr('ABCD', cast(question_index % 4 AS int) + 1, 1) AS Answer FROM questions_v""",
-    "join_on_text": "SELECT question_index, model, response FROM predictions_v",
+    "difficulty_index": "SELECT cast(row_number() OVER (ORDER BY question_index) - 1 AS bigint) AS Index, "
+                        "round(llm_difficulty, 9) AS llm_difficulty, question_index FROM difficulty_v",
+    "incorrect_filter": "SELECT question_index, model FROM predictions_v "
+                        "WHERE NOT coalesce(correct_answer = response, false)",
+    "join_on_text": """SELECT q.doc_id AS question_index, r.model, r.response FROM documents q JOIN (
+    SELECT text, 'm' || cast(doc_id % 2 + 1 AS varchar) AS model, min(substr('ABCDE', cast(doc_id % 5 + 1 AS int), 1)) AS response
+    FROM documents GROUP BY 1, 2) r ON q.text = r.text""",
     "human_and_models": """
 SELECT 'Human' AS name, round(coalesce(sum(h.pct / 100), 0), 9) AS n_correct,
        round(coalesce(sum(h.pct / 100), 0) / count(*), 9) AS raw_accuracy,
@@ -417,21 +425,8 @@ SQL["ordered_category_table"] = _oc.replace(
 
 # --- clustering ---------------------------------------------------------------
 
-def _spark_english_stop_words() -> list[str]:
-    """Spark's default English stop-word list, read from the MLlib jar that
-    ships with PySpark (no JVM needed)."""
-    import os
-    import zipfile
-
-    import pyspark
-    jars = os.path.join(os.path.dirname(pyspark.__file__), "jars")
-    jar = next(f for f in os.listdir(jars) if f.startswith("spark-mllib_"))
-    with zipfile.ZipFile(os.path.join(jars, jar)) as z:
-        return z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode("utf-8").split()
-
-
 def _top_words_sql() -> str:
-    stop = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in _spark_english_stop_words()) + "]"
+    stop = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS) + "]"
     return f"""
 , toks AS (SELECT question_index AS doc, Category AS cluster,
                   list_filter(regexp_extract_all(lower(coalesce(prompt, '')), '[\\pL\\pN_]{{2,}}'),
@@ -460,7 +455,7 @@ d AS (SELECT dots.id, dots.nbr, 1 - dot / (na.nx * nb.nx) AS dist
       FROM dots JOIN nrm na ON na.vec_id = dots.id JOIN nrm nb ON nb.vec_id = dots.nbr),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nbr) AS rank FROM d)
 SELECT id, nbr, round(dist, 9) AS dist, cast(rank AS int) AS rank FROM r WHERE rank <= 10""",
-    "cluster_top_words": _top_words_sql(),
+    "cluster_top_words": _top_words_sql,
     "cluster_score": """
 SELECT count(DISTINCT cluster) AS label_count, round(count(*) FILTER (WHERE probability < 0.05) / count(*), 9) AS cost
 FROM clusters_v""",
@@ -475,7 +470,7 @@ SELECT label_count, round(cost, 9) AS cost,
 def oracle_sql() -> dict[str, str]:
     out = {}
     for k, body in SQL.items():
-        body = body.strip("\n")
+        body = (body() if callable(body) else body).strip("\n")
         if body.startswith(","):
             # the body continues the WITH list with its own CTEs
             prefix = with_views("SELECT 1 " + body).partition("\nSELECT 1 ")[0]

@@ -3,27 +3,41 @@ MCQ sources."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizspark.operators.filters import limit_questions, normalise_flat, normalise_nested
+from quizspark.operators.position import global_position
 from quizspark.schema import LETTERS, RESPONSE_FILE_SCHEMA
 
-# <model>_<dataset>.json : the dataset is the part after the last underscore
-_NAME = r"([^/]*)_([^_/]+)\.json$"
+_FILE = r"([^/]*)\.json$"
 
 
-def read_responses(spark: SparkSession, paths) -> DataFrame:
+def _model_and_dataset(name: Column, datasets: tuple[str, ...]) -> tuple[Column, Column]:
+    """From ``<model>_<dataset>`` or ``<model>``: a listed dataset name is taken
+    whole (the longest that fits), else what follows the last underscore."""
+    model = F.when(name.contains("_"), F.regexp_extract(name, r"^(.*)_[^_]+$", 1)).otherwise(name)
+    dataset = F.when(name.contains("_"), F.regexp_extract(name, r"^.*_([^_]+)$", 1)).otherwise("")
+    for d in sorted(datasets, key=len):
+        hit = name.endswith("_" + d)
+        model = F.when(hit, F.substr(name, F.lit(1), F.length(name) - len(d) - 1)).otherwise(model)
+        dataset = F.when(hit, F.lit(d)).otherwise(dataset)
+    return model, dataset
+
+
+def read_responses(spark: SparkSession, paths, datasets: tuple[str, ...] = ()) -> DataFrame:
     """One JSON document per (model, dataset) with the responses under
     ``questions``; returns one row per response with ``pos`` (its position
-    in the file), ``model`` and ``dataset`` (from the file name).
+    in the file), ``model`` and ``dataset`` (from the file name:
+    ``<model>_<dataset>.json`` or ``<model>.json``; ``datasets`` lists names
+    that hold underscores themselves).
 
     A multi-line JSON file is a single task: convert once to Parquet with
     :func:`quizspark.sources.writers.write_responses` for volume."""
     raw = (spark.read.schema(RESPONSE_FILE_SCHEMA).option("multiLine", True)
            .option("allowNonNumericNumbers", True).json(paths))
-    f = F.input_file_name()
-    rows = raw.select(F.regexp_extract(f, _NAME, 1).alias("model"), F.regexp_extract(f, _NAME, 2).alias("dataset"),
+    model, dataset = _model_and_dataset(F.url_decode(F.regexp_extract(F.input_file_name(), _FILE, 1)), datasets)
+    rows = raw.select(model.alias("model"), dataset.alias("dataset"),
                       F.posexplode("questions").alias("pos", "q"))
     return rows.select("model", "dataset", "pos", "q.*")
 
@@ -36,22 +50,27 @@ def read_questions(spark: SparkSession, path: str, index_col: str = "question_in
     first = df.columns[0]
     if first in ("_c0", "", "Unnamed: 0"):
         df = df.withColumnRenamed(first, index_col).withColumn(index_col, F.col(index_col).cast("long"))
+    elif index_col in df.columns:
+        df = df.withColumn(index_col, F.col(index_col).cast("long"))
+    else:  # no index: the row's place in the file is its key
+        df = global_position(df.withColumn("_row", F.monotonically_increasing_id()), ["_row"], index_col).drop("_row")
     numeric = [c for c in df.columns if c in ("IOD", "MD", "llm_difficulty") or c.startswith("%")]
     return df.withColumns({c: F.col(f"`{c}`").cast("double") for c in numeric})
 
 
 def read_difficulty(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    if fmt == "csv":
-        return spark.read.schema("Index long, llm_difficulty double").option("header", True).csv(path)
-    return spark.read.parquet(path)
+    if fmt != "csv":
+        return spark.read.parquet(path)
+    df = spark.read.option("header", True).csv(path)
+    return df.withColumns({c: F.col(c).cast("double" if c == "llm_difficulty" else "long") for c in df.columns})
 
 
-def load_questions(spark: SparkSession, source: str, kind: str = "csv", limit: int | None = 100_000,
+def load_questions(spark: SparkSession, source: str, kind: str = "csv", limit: int | None = None,
                    n_options: int = 5) -> DataFrame:
     """Questions from a named layout: ``csv`` (master CSV), ``nested``
     (question / answer_idx / options[{key, value}], JSON or Parquet),
     ``flat`` (question, opa..opd, cop). Rows keep their source index and
-    the first ``limit`` by index are kept (the reference's --max_questions)."""
+    the first ``limit`` by index are kept if a limit is given."""
     if kind == "csv":
         df = read_questions(spark, source)
     else:

@@ -15,12 +15,15 @@ def _dynamic(writer):
     return writer.option("partitionOverwriteMode", "dynamic")
 
 
+def difficulty_index(difficulty: DataFrame, key: str = "question_index") -> DataFrame:
+    return global_position(difficulty.select(key, "llm_difficulty"), [F.col(key)], "Index").select("Index", "llm_difficulty", key)
+
+
 def write_difficulty(difficulty: DataFrame, path: str, fmt: str = "csv", key: str = "question_index") -> DataFrame:
-    """Columns ``Index, llm_difficulty``; Index is the row position in
-    question order (0..n-1), as the reference writes it."""
-    out = global_position(difficulty.select(key, "llm_difficulty"), [F.col(key)], "Index") \
-        .select("Index", "llm_difficulty")
-    out = out.repartitionByRange("Index").sortWithinPartitions("Index")
+    """Columns ``Index, llm_difficulty`` and the key. Index is the row position
+    in question order (0..n-1); the key makes the file joinable where keys
+    have gaps. The positions' range partitions are written as they are."""
+    out = difficulty_index(difficulty, key)
     w = out.write.mode("overwrite")
     (w.option("header", True).csv(path) if fmt == "csv" else w.parquet(path))
     return out

@@ -100,3 +100,18 @@ def test_require_columns(spark):
     df = spark.createDataFrame([(1,)], "x int")
     with pytest.raises(ValueError):
         require_columns(df, ["prompt"])
+
+
+def test_response_file_names(spark, tmp_path):
+    body = json.dumps({"questions": [{"question": "q", "question_index": 0}]})
+    for name in ("alone", "my_model_med_qa", "m_x"):
+        (tmp_path / f"{name}.json").write_text(body)
+    got = {(r["model"], r["dataset"]) for r in R.read_responses(spark, str(tmp_path), datasets=("med_qa",)).collect()}
+    assert got == {("alone", ""), ("my_model", "med_qa"), ("m", "x")}
+
+
+def test_questions_without_an_index_get_their_row(spark, tmp_path):
+    p = tmp_path / "train.csv"
+    p.write_text("prompt,A,B,C,D,E,Answer,cluster_label,llm_difficulty\n" + "".join(f"q{i},a,b,c,d,e,A,ID,0.{i}\n" for i in range(1, 8)))
+    df = R.read_questions(spark, str(p))
+    assert sorted((r["question_index"], r["prompt"]) for r in df.collect()) == [(i - 1, f"q{i}") for i in range(1, 8)]

@@ -113,8 +113,10 @@ def test_join_on_text_duplicates(spark):
     from quizspark.operators.joins import join_on_text
     r = spark.createDataFrame([("t1", "A"), ("t1", "B"), ("t2", "C")], "question string, response string")
     q = spark.createDataFrame([(5, "t1"), (3, "t1"), (9, "t2")], "question_index long, question string")
-    first = sorted((x["question_index"], x["response"]) for x in join_on_text(r, q).collect())
-    assert first == [(3, "A"), (3, "B"), (9, "C")]
+    every = sorted((x["question_index"], x["response"]) for x in join_on_text(r, q).collect())
+    assert every == [(3, "A"), (5, "A"), (9, "C")]   # no question is lost, one response each
+    models = r.withColumn("model", r["response"])
+    assert join_on_text(models, q).count() == 5
     assert join_on_text(r, q, duplicates="multiply").count() == 5
 
 
@@ -127,3 +129,89 @@ def test_join_on_text_warns_on_zero_matches(spark):
         warnings.simplefilter("always")
         assert join_on_text(r, q, warn_if_empty=True).count() == 0
     assert any("matched no question" in str(x.message) for x in w)
+
+
+def _answers(spark, rows):
+    return spark.createDataFrame(rows, "question_index long, model string, correct_answer string, response string, clls array<double>, "
+                                       "Category string, IOD double, MD double, Answer string, `%A` double, `%B` double, `%C` double, `%D` double, `%E` double")
+
+
+def _row(q, model, p, category="c", ok=True):
+    return (q, model, "A", "A" if ok else "B", [math.log(p)] + [-9.0] * 4, category, float(q % 3), float(q % 5), "A", 10.0 + q, 0.0, 0.0, 0.0, 0.0)
+
+
+def test_pairs_use_questions_both_answered(spark):
+    rows = [_row(q, "a", 0.1 + 0.02 * q) for q in range(30)] + [_row(q, "b", 0.2 + 0.02 * q) for q in range(0, 30, 3)] \
+        + [_row(q, "flat", 0.5) for q in range(30)]
+    got = {(r["m1"], r["m2"]): r for r in St.pairwise_correlations(_answers(spark, rows), ["a", "b", "flat", "none"]).collect()}
+    assert len(got) == 16 and got["a", "b"]["n"] == 10 and abs(got["a", "b"]["r"] - 1) < 1e-9
+    assert got["a", "flat"]["r"] is None and got["a", "none"]["n"] == 0 and got["none", "none"]["r"] is None
+    assert {r["r"] for r in St.difficulty_correlations(_answers(spark, rows)).where("model = 'flat'").collect()} == {None}
+
+
+def test_saturated_and_empty_inputs(spark):
+    one = _answers(spark, [_row(0, "m", 1.0), _row(1, "m", 1.0), _row(2, "m", 0.5, ok=False), _row(3, "k", 0.4)])
+    got = {r["model"]: r for r in St.calibration(one).collect()}
+    assert got["m"]["slope"] is None and got["m"]["se"] is None and got["k"]["slope"] is None
+    empty = one.where("false")
+    assert St.shuffle_agreement(empty, empty).first()["diagonal_share"] is None
+    assert St.calibration(empty).count() == 0
+
+
+def test_null_and_all_categories_keep_their_rows(spark):
+    from quizspark.operators import scoring as S
+    df = _answers(spark, [_row(0, "m", 0.5, "All"), _row(1, "m", 0.5, None, ok=False), _row(2, "m", 0.5, "x"), _row(3, "m", 0.5, "x", ok=False)])
+    rows = S.category_metric_table(df, df, ["m", "absent"], "raw", with_human=True).collect()
+    assert sorted((r["Category"] or "", r["Count"], r["m"]) for r in rows) == [("", 1, 0.0), ("All", 1, 1.0), ("All", 4, 0.5), ("x", 2, 0.5)]
+    assert all(r["absent"] is None for r in rows)
+
+
+def test_t_tail_against_known_values():
+    for r, n, p in ((0.5, 10, 0.14111328125), (0.0, 5, 1.0), (0.9, 3, 1 - 2 * math.asin(0.9) / math.pi)):
+        assert abs(float(St.pearson_pvalue(r, n)) - p) < 1e-9
+    assert float(St.pearson_pvalue(1.0, 10)) == 0.0 and math.isnan(float(St.pearson_pvalue(0.3, 2)))
+
+
+def test_regression_says_when_it_does_not_settle(spark):
+    rows = [(f"w{i} " * (1 + i % 7), "m", "A", [math.log(0.05 + 0.1 * (i % 7))] + [-9.0] * 4) for i in range(70)]
+    df = spark.createDataFrame(rows, "question string, model string, correct_answer string, clls array<double>")
+    assert St.length_regression(df).count() == 1
+    with pytest.raises(RuntimeError):
+        St.length_regression(df, max_iter=1)
+
+
+def test_training_table_with_gapped_keys(spark, tmp_path):
+    from quizspark.operators.joins import training_table
+    from quizspark.sources import readers as R, writers as W
+    q = spark.createDataFrame([(k, f"p{k}") for k in (0, 1, 10, 20)], "question_index long, prompt string")
+    d = spark.createDataFrame([(0, 0.5), (1, 0.9), (10, 0.1), (20, 0.2)], "question_index long, llm_difficulty double")
+    c = spark.createDataFrame([("p0", 1)], "prompt string, cluster_label int")
+    W.write_difficulty(d, str(tmp_path / "d"))
+    back = R.read_difficulty(spark, str(tmp_path / "d"))
+    for table in (back, back.drop("question_index")):
+        got = {r["question_index"]: r["llm_difficulty"] for r in training_table(q, table, c).collect()}
+        assert got == {0: 0.5, 1: 0.9, 10: 0.1, 20: 0.2}
+
+
+def test_limit_finds_the_bound_by_ranges(spark):
+    from quizspark.operators.filters import limit_questions
+    keys = [None, None] + [k * k for k in range(500)]
+    df = spark.createDataFrame([(k,) for k in keys], "question_index long")
+    for n in (1, 2, 3, 250, 501, 502, 10_000):
+        got = sorted((r[0] is not None, r[0] or 0) for r in limit_questions(df, n, slots=4, last=5).collect())
+        assert got == sorted((k is not None, k or 0) for k in keys)[:n]
+
+
+def test_positions_over_many_partitions(spark):
+    from quizspark.operators.position import global_position, release_positions
+    df = spark.range(3000).selectExpr("(id * 7919) % 3001 as k")
+    got = [r["k"] for r in global_position(df, ["k"], n_partitions=600).orderBy("position").collect()]
+    assert got == sorted(got) and len(got) == 3000
+    release_positions()
+
+
+def test_oracle_needs_no_files_beside_pyspark(monkeypatch):
+    import pyspark
+    from quizspark.plans import oracle
+    monkeypatch.setattr(pyspark, "__file__", "/nowhere/pyspark.zip/pyspark/__init__.py")
+    assert all(isinstance(v, str) for v in oracle.oracle_sql().values())
