@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quizspark.llm.common import fresh, pieces, shared_table
+from quizspark.llm.common import fresh, pieces, shared_table, small_enough
 from quizspark.llm.simhash import bit_counts, majority
 
 SHINGLE = 5
@@ -220,9 +220,12 @@ def _normalised(text: Column) -> Column:
     return F.pandas_udf(run, "string")(text.cast("string"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """Documents in which no window matches an item, with all their columns."""
-    rid = fresh(docs, "row_number")
-    numbered = shared_table(docs.withColumn(rid, F.monotonically_increasing_id()))
-    hit = benchmark_matches(numbered.select(F.col(rid).alias("doc_id"), "text"), benchmark, similarity)
-    return numbered.join(hit.select(F.col("doc_id").alias(rid)).distinct(), rid, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, broadcast_rows: int = 500_000) -> DataFrame:
+    """Documents in which no window matches an item, with all their columns.
+    The verdict hangs on the text alone, so it is carried by the text's md5."""
+    key = fresh(docs, "text_md5")
+    md5 = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    found = benchmark_matches(docs.select(md5.alias("doc_id"), "text"), benchmark, similarity)
+    hit = shared_table(found.select(F.col("doc_id").alias(key)).distinct())
+    hit = F.broadcast(hit) if small_enough(hit, broadcast_rows) else hit
+    return docs.withColumn(key, md5).join(hit, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

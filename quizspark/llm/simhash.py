@@ -179,18 +179,20 @@ def simhash_components(docs: DataFrame, shingle_words: int = 3, max_bits: int =
 def drop_near_duplicates(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2) -> DataFrame:
     """One document of each component, with all its columns: the one with the
     smallest id (a null id last; equal ids: by hash of the whole row)."""
-    names = {}
-    for base in ("fp_of_text", "row_hash", "row_number"):
-        names[base] = fresh(docs, base)
-    fp, row, rid = names.values()
-    rows = docs.withColumn(fp, fingerprint_column(F.col("text"), shingle_words))
-    rows = rows.withColumn(row, F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))))
-    # written out, so that the row numbers stay as they are
-    rows = shared_table(rows.withColumn(rid, F.monotonically_increasing_id()))
-    comp = components(links(rows.select(F.col(fp).alias("fp")).distinct(), max_bits))
-    order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col(row).alias("h"), F.col(rid).alias("r"))
-    best = (rows.groupBy(F.col(fp).alias("node")).agg(F.min(order).alias("best"))
-            .join(comp, "node", "left")
-            .groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("best").alias("best")))
-    kept = rows.join(best.select(F.col("best.r").alias(rid)), rid, "left_semi")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = fresh(docs, "row_hash")
+    same = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+    # ids and hashes only; the texts are not written a second time
+    rows = shared_table(docs.select(F.col("doc_id").alias("d"), fingerprint_column(F.col("text"), shingle_words).alias("fp"), same.alias("h")))
+    comp = components(links(rows.select("fp").distinct(), max_bits)).withColumnRenamed("node", "fp")
+    order = F.struct(F.col("d").isNull().alias("n"), F.col("d"), F.col("h"))
+    best = (rows.groupBy("fp").agg(F.min(order).alias("best")).join(comp, "fp", "left")
+            .groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best")).select("best.d", "best.h"))
+    pick = shared_table(rows.groupBy("d", "h").agg(F.count(F.lit(1)).alias("times"))
+                        .join(best.withColumnsRenamed({"d": "d1", "h": "h1"}), F.col("d").eqNullSafe(F.col("d1")) & (F.col("h") == F.col("h1")), "left_semi"))
+    hashed, d, h = docs.withColumn(row, same), fresh(docs, "picked_id"), fresh(docs, "picked_hash")
+    pick = pick.withColumnsRenamed({"d": d, "h": h})
+    on = hashed["doc_id"].eqNullSafe(F.col(d)) & (F.col(row) == F.col(h))
+    once = hashed.join(pick.where("times = 1"), on, "left_semi")
+    # rows that stand several times, alike in every column: one of them
+    more = hashed.join(pick.where("times > 1"), on, "left_semi").dropDuplicates(["doc_id", row])
+    return once.unionByName(more).select(*[F.col(f"`{c}`") for c in docs.columns])
