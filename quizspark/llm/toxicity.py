@@ -1,7 +1,7 @@
 """Toxicity scores from a factorization machine over hashed terms.
 
-Terms of a text are its lower-cased words and the 4- and 5-letter runs inside
-them (stems keep their evidence under changing endings), hashed into
+Terms of a text are its lower-cased words and their first 4, 5 and 6 letters
+(stems keep their evidence under changing endings), hashed into
 ``2**hash_bits`` buckets; a feature says that a bucket occurs in the text. The
 score is ``sigmoid(w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j)``: besides
 the additive weights, pairs of terms that are harmless apart (an insult and
@@ -35,18 +35,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quizspark.llm.common import held_out, pieces
+from quizspark.llm.common import held_out, pieces, small_enough
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 100_000
 
 
 def _word_buckets(word: str, mask: int) -> tuple[int, ...]:
     h = xxhash.xxh64_intdigest
-    out = {h("w" + word) & mask}
-    for n in (4, 5):
-        out.update(h(word[i:i + n]) & mask for i in range(len(word) - n + 1))
-    return tuple(out)
+    return (h("w" + word) & mask, *[h(word[:n]) & mask for n in (4, 5, 6) if len(word) >= n])
 
 
 class _Terms:
@@ -70,7 +67,10 @@ class _Terms:
             get = self.cache.get
             for word in set(_LETTERS.findall(part.lower())):
                 b = get(word)
-                found.update(self._of(word) if b is None else b)
+                if b is None:
+                    b = self._of(word)
+                if b:
+                    found.update(b)
         return found
 
 
@@ -97,12 +97,13 @@ class ToxicityModel:
         return 1.0 / (1.0 + np.exp(-np.clip(out, -30, 30)))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def training_rows(docs: DataFrame, labels: DataFrame, max_broadcast: int = 2_000_000) -> DataFrame:
     """(doc_id, text, toxic 0/1) of the labelled documents that may be learnt from."""
     y = (labels.select(F.col("doc_id").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
          .where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
          .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    return docs.select("doc_id", "text").join(y, "doc_id")
+    # under 50 MB when broadcast; beyond that, an ordinary join
+    return docs.select("doc_id", "text").join(F.broadcast(y) if small_enough(y, max_broadcast) else y, "doc_id")
 
 
 def _class_counts(rows: DataFrame, hash_bits: int) -> DataFrame:
@@ -190,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, hash_bits: int = 18, max_features: i
             yield pd.Series(out)
 
     take = (rows.select("doc_id", "toxic", "text", F.xxhash64("doc_id", "text").alias("h"))
-            .join(_sample_bound(rows, max_rows), "doc_id", "left_semi"))
+            .join(F.broadcast(_sample_bound(rows, max_rows)), "doc_id", "left_semi"))  # max_rows ids
     sample = (take.select("doc_id", "h", "toxic", F.pandas_udf(features, "binary")("text").alias("x"))
               .orderBy("h", "doc_id").limit(max_rows).toPandas())
     x = np.unpackbits(np.frombuffer(b"".join(sample["x"]), np.uint8).reshape(len(sample), -1), axis=1)[:, :len(buckets)]
