@@ -90,7 +90,7 @@ def test_baseline_prompt_and_shuffle_round_trip(spark):
     df = spark.createDataFrame([dict(EXAMPLE, question_index=7)])
     row = df.select(P.baseline_prompt().alias("q"), P.shuffled_answer().alias("a")).first()
     assert row["q"].startswith("Answer the following multiple choice question by giving the most appropriate "
-                               "response. The answer should be one of ['A', 'B', 'C', 'D', 'E']. Question: What")
+                               "response. The answer should be one of ['A', 'B', 'C', 'D', 'E']. Question: Which")
     assert row["q"].endswith("A) Facilitate fetal nutrition. B) Produce red blood cells for the fetus. "
                              "C) Generate antibodies for the fetus. D) Excrete waste products for the fetus. "
                              "E) Regulate temperature for the fetus.")
