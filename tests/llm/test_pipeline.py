@@ -6,8 +6,8 @@ import pytest
 
 import corpus_pipeline as cp
 from quizspark.llm import queries as q
-from test_decontamination import brute as leak
-from test_simhash import brute_components, brute_fingerprint, signed
+from llm.test_decontamination import brute as leak
+from llm.test_simhash import brute_components, brute_fingerprint, signed
 
 
 @pytest.fixture(scope="module")

@@ -51,7 +51,7 @@ def test_more_kinds_and_masks(docs_of, odd, empty):
              5: 'say token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" ok', 6: "xoxb-1234567890-abc"}
     docs = docs_of(list(texts.items()))
     kinds = {r.doc_id: [s.kind for s in r.found] for r in sc.secret_scan(docs).collect()}
-    assert kinds == {1: ["github"], 2: ["url_login"], 3: ["private_key"], 4: [], 5: ["assign", "hex"], 6: ["slack"]}
+    assert kinds == {1: ["github", "hex"], 2: ["url_login"], 3: ["private_key"], 4: [], 5: ["assign", "hex"], 6: ["slack"]}
     masked = {r.doc_id: r for r in sc.mask_secrets(docs).collect()}
     assert masked[5].text == 'say [SECRET]" ok' and masked[5].n_chars == len(masked[5].text) and masked[4].text == "clean"
     assert sc.mask_secrets(docs).columns == docs.columns
