@@ -15,7 +15,7 @@ single-machine libraries; here the same user-level steps are Spark jobs:
   reachability max(core_a, core_b, d) on the kNN edges, edges at most
   ``eps`` kept, connected components by min-label propagation with pointer
   jumping and checkpoints; components smaller than ``min_cluster_size`` are
-  noise (-1). One flat cut instead of HDBSCAN's hierarchy selection;
+  noise (-1). The best of several flat cuts instead of HDBSCAN's hierarchy selection;
 * membership: min core distance in the cluster / own core distance;
 * search: every trial of a seeded parameter sample is evaluated in the same
   distributed iterations (the trial id is part of the key).
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quizspark.operators.position import count_groups, global_position, join_small
+from quizspark.operators.position import global_position, join_small
 from quizspark.session import checkpoint_dir
 
 
@@ -242,26 +242,52 @@ def _flat_cut(e: DataFrame, verts: DataFrame, thr, min_size, keys: list) -> Data
     firsts = global_position(firsts, [*[F.col(k) for k in keys], F.col("_first")], "_gpos")
     if keys:
         starts = firsts.groupBy(*keys).agg(F.min("_gpos").alias("_kstart"))
-        firsts = join_small(firsts, starts, keys, count_groups(firsts, keys) <= 1_000_000)
+        firsts = join_small(firsts, starts, keys)
         firsts = firsts.withColumn("cluster", (F.col("_gpos") - F.col("_kstart")).cast("int"))
     else:
         firsts = firsts.withColumn("cluster", F.col("_gpos").cast("int"))
-    out = out.join(firsts, keys + ["cluster_raw"], "left")
+    # noise has no key: broadcast where small, else split by the skew join
+    out = join_small(out, firsts.select(*keys, "cluster_raw", "cluster", "_mincore"), keys + ["cluster_raw"], "left")
     prob = F.when(F.col("cluster").isNotNull(), F.coalesce(F.try_divide("_mincore", "core"), F.lit(1.0))).otherwise(F.lit(0.0))
     return out.select(*keys, "id", F.coalesce("cluster", F.lit(-1)).alias("cluster"), prob.alias("probability"))
 
 
+#: Quantiles of the core distances that are tried as density cut.
+EPS_QUANTILES = (0.3, 0.5, 0.7, 0.8, 0.9, 0.95)
+
+
+def _best_cut(e: DataFrame, verts: DataFrame, cuts: list[float], min_size: int) -> DataFrame:
+    """The clustering with the most clusters among several cuts (ties: the
+    least noise), all cut in the same jobs."""
+    spark = e.sparkSession
+    levels = spark.createDataFrame([(i, float(x), min_size) for i, x in enumerate(cuts)], "level int, eps double, min_cluster_size int")
+    each = F.explode(F.array(*[F.lit(i) for i in range(len(cuts))])).alias("level")
+    # broadcast: a row per cut
+    found = _flat_cut(e.select("*", each), verts.select("*", each), F.broadcast(levels.select("level", "eps")),
+                      F.broadcast(levels.select("level", "min_cluster_size")), ["level"]).checkpoint(eager=True)
+    best = (found.groupBy("level").agg(F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("n"),
+                                       F.count(F.when(F.col("cluster") < 0, 1)).alias("noise"))
+            .orderBy(F.desc("n"), "noise", "level").first())
+    return found.where(F.col("level") == (best["level"] if best else 0)).drop("level")
+
+
 def density_clusters(knn: DataFrame, min_samples: int = 5, min_cluster_size: int = 25, eps: float | None = None,
-                     eps_quantile: float = 0.5) -> DataFrame:
+                     eps_quantile: float | None = None) -> DataFrame:
     """Cluster label (-1 = noise) and membership probability per id from a
-    kNN graph (id, nbr, dist, rank). ``eps`` defaults to the
-    ``eps_quantile`` of the core distances (one scalar aggregate)."""
+    kNN graph (id, nbr, dist, rank). The cut is ``eps``, or the ``eps_quantile``
+    of the core distances, or, with neither, the one of ``EPS_QUANTILES`` that
+    finds the most clusters. An empty graph gives an empty result."""
     checkpoint_dir(knn.sparkSession)
     knn = knn.checkpoint(eager=True)  # read by three branches below
     e, verts = _mutual_reachability(knn, [], min_samples, min_samples)
     if eps is None:
-        eps = verts.where(F.col("core") < float("inf")).select(
-            F.percentile_approx("core", eps_quantile)).first()[0]
+        quantiles = EPS_QUANTILES if eps_quantile is None else (eps_quantile,)
+        cuts = verts.where(F.col("core") < float("inf")).select(
+            F.percentile_approx("core", list(quantiles))).first()[0] or [0.0]
+        cuts = sorted(set(cuts))
+        if len(cuts) > 1:
+            return _best_cut(e, verts, cuts, int(min_cluster_size))
+        eps = cuts[0]
     return _flat_cut(e, verts, float(eps), int(min_cluster_size), [])
 
 
@@ -304,8 +330,9 @@ def sample_trials(n_trials: int = 100, seed: int = 42) -> list[tuple[int, int, i
 
 def cluster_search(df: DataFrame, id_col: str = "id", features_col: str = "features", n_trials: int = 100,
                    seed: int = 42, label_lower: int = 6, label_upper: int = 20, penalty: float = 0.20,
-                   eps_quantile: float = 0.5) -> tuple[DataFrame, DataFrame]:
+                   eps_quantiles: tuple[float, ...] = EPS_QUANTILES) -> tuple[DataFrame, DataFrame]:
     """Evaluate sampled trials; returns (trials with loss, best clustering).
+    The trials take the quantiles of the density cut in turn.
     PCA is fitted once (k = max components); the kNN graph is built once per
     component count with the largest neighbour count; all trials then run
     their density clustering together, keyed by trial id."""
@@ -319,19 +346,20 @@ def cluster_search(df: DataFrame, id_col: str = "id", features_col: str = "featu
     # one pass computes the graph for every component count (nested PCA)
     graph = knn_graph(red.select("id", F.col("r").alias("v")), nmax, "id", "v", metric="euclidean",
                       prefix_dims=sorted({t[2] for t in trials})).withColumnRenamed("dims", "n_components")
-    tdf = spark.createDataFrame(trials, "trial int, n_neighbors int, n_components int, min_cluster_size int")
+    level = {t[0]: eps_quantiles[i % len(eps_quantiles)] for i, t in enumerate(trials)}
+    tdf = spark.createDataFrame([(*t, level[t[0]]) for t in trials],
+                                "trial int, n_neighbors int, n_components int, min_cluster_size int, eps_quantile double")
     per_trial = graph.join(F.broadcast(tdf), "n_components").where(F.col("rank") <= F.col("n_neighbors"))
     per_trial = per_trial.checkpoint(eager=True)
-    # core distance at min(min_cluster_size, n_neighbors): HDBSCAN's
-    # min_samples defaults to min_cluster_size, bounded by the graph here
-    k_core = F.least(F.col("min_cluster_size"), F.col("n_neighbors"))
-    e, verts = _mutual_reachability(per_trial, ["trial"], k_core, F.col("n_neighbors"))
+    # core distance at the last neighbour of the trial's graph, which has
+    # fewer neighbours than the smallest cluster
+    e, verts = _mutual_reachability(per_trial, ["trial"], F.col("n_neighbors"), F.col("n_neighbors"))
     # eps per trial is pinned (<= n_trials rows collected): a lazily
     # recomputed approximate percentile could merge its sketches in another
     # order after an executor loss and move the cut between branches
     eps_rows = verts.where(F.col("core") < float("inf")).groupBy("trial").agg(
-        F.percentile_approx("core", eps_quantile).alias("eps")).collect()
-    thr = F.broadcast(spark.createDataFrame([(r["trial"], float(r["eps"])) for r in eps_rows],
+        F.percentile_approx("core", list(eps_quantiles)).alias("cuts")).collect()
+    thr = F.broadcast(spark.createDataFrame([(r["trial"], float(r["cuts"][eps_quantiles.index(level[r["trial"]])])) for r in eps_rows],
                                             "trial int, eps double"))
     clusters = _flat_cut(e, verts, thr, tdf.select("trial", "min_cluster_size"), ["trial"])
     clusters = clusters.checkpoint(eager=True)

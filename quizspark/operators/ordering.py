@@ -13,11 +13,11 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quizspark.functions.arrays import nan_to_null
-from quizspark.operators.position import _PERSISTED, count_groups, global_position, group_bounds, join_small
+from quizspark.operators.position import _PERSISTED, global_position, group_bounds, join_small, running_sums
 
 
 @dataclass(frozen=True)
@@ -116,9 +116,7 @@ def with_thirds(blocked: DataFrame, spec: OrderingSpec, position_col: str = "pos
     """Adds ``_rank`` (rank inside the category block) and ``_third`` to a
     blocked ordering, using per-category first position and size."""
     cat = spec.category_col
-    bounds = group_bounds(blocked, [cat], position_col)
-    small = count_groups(blocked, [cat]) <= 1_000_000
-    b = join_small(blocked, bounds, cat, small)
+    b = join_small(blocked, group_bounds(blocked, [cat], position_col), cat)
     b = b.withColumn("_rank", F.col(position_col) - F.col("_gstart"))
     return b.withColumn("_third", third_of(F.col("_rank"), F.col("_gsize"))).drop("_gstart", "_gsize")
 
@@ -131,27 +129,18 @@ def _interleave(blocked: DataFrame, spec: OrderingSpec) -> DataFrame:
                  + rows of this third in earlier categories
                  + offset inside the run.
 
-    The per-category table (sizes, part sizes, running sums over categories)
-    has one row per category; when its size check passes it is broadcast
-    and no second shuffle of the data is needed. Otherwise the runs are
-    re-sorted with a second global position."""
+    The table of a row per category (sizes, part sizes, running sums over
+    categories) is summed by ranges of categories and joined to the rows."""
     cat = spec.category_col
-    if count_groups(blocked, [cat]) > 1_000_000:
-        t = with_thirds(blocked, spec)
-        out = global_position(t.drop("position"), [F.col("_third"), F.col(cat), F.col("_rank")])
-        return out.drop("_third", "_rank")
     n = F.col("_gsize")
     q = F.floor(n / 3)
     parts = [q + F.when(n % 3 > 0, 1).otherwise(0), q + F.when(n % 3 > 1, 1).otherwise(0), q]
     sizes = group_bounds(blocked, [cat], "position").select(
         cat, "_gstart", "_gsize", *[p.cast("long").alias(f"_s{i}") for i, p in enumerate(parts)])
-    # windows over the per-category table (one row per category, size-checked)
-    before = Window.orderBy(F.col(cat).asc()).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    table = sizes.select(
-        "*", *[F.coalesce(F.sum(f"_s{i}").over(before), F.lit(0)).alias(f"_cum{i}") for i in range(3)],
-        F.sum("_s0").over(whole).alias("_tot0"), F.sum("_s1").over(whole).alias("_tot1"))
-    b = blocked.join(F.broadcast(table), cat)
+    table = running_sums(sizes, [cat], {f"_s{i}": f"_cum{i}" for i in range(3)})
+    totals = table.agg(F.sum("_s0"), F.sum("_s1")).first()
+    table = table.withColumns({f"_tot{i}": F.lit(t or 0) for i, t in enumerate(totals)})
+    b = join_small(blocked, table, cat)
     rank = F.col("position") - F.col("_gstart")
     third = third_of(rank, n)
     start_in_cat = F.when(third == 0, 0).when(third == 1, F.col("_s0")).otherwise(F.col("_s0") + F.col("_s1"))
@@ -185,14 +174,11 @@ def reorder_runs(positioned: DataFrame, run_cols, position_col: str = "position"
     ``run_cols`` are contiguous in the current order; the result orders runs
     by ``run_cols`` (in that column order, ascending) and keeps the current
     order inside each run. One row per run is aggregated, offset by a
-    running sum over that small table (size-checked before broadcast), and
-    joined back."""
+    running sum over that table, and joined back."""
     runs = positioned.groupBy(*run_cols).agg(F.min(position_col).alias("_rstart"),
                                               F.count(F.lit(1)).alias("_rsize"))
-    before = Window.orderBy(*[F.col(c).asc() for c in run_cols]).rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("_roff", F.coalesce(F.sum("_rsize").over(before), F.lit(0)))
-    small = count_groups(positioned, run_cols) <= 1_000_000
-    out = join_small(positioned, runs, list(run_cols), small)
+    runs = running_sums(runs, list(run_cols), {"_rsize": "_roff"})
+    out = join_small(positioned, runs, list(run_cols))
     return out.withColumn(position_col, (F.col("_roff") + F.col(position_col) - F.col("_rstart")).cast("long")) \
         .drop("_rstart", "_rsize", "_roff")
 

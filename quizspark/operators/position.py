@@ -24,8 +24,9 @@ on a total key, so positions survive executor loss unchanged.
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _PERSISTED: list[DataFrame] = []
 
@@ -83,12 +84,6 @@ def global_position(df: DataFrame, order_by: list, position_col: str = "position
             .withColumn(position_col, (F.col("_offset") + local).cast("long")).drop("_pid", "_rid", "_offset"))
 
 
-def count_groups(df: DataFrame, group_cols) -> int:
-    """Number of distinct groups (partial aggregate, tiny shuffle): the size
-    check that decides whether a per-group table may be broadcast."""
-    return df.select(*group_cols).distinct().count()
-
-
 def group_bounds(positioned: DataFrame, group_cols, position_col: str = "position") -> DataFrame:
     """Per group: first global position ``_gstart`` and size ``_gsize``.
     Groups are contiguous in the global order, so rank-in-group is
@@ -98,7 +93,38 @@ def group_bounds(positioned: DataFrame, group_cols, position_col: str = "positio
         F.min(position_col).alias("_gstart"), F.count(F.lit(1)).alias("_gsize"))
 
 
-def join_small(big: DataFrame, small: DataFrame, on, broadcastable: bool, how: str = "inner") -> DataFrame:
-    """Join a per-group table: broadcast when its checked size allows,
-    otherwise a regular (shuffle) join."""
-    return big.join(F.broadcast(small) if broadcastable else small, on, how)
+def table_bytes(df: DataFrame) -> int:
+    """Bytes of the values of ``df``: lengths of the strings, 16 for any other
+    column and for each string's header."""
+    wide = [F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)).cast("long") for f in df.schema.fields
+            if isinstance(f.dataType, T.StringType)]
+    fixed = F.lit(16 * len(df.columns)).cast("long")
+    return df.agg(F.coalesce(F.sum(sum(wide, fixed)), F.lit(0))).first()[0]
+
+
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", max_bytes: int = 32 << 20) -> DataFrame:
+    """Join a table of a row per group: broadcast if its measured size is at
+    most ``max_bytes``, beyond that an ordinary join, whose hot groups Spark's
+    adaptive skew join splits. Rows and positions are the same either way."""
+    return big.join(F.broadcast(small) if table_bytes(small) <= max_bytes else small, on, how)
+
+
+def running_sums(table: DataFrame, order_by: list, sums: dict[str, str], n_partitions: int | None = None) -> DataFrame:
+    """For each column -> name in ``sums``: sum of the column over all earlier
+    rows in the order of ``order_by`` (which ends with a unique column). Range
+    partitions are summed apart; the driver adds up one row for each."""
+    n = _n_partitions(table, n_partitions)
+    cols = [F.col(c) if isinstance(c, str) else c for c in order_by]
+    ranged = table.repartitionByRange(n, *cols).withColumn("_pid", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    _PERSISTED.append(ranged)
+    totals = {r["_pid"]: r for r in ranged.groupBy("_pid").agg(*[F.sum(c).alias(c) for c in sums]).collect()}
+    offsets, run = [], [0] * len(sums)
+    for pid in range(n):
+        offsets.append((pid, *run))
+        if pid in totals:
+            run = [a + (totals[pid][c] or 0) for a, c in zip(run, sums)]
+    base = table.sparkSession.createDataFrame(offsets, "_pid int, " + ", ".join(f"_base{i} long" for i in range(len(sums))))
+    inside = Window.partitionBy("_pid").orderBy(*cols).rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.join(F.broadcast(base), "_pid").select(  # a row per partition
+        *table.columns, *[(F.col(f"_base{i}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(name)
+                          for i, (c, name) in enumerate(sums.items())])

@@ -222,6 +222,18 @@ def q_format_test_prompt(spark, sf):
     return q.select("question_index", P.train_prompt(q, fine_tune=False).alias("text"))
 
 
+@query("format_train_prompt_4")
+def q_format_train_prompt_4(spark, sf):
+    q = I.questions(spark, sf).drop("E")
+    return q.select("question_index", P.train_prompt(q, fine_tune=True).alias("text"))
+
+
+@query("format_test_prompt_5")
+def q_format_test_prompt_5(spark, sf):
+    q = I.questions(spark, sf)
+    return q.select("question_index", P.train_prompt(q, fine_tune=False).alias("text"))
+
+
 @query("completion_split")
 def q_completion_split(spark, sf):
     q = I.questions(spark, sf)

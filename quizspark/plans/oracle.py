@@ -325,6 +325,8 @@ SELECT question_index, {_lit(_SCORE_HEAD)} || prompt || ' A) ' || A || ' B) ' ||
        AS question FROM questions_v""",
     "format_train_prompt": f"SELECT question_index, {_train_sql(True, True)} AS text FROM questions_v",
     "format_test_prompt": f"SELECT question_index, {_train_sql(False, False)} AS text FROM questions_v",
+    "format_train_prompt_4": f"SELECT question_index, {_train_sql(True, False)} AS text FROM questions_v",
+    "format_test_prompt_5": f"SELECT question_index, {_train_sql(False, True)} AS text FROM questions_v",
     "completion_split": f"""
 SELECT question_index, left(text, length(text) - length(string_split(text, 'Answer:')[-1])) AS prompt_part,
        string_split(text, 'Answer:')[-1] AS completion, strpos(text, 'Answer:') > 0 AS has_marker,
