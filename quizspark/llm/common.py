@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +53,19 @@ def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
+def text_udf(start: Callable[[], Callable[[str | None], object]], returns: str, arrow_type: pa.DataType) -> Callable[[Column], Column]:
+    """A column function of texts. ``start`` is called once per task and gives the
+    function of one text. A batch stays in its Arrow buffer and one text at a
+    time is decoded, so that a worker holds no second copy of a batch."""
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        of = start()
+        for texts in batches:
+            out = pa.array([of(t.as_py()) for t in texts], arrow_type)
+            del texts  # before the next batch is read
+            yield out
+    return F.arrow_udf(run, returns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

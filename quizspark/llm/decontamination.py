@@ -39,11 +39,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quizspark.llm.common import fresh, pieces, shared_table, small_enough
+from quizspark.llm.common import fresh, pieces, shared_table, small_enough, text_udf
 from quizspark.llm.simhash import bit_counts, majority
 
 SHINGLE = 5
@@ -170,11 +171,10 @@ def _match_block(docs: DataFrame, texts: list[str], similarity: float) -> DataFr
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(_Items(texts, similarity))
 
-    def cut(s: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def cut():
         items = sent.value
-        for x in s:
-            yield pd.Series([sorted(items.windows(t)) for t in x])
-    found = docs.select("doc_id", F.pandas_udf(cut, "array<string>")(F.col("text").cast("string")).alias("w"))
+        return lambda t: sorted(items.windows(t))
+    found = docs.select("doc_id", text_udf(cut, "array<string>", pa.list_(pa.string()))(F.col("text").cast("string")).alias("w"))
     found = shared_table(found.where(F.size("w") > 0).select("doc_id", F.explode("w").alias("window")))
 
     n = lambda c: F.size(F.split(c, " "))

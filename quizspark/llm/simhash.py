@@ -35,17 +35,16 @@ are read, so other columns may have any name.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quizspark.llm.common import fresh, pieces, shared_table
+from quizspark.llm.common import fresh, pieces, shared_table, text_udf
 from quizspark.llm.graph import components
 
 _XX = partial(xxhash.xxh64_intdigest, seed=42)
@@ -89,11 +88,7 @@ def fingerprint(text: str | None, shingle_words: int = 3) -> int:
 
 def fingerprint_column(text: Column, shingle_words: int = 3) -> Column:
     """Fingerprint as a signed long."""
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            f = np.fromiter((fingerprint(t, shingle_words) for t in s), dtype=np.uint64, count=len(s))
-            yield pd.Series(f.view(np.int64))
-    return F.pandas_udf(run, "long")(text.cast("string"))
+    return text_udf(lambda: lambda t: _signed(fingerprint(t, shingle_words)), "long", pa.int64())(text.cast("string"))
 
 
 def _signed(x: int) -> int:

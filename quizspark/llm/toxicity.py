@@ -30,12 +30,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quizspark.llm.common import held_out, pieces, small_enough
+from quizspark.llm.common import held_out, pieces, small_enough, text_udf
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CACHE_WORDS = 100_000
@@ -107,19 +107,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_broadcast: int = 2_000
 
 
 def _class_counts(rows: DataFrame, hash_bits: int) -> DataFrame:
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, n = _Terms(hash_bits), np.zeros((2, 1 << hash_bits), dtype=np.int64)
         docs = [0, 0]
         for b in batches:
-            for text, y in zip(b["text"], b["toxic"]):
-                t = terms(text)
+            for text, y in zip(b.column(0), b.column(1).to_pylist()):
+                t = terms(text.as_py())
                 n[y, np.fromiter(t, dtype=np.int64, count=len(t))] += 1
                 docs[y] += 1
+            b = text = None  # before the next batch is read
         at = np.flatnonzero(n[0] + n[1])
-        yield pd.DataFrame({"bucket": np.append(at, -1), "n0": np.append(n[0][at], docs[0]),
-                            "n1": np.append(n[1][at], docs[1])})
+        yield pa.RecordBatch.from_pydict({"bucket": np.append(at, -1), "n0": np.append(n[0][at], docs[0]),
+                                          "n1": np.append(n[1][at], docs[1])})
 
-    per_task = rows.select("text", "toxic").mapInPandas(count, "bucket long, n0 long, n1 long")
+    per_task = rows.select("text", "toxic").mapInArrow(count, "bucket long, n0 long, n1 long")
     return per_task.groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
@@ -180,19 +181,18 @@ def fit(docs: DataFrame, labels: DataFrame, hash_bits: int = 18, max_features: i
 
     wanted = {int(b): i for i, b in enumerate(buckets)}
 
-    def features(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def features():
         terms = _Terms(hash_bits, wanted)
-        for s in texts:
-            out = []
-            for t in s:
-                x = np.zeros(len(wanted), dtype=np.uint8)
-                x[list(terms(t))] = 1
-                out.append(np.packbits(x).tobytes())
-            yield pd.Series(out)
+
+        def of(text: str | None) -> bytes:
+            x = np.zeros(len(wanted), dtype=np.uint8)
+            x[list(terms(text))] = 1
+            return np.packbits(x).tobytes()
+        return of
 
     take = (rows.select("doc_id", "toxic", "text", F.xxhash64("doc_id", "text").alias("h"))
             .join(F.broadcast(_sample_bound(rows, max_rows)), "doc_id", "left_semi"))  # max_rows ids
-    sample = (take.select("doc_id", "h", "toxic", F.pandas_udf(features, "binary")("text").alias("x"))
+    sample = (take.select("doc_id", "h", "toxic", text_udf(features, "binary", pa.binary())(F.col("text").cast("string")).alias("x"))
               .orderBy("h", "doc_id").limit(max_rows).toPandas())
     x = np.unpackbits(np.frombuffer(b"".join(sample["x"]), np.uint8).reshape(len(sample), -1), axis=1)[:, :len(buckets)]
     w0, w, v = _fit(x, sample["toxic"].to_numpy(float), factors, epochs, rate, l2)
@@ -207,11 +207,10 @@ def _sample_bound(rows: DataFrame, max_rows: int) -> DataFrame:
 
 def score(model: ToxicityModel, text: Column) -> Column:
     """Score column (0 to 1) of a text column."""
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def start():
         terms = _Terms(model.hash_bits, {int(b): i for i, b in enumerate(model.buckets)})
-        for s in texts:
-            yield pd.Series(model.score_rows([terms(t) for t in s]))
-    return F.pandas_udf(run, "double")(text.cast("string"))
+        return lambda t: float(model.score_rows([terms(t)])[0])
+    return text_udf(start, "double", pa.float64())(text.cast("string"))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, **fit_options) -> DataFrame:
