@@ -15,6 +15,7 @@ from quizspark.session import checkpoint_dir
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
 PIECE_CHARS = 1 << 20
+BATCH_ROWS = 1_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -53,6 +54,14 @@ def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_ROWS`` whole texts where the session still has
+    Spark's default of 10,000; a size that the caller chose stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def text_udf(start: Callable[[], Callable[[str | None], object]], returns: str, arrow_type: pa.DataType) -> Callable[[Column], Column]:
     """A column function of texts. ``start`` is called once per task and gives the
     function of one text. A batch stays in its Arrow buffer and one text at a
@@ -63,7 +72,12 @@ def text_udf(start: Callable[[], Callable[[str | None], object]], returns: str,
             out = pa.array([of(t.as_py()) for t in texts], arrow_type)
             del texts  # before the next batch is read
             yield out
-    return F.arrow_udf(run, returns)
+    udf = F.arrow_udf(run, returns)
+
+    def column(text: Column) -> Column:
+        bounded_batches(SparkSession.active())
+        return udf(text)
+    return column
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

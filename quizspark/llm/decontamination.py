@@ -35,10 +35,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -160,10 +158,7 @@ def _index(items: DataFrame) -> DataFrame:
 
 
 def _with_fingerprint(texts: DataFrame, text: str, name: str) -> DataFrame:
-    def run(s: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for x in s:
-            yield pd.Series([window_fingerprint(t.split(" ")) for t in x], dtype="int64")
-    return texts.withColumn(name, F.pandas_udf(run, "long")(text))
+    return texts.withColumn(name, text_udf(lambda: lambda t: window_fingerprint(t.split(" ")), "long", pa.int64())(F.col(text)))
 
 
 def _match_block(docs: DataFrame, texts: list[str], similarity: float) -> DataFrame:
@@ -186,10 +181,9 @@ def _match_block(docs: DataFrame, texts: list[str], similarity: float) -> DataFr
              .withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).where(F.col("distance") <= RADIUS)
              .select("window", "item_text", "distance").distinct())
 
-    def verify(s: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for a, b in s:
-            yield pd.Series([weighted_similarity(x.split(" "), y.split(" ")) for x, y in zip(a, b)], dtype="float64")
-    close = pairs.withColumn("similarity", F.pandas_udf(verify, "double")("window", "item_text")).where(F.col("similarity") >= similarity)
+    def verify(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([weighted_similarity(x.as_py().split(" "), y.as_py().split(" ")) for x, y in zip(a, b)], pa.float64())
+    close = pairs.withColumn("similarity", F.arrow_udf(verify, "double")("window", "item_text")).where(F.col("similarity") >= similarity)
     return found.join(close, "window").select("doc_id", "window", "item_text", "similarity", "distance")
 
 
@@ -214,10 +208,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, similarity: float =
 
 
 def _normalised(text: Column) -> Column:
-    def run(s: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for x in s:
-            yield pd.Series([" ".join(words_of(t)) for t in x], dtype=object)
-    return F.pandas_udf(run, "string")(text.cast("string"))
+    return text_udf(lambda: lambda t: " ".join(words_of(t)), "string", pa.string())(text.cast("string"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, broadcast_rows: int = 500_000) -> DataFrame:

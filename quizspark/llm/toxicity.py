@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quizspark.llm.common import held_out, pieces, small_enough, text_udf
+from quizspark.llm.common import bounded_batches, held_out, pieces, small_enough, text_udf
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _CACHE_WORDS = 100_000
@@ -120,6 +120,7 @@ def _class_counts(rows: DataFrame, hash_bits: int) -> DataFrame:
         yield pa.RecordBatch.from_pydict({"bucket": np.append(at, -1), "n0": np.append(n[0][at], docs[0]),
                                           "n1": np.append(n[1][at], docs[1])})
 
+    bounded_batches(rows.sparkSession)
     per_task = rows.select("text", "toxic").mapInArrow(count, "bucket long, n0 long, n1 long")
     return per_task.groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
