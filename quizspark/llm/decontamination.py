@@ -4,9 +4,11 @@ Words are lower-cased runs of letters, digits and underscores; shingles have
 five words (fewer where an item is shorter: then the item is one shingle).
 
 1. Windows: a document is read through windows of exactly as many words as an
-   item has, at every word. A window whose weighted shingle similarity (sum of
+   item has, at every word; a text with fewer words than an item is one window for
+   that item's length, the whole text. A window whose weighted shingle similarity (sum of
    minima over sum of maxima of the shingle counts) to an item reaches s must
-   share at least 2 s / (1 + s) of its shingles with items of that length; windows
+   share at least 2 s / (1 + s) of its shingles with items of that length (for a
+   whole text: s / (1 + s) of its own and the item's shingles together); windows
    with fewer such shingles can match nothing and get no fingerprint. The count
    uses hashes of the benchmark's shingles, so it can only let through too many.
 2. Fingerprints: 64-bit SimHash of the window's shingles, each weighted by its
@@ -14,7 +16,7 @@ five words (fewer where an item is shorter: then the item is one shingle).
 3. Candidates: multi-index Hamming blocks. The 64 bits are cut into ten blocks;
    two fingerprints within ``RADIUS`` = 19 bits agree in some block up to one
    bit. Items are indexed under each block's value and its one-bit neighbours,
-   windows look up their own ten values (with the length): a join that finds
+   windows look up their own ten values (with the item's length): a join that finds
    all fingerprints within the radius, then the exact distance.
 4. Verification: exact weighted shingle similarity of at least ``similarity``.
 
@@ -90,7 +92,7 @@ class _Items:
 
     def __init__(self, texts: list[str], similarity: float):
         self.vocabulary: dict[str, int] = {}
-        self.share = 2 * similarity / (1 + similarity)
+        self.share = similarity / (1 + similarity)  # of the shingles of both together
         found: dict[int, set[tuple[int, int]]] = {}
         self.longest = 0
         for t in texts:
@@ -107,38 +109,58 @@ class _Items:
             self.codes[k] = np.array(sorted(of), dtype=np.uint64)
             self.lengths[k] = [of[c] for c in sorted(of)]
 
-    def windows(self, text: str | None) -> set[str]:
-        """Distinct item-sized windows (words joined by a space) that may match."""
-        out: set[str] = set()
+    def _places(self, ids: np.ndarray, k: int, codes: np.ndarray) -> dict[int, list[int]]:
+        """By item length, where shingles of items of that length start."""
+        places: dict[int, list[int]] = {}
+        if len(ids) < k:
+            return places
+        known = np.lib.stride_tricks.sliding_window_view(ids > 0, k).all(1)
+        at = np.flatnonzero(known)
+        if not len(at):
+            return places
+        c = _codes(ids, k)[at]
+        slot = np.minimum(np.searchsorted(codes, c), len(codes) - 1)
+        ok = codes[slot] == c
+        for p, s in zip(at[ok].tolist(), slot[ok].tolist()):
+            for n in self.lengths[k][s]:
+                places.setdefault(n, []).append(p)
+        return places
+
+    def windows(self, text: str | None) -> set[tuple[int, str]]:
+        """Distinct (item length, window) that may match, words joined by a space:
+        item-sized windows, and a whole text that is shorter than the item."""
+        out: set[tuple[int, str]] = set()
         carry: list[str] = []
-        get = self.vocabulary.get
+        whole = True  # as long as carry holds all words read
         for part in pieces(text or ""):
             words = carry + _WORD.findall(part.lower())
-            ids = np.fromiter((get(w, 0) for w in words), dtype=np.int64, count=len(words))
+            ids = self._numbers(words)
             for k, codes in self.codes.items():
-                if len(ids) < k:
-                    continue
-                known = np.lib.stride_tricks.sliding_window_view(ids > 0, k).all(1)
-                at = np.flatnonzero(known)
-                if not len(at):
-                    continue
-                c = _codes(ids, k)[at]
-                slot = np.minimum(np.searchsorted(codes, c), len(codes) - 1)
-                ok = codes[slot] == c
-                places: dict[int, list[int]] = {}
-                for p, s in zip(at[ok].tolist(), slot[ok].tolist()):
-                    for n in self.lengths[k][s]:
-                        places.setdefault(n, []).append(p)
-                for n, ps in places.items():
-                    need = max(1, int(np.ceil((n - k + 1) * self.share - 1e-9)))
+                for n, ps in self._places(ids, k, codes).items():
+                    need = self._least(n - k + 1, n - k + 1)
                     starts: set[int] = set()
                     for i in range(len(ps) - need + 1):
                         # windows that hold the places i .. i + need - 1
                         starts.update(range(max(0, ps[i + need - 1] + k - n), min(ps[i], len(words) - n) + 1))
-                    out.update(" ".join(words[s:s + n]) for s in starts)
+                    out.update((n, " ".join(words[s:s + n])) for s in starts)
+            whole = whole and len(words) < self.longest
             carry = words[max(0, len(words) - self.longest + 1):] if self.longest > 1 else []
+        # with fewer words than a shingle of the item, nothing is in common
+        if whole and len(carry) >= SHINGLE and SHINGLE in self.codes:
+            k, m = SHINGLE, len(carry)
+            for n, ps in self._places(self._numbers(carry), k, self.codes[k]).items():
+                if n > m and len(ps) >= self._least(m - k + 1, n - k + 1):
+                    out.add((n, " ".join(carry)))
         return out
 
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        get = self.vocabulary.get
+        return np.fromiter((get(w, 0) for w in words), dtype=np.int64, count=len(words))
+
+    def _least(self, a: int, b: int) -> int:
+        """Fewest common shingles of two texts with a and b shingles that match."""
+        return max(1, int(np.ceil((a + b) * self.share - 1e-9)))
+
 
 def _blocks(fp: Column) -> list[Column]:
     out, at = [], 0
@@ -168,23 +190,24 @@ def _match_block(docs: DataFrame, texts: list[str], similarity: float) -> DataFr
 
     def cut():
         items = sent.value
-        return lambda t: sorted(items.windows(t))
-    found = docs.select("doc_id", text_udf(cut, "array<string>", pa.list_(pa.string()))(F.col("text").cast("string")).alias("w"))
-    found = shared_table(found.where(F.size("w") > 0).select("doc_id", F.explode("w").alias("window")))
+        return lambda t: [{"n": n, "window": w} for n, w in sorted(items.windows(t))]
+    pair = pa.list_(pa.struct([("n", pa.int32()), ("window", pa.string())]))
+    found = docs.select("doc_id", text_udf(cut, "array<struct<n:int,window:string>>", pair)(F.col("text").cast("string")).alias("w"))
+    found = shared_table(found.where(F.size("w") > 0).select("doc_id", F.inline("w")))
 
     n = lambda c: F.size(F.split(c, " "))
     items = spark.createDataFrame([(t,) for t in texts], "item_text string")
     items = _with_fingerprint(items, "item_text", "item_fp").withColumn("n", n("item_text"))
-    windows = _with_fingerprint(found.select("window").distinct(), "window", "fp")
-    probes = windows.select("window", "fp", n("window").alias("n"), F.posexplode(F.array(*_blocks(F.col("fp")))).alias("block", "value"))
+    windows = _with_fingerprint(found.select("n", "window").distinct(), "window", "fp")
+    probes = windows.select("window", "fp", "n", F.posexplode(F.array(*_blocks(F.col("fp")))).alias("block", "value"))
     pairs = (probes.join(_index(items), ["n", "block", "value"])
              .withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).where(F.col("distance") <= RADIUS)
-             .select("window", "item_text", "distance").distinct())
+             .select("n", "window", "item_text", "distance").distinct())
 
     def verify(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([weighted_similarity(x.as_py().split(" "), y.as_py().split(" ")) for x, y in zip(a, b)], pa.float64())
     close = pairs.withColumn("similarity", F.arrow_udf(verify, "double")("window", "item_text")).where(F.col("similarity") >= similarity)
-    return found.join(close, "window").select("doc_id", "window", "item_text", "similarity", "distance")
+    return found.join(close, ["n", "window"]).select("doc_id", "window", "item_text", "similarity", "distance")
 
 
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, block_words: int = 1_000_000) -> DataFrame:

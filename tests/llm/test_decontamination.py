@@ -97,3 +97,48 @@ def test_odd_rows_and_drop(spark, odd, empty, docs_of, planted):
     left = dc.drop_contaminated(frame, bench)
     bad = {d for d, t in docs if any(brute(t, x) is not None for _, x in items[:8])}
     assert sorted(r.doc_id for r in left.collect()) == sorted(d for d, _ in docs if d not in bad) and left.columns == frame.columns
+
+
+def brute_whole(doc, item, s=0.8):
+    """As ``brute``; a text with fewer words than the item is compared whole."""
+    w, it = re.findall(r"\w+", (doc or "").lower()), re.findall(r"\w+", (item or "").lower())
+    if not w or len(w) >= len(it):
+        return brute(doc, item, s)
+    def sh(x):
+        k = min(5, len(x))
+        return Counter(tuple(x[i:i + k]) for i in range(len(x) - k + 1))
+    a, b = sh(w), sh(it)
+    best = sum((a & b).values()) / sum((a | b).values())
+    return best if best >= s else None
+
+
+def test_texts_shorter_than_an_item(spark, docs_of, monkeypatch):
+    """Items cut by 1 to 10 words at either end are whole documents."""
+    r = random.Random(8)
+    items = [(i, " ".join(_words(r, n))) for i, n in enumerate([4, 5, 6, 9, 14, 25, 30, 44, 60, 100, 100])]
+    items += [(20, items[9][1] + " and three more"), (21, ("pa lo mi " * 20).strip())]  # near another item; the same shingles again and again
+    docs = []
+    for i, t in items:
+        w = t.split()
+        for cut in range(0, min(11, len(w))):
+            docs += [(100 * i + cut, " ".join(w[cut:])), (100 * i + cut + 20, ", ".join(w[:len(w) - cut]).upper()),
+                     (100 * i + cut + 40, " ".join(w[cut // 2:len(w) - (cut - cut // 2)]))]
+    docs += [(9000, None), (9001, ""), (9001, docs[400 % len(docs)][1])]
+    want = {}
+    for d, t in docs:
+        for i, x in items:
+            if (s := brute_whole(t, x)) is not None:
+                want[d, i] = max(s, want.get((d, i), 0))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x for x in dc.benchmark_matches(docs_of(docs), bench).collect()}
+    assert set(got) == set(want) and all(abs(got[k].similarity - want[k]) < 1e-12 for k in want)
+    text = dict(docs)
+    short = [k for k in want if len(text[k[0]].split()) < len(dict(items)[k[1]].split())]
+    assert len(short) > 100 and got[905, 9].similarity == 91 / 96 and got[905, 9].n_windows == 1
+    left = {x.doc_id for x in dc.drop_contaminated(docs_of(docs), bench).collect()}
+    assert left == {d for d, _ in docs if not any(k[0] == d for k in want)}
+    from quizspark.llm import common
+    cut = dc._Items([" ".join(dc.words_of(t)) for _, t in items], 0.8)
+    before = [cut.windows(t) for _, t in docs]
+    monkeypatch.setattr(dc, "pieces", lambda t: common.pieces(t, 40))
+    assert [cut.windows(t) for _, t in docs] == before
