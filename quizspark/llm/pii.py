@@ -7,15 +7,21 @@ secret key, the kind, the canonical form and an attempt number:
 
 * e-mail: letters become letters of the same script and case, digits digits,
   the shape of the local part and domain stays, the domain ends in ``.example``;
-* card: 16 digits with a right check digit; phone: as many digits, the country
-  code's first digit kept; both take the punctuation of each occurrence;
+* card: 16 digits with a right check digit; phone: as many digits (see below), the
+  country code's first digit kept; both take the punctuation of each occurrence;
 * IPv4: an address in 10.0.0.0/8; ssn: digits in the same places;
 * person: given and family names built of syllables of the same script
   (Latin, Cyrillic, Greek), ending by the title's gender; the title stays.
 
 Collision checks: of several entities with one surrogate the first keeps it,
 and so does none whose surrogate is itself an entity of the corpus; the others
-draw again with the next attempt, until no collision is left. So distinct
+draw again with the next attempt, until no collision is left. What can be drawn
+grows with the attempt, so that collisions settle for any number of entities:
+names get one syllable more each time; from the attempt ``SHAPED`` on e-mails get
+one letter more at the end of the local part, telephone and social security
+numbers one digit more at their end; addresses go from 10.0.0.0/8 to the reserved
+240.0.0.0/4, and then to first numbers over 255, which no host has. Only cards
+stay as they are (10^14 values). So distinct
 entities stay distinct and each keeps one surrogate in all documents
 (coreference), whatever punctuation it is written with.
 
@@ -55,6 +61,8 @@ NAMES = {
     "cyrillic": ("ба де ви го лу ма не ри со та ве ди".split(), "н", "на"),
     "greek": ("βα δε φι γο λυ μα νε ρι σο τα βε δι".split(), "ς", "να"),
 }
+#: Attempts that keep an entity's shape.
+SHAPED = 4
 ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 
 
@@ -112,11 +120,15 @@ def _card(stream: Column) -> Column:
     return F.concat(F.array_join(F.transform(digits, lambda d: d.cast("string")), ""), ((10 - total % 10) % 10).cast("string"))
 
 
-def _name(word: Column, stream: Column, at: Column, female: Column) -> Column:
+def _name(word: Column, stream: Column, at: Column, female: Column, attempt: Column) -> Column:
+    """Four syllables and one more for each attempt."""
+    more = F.sha2(F.concat(stream, at.cast("string")).cast("binary"), 512)
+
     def of(script: str) -> Column:
         syllables, male, female_end = NAMES[script]
-        pick = lambda k: F.element_at(F.array(*[F.lit(s) for s in syllables]), _byte(stream, at * 5 + k) % len(syllables) + 1)
-        return F.initcap(F.concat(pick(1), pick(2), pick(3), pick(4), F.when(female, female_end).otherwise(male)))
+        pick = lambda n: F.element_at(F.array(*[F.lit(s) for s in syllables]), n % len(syllables) + 1)
+        longer = F.array_join(F.transform(F.sequence(F.lit(0), attempt), lambda k: F.when(k > 0, pick(_byte(more, k))).otherwise("")), "")
+        return F.initcap(F.concat(*[pick(_byte(stream, at * 5 + k)) for k in (1, 2, 3, 4)], longer, F.when(female, female_end).otherwise(male)))
     return (F.when(word.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(word.rlike(r"\p{IsGreek}"), of("greek")).otherwise(of("latin")))
 
 
@@ -124,25 +136,33 @@ def draw(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     """Canonical form of the surrogate."""
     stream = F.sha2(F.concat_ws("\u0001", F.lit(key), kind, canon, attempt.cast("string")).cast("binary"), 512)
     female, names = canon.startswith("f "), F.split(F.substr(canon, F.lit(3)), " ")
-    phone = F.when(canon.startswith("+"), F.concat(F.substr(canon, F.lit(1), F.lit(2)), _same_shape(F.substr(canon, F.lit(3)), stream))
-                   ).otherwise(_same_shape(canon, stream))
+    extra = F.greatest(attempt - (SHAPED - 1), F.lit(0)).cast("int")
+    longer = lambda c, x: _same_shape(F.concat(c, F.repeat(x, extra)), stream)
+    phone = F.when(canon.startswith("+"), F.concat(F.substr(canon, F.lit(1), F.lit(2)), longer(F.substr(canon, F.lit(3)), F.lit("0")))
+                   ).otherwise(longer(canon, F.lit("0")))
+    local = F.regexp_extract(canon, "^([^@]*)@", 1)
+    letter = F.when(local.rlike(r"\p{IsCyrillic}"), "а").when(local.rlike(r"\p{IsGreek}"), "α").otherwise("a")
+    ip = lambda first, size: F.concat_ws(".", first.cast("string"), *[(_byte(stream, i) % size).cast("string") for i in (1, 2, 3)])
     host = F.regexp_replace(F.regexp_extract(canon, "@(.*)$", 1), r"\.[^.]*$", "")
-    return (F.when(kind == "email", F.concat(_same_shape(F.regexp_extract(canon, "^([^@]*)@", 1), stream), F.lit("@"),
+    return (F.when(kind == "email", F.concat(longer(local, letter), F.lit("@"),
                                              _same_shape(host, F.sha2(stream.cast("binary"), 512)), F.lit(".example")))
-            .when(kind == "ip", F.concat_ws(".", F.lit("10"), *[(_byte(stream, i) % 256).cast("string") for i in (1, 2, 3)]))
+            .when(kind == "ip", F.when(attempt < SHAPED, ip(F.lit(10), 256)).when(attempt < 2 * SHAPED, ip(_byte(stream, 4) % 16 + 240, 256))
+                  .otherwise(ip(_byte(stream, 4) % 744 + 256, 1000)))
             .when(kind == "card", _card(stream))
             .when(kind == "phone", phone)
             .when(kind == "person", F.concat(F.when(female, "f ").otherwise("m "), F.array_join(
-                F.transform(names, lambda w, i: _name(w, stream, i, female)), " ")))
-            .otherwise(_same_shape(canon, stream)))
+                F.transform(names, lambda w, i: _name(w, stream, i, female, attempt)), " ")))
+            .otherwise(longer(canon, F.lit("0"))))
 
 
 def formatted(kind: Column, value: Column, surrogate: Column) -> Column:
-    """The surrogate written the way the occurrence is."""
+    """The surrogate written the way the occurrence is; digits it has more follow
+    at the end."""
     digits = _digits(surrogate)
     placed = F.array_join(F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.when(
         F.substr(value, i, F.lit(1)).rlike("^[0-9]$"),
         F.substr(digits, F.length(_digits(F.substr(value, F.lit(1), i))), F.lit(1))).otherwise(F.substr(value, i, F.lit(1)))), "")
+    placed = F.concat(placed, F.substr(digits, F.length(_digits(value)) + 1))
     return (F.when(kind.isin("card", "phone", "ssn"), placed)
             .when(kind == "person", F.concat(F.regexp_extract(value, _TITLE, 0), F.substr(surrogate, F.lit(3))))
             .otherwise(surrogate))

@@ -60,3 +60,33 @@ def test_odd_rows(docs_of, odd, empty):
         pii.replace_pii(odd, "")
     plan = pii.replace_pii(odd, "k")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
+
+
+def test_more_entities_than_values_of_a_shape(spark, docs_of):
+    """Over 12^4 one-word names, over 26^2 short e-mails, over half of all short
+    telephone numbers: all settle, distinct and not real."""
+    az = "abcdefghijklmnopqrstuvwxyz"
+    rows = [("person", f"m X{i:05d}".translate(str.maketrans("0123456789", az[:10]))) for i in range(21_500)]
+    rows += [("email", f"{a}@{b}.{c}") for a in az for b in az for c in ("de", "fr", "example")]
+    rows += [("phone", f"+1{i:04d}") for i in range(6_000)] + [("ssn", f"{i:09d}") for i in range(50)]
+    got = pii.surrogates(spark.createDataFrame(rows, "kind string, canon string"), "k").collect()
+    new = {(r.kind, r.canon): (r.kind, r.surrogate) for r in got}
+    assert set(new) == set(rows) and len(set(new.values())) == len(rows) and not set(new.values()) & set(rows)
+    for kind, form in (("person", r"m [A-Z][a-z]+n"), ("email", r"[a-z]+@[a-z]\.example"), ("phone", r"\+1\d{4,}"), ("ssn", r"\d{9}")):
+        assert all(re.fullmatch(form, s) for k, s in new.values() if k == kind)
+
+
+def test_draws_grow_and_are_written_whole(spark):
+    at = spark.range(12).select(F.col("id").cast("int").alias("a"))
+    def drawn(kind, canon):
+        out = at.select("a", pii.draw(F.lit(kind), F.lit(canon), F.col("a"), "k").alias("s")).collect()
+        return [r.s for r in sorted(out)]
+    more = [max(0, a - pii.SHAPED + 1) for a in range(12)]
+    assert [len(s) for s in drawn("person", "f Ann Lee")] == [3 + 2 * (8 + 2 * a + 2) for a in range(12)]
+    assert [len(s) for s in drawn("email", "a@b.de")] == [11 + m for m in more]
+    assert [len(s) for s in drawn("phone", "+12345")] == [6 + m for m in more] and [len(s) for s in drawn("ssn", "123456789")] == [9 + m for m in more]
+    assert all(re.fullmatch("[а-я]+@[a-z].example", s) for s in drawn("email", "а@b.de"))
+    firsts = [int(s.split(".")[0]) for s in drawn("ip", "1.2.3.4")]
+    assert firsts[:4] == [10] * 4 and all(240 <= x < 256 for x in firsts[4:8]) and all(256 <= x < 1000 for x in firsts[8:])
+    placed = spark.range(1).select(pii.formatted(F.lit("phone"), F.lit("+1 (23) 45"), F.lit("+1678901")).alias("s")).first().s
+    assert placed == "+1 (67) 8901"
