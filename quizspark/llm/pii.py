@@ -11,7 +11,9 @@ secret key, the kind, the canonical form and an attempt number:
   country code's first digit kept; both take the punctuation of each occurrence;
 * IPv4: an address in 10.0.0.0/8; ssn: digits in the same places;
 * person: given and family names built of syllables of the same script
-  (Latin, Cyrillic, Greek), ending by the title's gender; the title stays.
+  (Latin, Cyrillic, Greek), ending by the title's gender; the titles stay. A name
+  has any number of capitalised words and initials, with particles (de, von, van)
+  before them; each of them, initials and particles too, becomes a name.
 
 Collision checks: of several entities with one surrogate the first keeps it,
 and so does none whose surrogate is itself an entity of the corpus; the others
@@ -43,6 +45,13 @@ from quizspark.llm.common import fresh, shared_table
 from quizspark.llm.spans import matches
 
 _W = r"[\p{L}\p{N}]"
+FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Fräulein", "Madame", "Mme", "Mademoiselle", "Mlle", "Señora", "Sra", "Dra", "Señorita", "Srta",
+          "Signora", "Madam", "Dame", "Госпожа", "Κυρία")
+_TITLES = "|".join((*FEMALE, *"Mr Mx Dr Prof Professor Doctor Doktor Sir Rev Herr Monsieur Señor Sr Signor Господин Доктор Профессор Κύριος Δρ".split()))
+#: One word of a name: particles before it, then a capitalised word or initials. The next person's title is none.
+_NAME = (r"(?:(?:(?:van|von)(?: (?:der|den|dem))?|de(?: (?:la|las|los))?|del|della|di|da|dos|du|des|la|le|ter|ten|af|av|bin|ibn|al|el|y|фон) |d['’]|(?:al|el)-)*+"
+         rf"(?!(?:{_TITLES})\.? \p{{Lu}})"
+         r"(?:\p{Lu}[\p{L}'’-]+|(?:\p{Lu}\.-?)++|\p{Lu}(?!\p{L}))")
 #: (kind, pattern), tried in this order at each place.
 KINDS = [
     ("email", rf"(?<![\p{{L}}\p{{N}}._%+-]){_W}[\p{{L}}\p{{N}}._%+-]*+@{_W}[\p{{L}}\p{{N}}-]*+(?:\.{_W}[\p{{L}}\p{{N}}-]*+)+"),
@@ -50,11 +59,10 @@ KINDS = [
     ("card", r"(?<!\d)\d{4}(?:[ -]?\d{4}){3}(?!\d)"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("phone", r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\d(])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d)"),
-    ("person", r"(?<![\p{L}])(?:Mrs|Mr|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr|Господин|Госпожа|Κύριος|Κυρία)\.? \p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?"),
+    ("person", rf"(?<![\p{{L}}])(?:(?:{_TITLES})\.? ){{1,5}}{_NAME}(?: {_NAME})*+"),
 ]
 PATTERN = "|".join(f"(?:{p})" for _, p in KINDS)
-_TITLE = r"^[\p{L}]+\.? "
-FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Κυρία")
+_TITLE = rf"^(?:(?:{_TITLES})\.? ){{1,5}}"
 #: Syllables and endings by script: (syllables, male ending, female ending).
 NAMES = {
     "latin": ("ba de fi go lu ma ne ri so ta ve wi".split(), "n", "na"),
@@ -78,7 +86,7 @@ def _digits(value: Column) -> Column:
 
 
 def _female(value: Column) -> Column:
-    return F.regexp_extract(value, r"^([\p{L}]+)", 1).isin(*FEMALE)
+    return F.regexp_extract(value, _TITLE, 0).rlike(rf"(?:^| )(?:{'|'.join(FEMALE)})\.? ")
 
 
 def canonical(kind: Column, value: Column) -> Column:
@@ -86,7 +94,7 @@ def canonical(kind: Column, value: Column) -> Column:
     return (F.when(kind == "email", F.lower(value))
             .when(kind == "ip", value)
             .when(kind == "phone", F.concat(F.when(value.startswith("+"), "+").otherwise(""), _digits(value)))
-            .when(kind == "person", F.concat(F.when(_female(value), "f ").otherwise("m "), F.regexp_replace(value, _TITLE, "")))
+            .when(kind == "person", F.concat(F.when(_female(value), "f ").otherwise("m "), F.replace(F.regexp_replace(value, _TITLE, ""), F.lit("."), F.lit(""))))
             .otherwise(_digits(value)))
 
 

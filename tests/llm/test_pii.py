@@ -90,3 +90,21 @@ def test_draws_grow_and_are_written_whole(spark):
     assert firsts[:4] == [10] * 4 and all(240 <= x < 256 for x in firsts[4:8]) and all(256 <= x < 1000 for x in firsts[8:])
     placed = spark.range(1).select(pii.formatted(F.lit("phone"), F.lit("+1 (23) 45"), F.lit("+1678901")).alias("s")).first().s
     assert placed == "+1 (67) 8901"
+
+
+def test_whole_names_are_replaced(docs_of):
+    names = ["Mr. John F. Kennedy", "Frau Anna Maria Schmidt", "Dr. Ludwig van der Berg", "Prof. Dr. J. R. R. Tolkien", "Herr Dr. Otto von Habsburg",
+             "Mme Marie-Claire de la Tour", "Mr J.-P. O'Neil", "Ms Ann d'Artagnan", "Señor Juan Carlos García y Vega", "Mr X", "Dr Ada B Lovelace", "Frau Dr. Lise Meitner",
+             "Господин Лев Николаевич Толстой"]
+    got = _new(docs_of, [(i, f"then {n}, who left; {n} said so.") for i, n in enumerate(names)])
+    for i, n in enumerate(names):
+        title = re.match(r"(?:(?:Mr|Ms|Mme|Frau|Herr|Dr|Prof|Señor|Господин)\.? )+", n).group(0)
+        m = re.fullmatch(rf"then {re.escape(title)}([\w ]+), who left; {re.escape(title)}([\w ]+) said so\.", got[i].text)
+        assert m and m.group(1) == m.group(2) and got[i].pii_kinds == ["person"] * 2, got[i].text
+        assert not set(re.findall(r"\w+", n[len(title):])) & set(re.findall(r"\w+", m.group(1)))
+        assert all(w.endswith("na" if title.startswith(("Frau", "Mme", "Ms")) else ("н" if i == 12 else "n")) for w in m.group(1).split())
+    dots = _new(docs_of, [(1, "Mr. John F. Kennedy"), (2, "Mr. John F Kennedy"), (3, "the Dr said no, Mr. and Mrs. too"), (4, "Mr " + "Aa " * 5_000),
+                          (5, "Señor García y Señora López"), (6, "Frau Müller und Herr Schmidt"), (7, "Mr Lord")])
+    assert dots[1].text == dots[2].text and dots[3].pii_kinds == [] and "Aa" not in dots[4].text.split()
+    assert re.fullmatch(r"Señor \w+n y Señora \w+na", dots[5].text) and re.fullmatch(r"Frau \w+na und Herr \w+n", dots[6].text)
+    assert "Lord" not in dots[7].text
