@@ -9,8 +9,9 @@ the document, and every line of it (a one-line notice such as "Released under
 the MIT License." is a known text of its own).
 
 Only digests meet in the join, never texts. The known table is a literal of
-fixed size (``KNOWN``, or the caller's list of at most ``MAX_KNOWN`` texts),
-so it is broadcast.
+fixed size (``KNOWN`` and ``DIGESTS``, or the caller's list of at most
+``MAX_KNOWN`` texts), so it is broadcast. ``DIGESTS`` are of full texts too long to
+ship, in the forms that wrapping gives them (``tools/build_license_digests.py``).
 
 Defined results: a null text has a null digest and no licence; an empty text,
 or one of punctuation only, has the digest of the empty text, which no licence
@@ -23,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quizspark.llm.license_digests import DIGESTS
+
 MAX_KNOWN = 10_000
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
@@ -111,11 +114,17 @@ def digest(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """(known_digest, license_id), one row per digest (the first licence by name)."""
-    if len(known) > MAX_KNOWN:
+    """(known_digest, license_id), one row per digest (the first licence by name);
+    with ``KNOWN`` also the full texts of ``DIGESTS``."""
+    full = DIGESTS if known is KNOWN else {}
+    if len(known) + sum(map(len, full.values())) > MAX_KNOWN:
         raise ValueError(f"more than {MAX_KNOWN} known texts: join them as a table of digests instead")
     one = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(i).alias("l"), F.lit(t).alias("t")) for i, t in known])).alias("k"))
-    return one.groupBy(digest(F.col("k.t")).alias("known_digest")).agg(F.min("k.l").alias("license_id"))
+    out = one.select(digest(F.col("k.t")).alias("known_digest"), F.col("k.l").alias("l"))
+    if full:
+        lists = F.array(*[F.struct(F.lit(i).alias("l"), F.split(F.lit(" ".join(d)), " ").alias("d")) for i, d in full.items()])
+        out = out.unionByName(spark.range(1).select(F.inline(lists)).select(F.explode("d").alias("known_digest"), "l"))
+    return out.groupBy("known_digest").agg(F.min("l").alias("license_id"))
 
 
 def license_scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN) -> DataFrame:

@@ -1,3 +1,9 @@
+import os
+import re
+import textwrap
+
+import pytest
+
 from quizspark.llm import licenses as lic
 
 
@@ -32,3 +38,33 @@ def test_odd_rows(odd, empty):
 
 def test_no_python(odd):
     assert "Python" not in lic.license_scan(odd)._jdf.queryExecution().executedPlan().toString()
+
+
+COMMON = "/usr/share/common-licenses"
+
+
+@pytest.mark.skipif(not os.path.isfile(f"{COMMON}/GPL-3"), reason="no full licence texts here")
+def test_full_texts_in_any_wrapping(docs_of):
+    files = {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0", "GPL-2": "GPL-2.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows, want = [], {}
+    for name, license_id in files.items():
+        with open(f"{COMMON}/{name}") as f:
+            text = f.read()
+        paragraphs = [" ".join(p.split()) for p in re.split(r"\n\s*\n", text) if p.strip()]
+        wrapped = "\n\n".join(textwrap.fill(p, 57) for p in paragraphs)
+        forms = [text, wrapped, "\n".join("# " + x for x in wrapped.splitlines()).upper(), "\n".join(paragraphs), " ".join(paragraphs)]
+        if "END OF TERMS" in text:
+            forms.append(text[:text.index("END OF TERMS")])
+        for form in forms:
+            want[len(rows), -1] = license_id
+            rows.append((len(rows), form))
+        want[len(rows), -1] = None
+        rows.append((len(rows), text.replace("distribut", "sell")))       # not the text any more
+    got = _ids(lic.license_scan(docs_of(rows)))
+    assert {k: got[k] for k in want} == want
+
+
+def test_full_texts_only_with_the_own_list(spark):
+    assert lic.known_digests(spark, [("OWN", "do as you like")]).count() == 1
+    digests = [x for d in lic.DIGESTS.values() for x in d]
+    assert all(re.fullmatch("[0-9a-f]{64}", x) for x in digests) and len(set(digests)) == len(digests)
