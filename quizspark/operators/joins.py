@@ -29,12 +29,17 @@ def join_on_text(responses: DataFrame, questions: DataFrame, text_col: str = "qu
     Every question with a matching text gets its rows, copies included.
     ``duplicates="all"`` (default) first reduces the responses to one per
     (text, ``by``) - the least by its columns - so a text that stands c times
-    gives c rows per model, never c x c. ``duplicates="multiply"`` keeps every
-    response x copy, as a plain merge does. ``warn_if_empty`` runs a one-row
+    gives c rows per model, never c x c; other responses to the text are lost.
+    ``duplicates="count"`` loses none: every copy gets each distinct response (all
+    its columns) once, with ``n_responses``, how often it was given, so k distinct
+    responses give c x k rows however many there are. ``duplicates="multiply"`` keeps
+    every response x copy, as a plain merge does. ``warn_if_empty`` runs a one-row
     probe and warns when nothing matches (e.g. responses rendered with another
     prompt template)."""
-    if duplicates not in ("all", "multiply"):
-        raise ValueError("duplicates is 'all' or 'multiply'")
+    if duplicates not in ("all", "count", "multiply"):
+        raise ValueError("duplicates is 'all', 'count' or 'multiply'")
+    if duplicates == "count" and "n_responses" in (*responses.columns, *questions.columns):
+        raise ValueError("duplicates='count' adds the column n_responses, which is there already")
     text = F.col(text_col)
     key = F.sha2((F.coalesce(F.concat(F.lit("t"), text), F.lit("null")) if null_safe else text).cast("binary"), 256)
     q = questions.withColumn("_text_key", key).drop(text_col)
@@ -44,6 +49,8 @@ def join_on_text(responses: DataFrame, questions: DataFrame, text_col: str = "qu
         groups = [c for c in by if c in r.columns]
         rest = [c for c in r.columns if c not in (*groups, "_text_key")]
         r = r.groupBy("_text_key", *groups).agg(F.min(F.struct(*rest)).alias("_r")).select("_text_key", *groups, "_r.*")
+    elif duplicates == "count":
+        r = r.groupBy(*r.columns).agg(F.count(F.lit(1)).alias("n_responses"))
     out = r.join(q, "_text_key").drop("_text_key")
     if warn_if_empty and out.isEmpty():
         import warnings

@@ -120,6 +120,23 @@ def test_join_on_text_duplicates(spark):
     assert join_on_text(r, q, duplicates="multiply").count() == 5
 
 
+def test_join_on_text_counts_lose_no_response(spark):
+    """Copies answered differently: each copy gets every answer, and the counts
+    are those of the plain merge."""
+    from collections import Counter
+    from quizspark.operators.joins import join_on_text
+    given = [("t1", "m1", "ABCDE"[i % 5]) for i in range(40)] + [("t1", "m2", "C")] * 3 + [("t2", "m1", None)] * 2 + [(None, "m1", "A"), ("t3", "m1", "A")]
+    r = spark.createDataFrame(given, "question string, model string, response string")
+    q = spark.createDataFrame([(5, "t1"), (3, "t1"), (9, "t2"), (1, None), (2, "t4")], "question_index long, question string")
+    for null_safe in (False, True):
+        got = join_on_text(r, q, null_safe=null_safe, duplicates="count").select("question_index", "model", "response", "n_responses").collect()
+        merged = join_on_text(r, q, null_safe=null_safe, duplicates="multiply").select("question_index", "model", "response").collect()
+        assert {tuple(x)[:3]: x["n_responses"] for x in got} == Counter(tuple(x) for x in merged)
+        assert len(got) == 2 * 6 + 1 + null_safe
+    with pytest.raises(ValueError, match="n_responses"):
+        join_on_text(r.withColumn("n_responses", r["model"]), q, duplicates="count")
+
+
 def test_join_on_text_warns_on_zero_matches(spark):
     import warnings
     from quizspark.operators.joins import join_on_text
