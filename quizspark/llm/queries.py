@@ -9,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizspark.llm import (decontamination, language, licenses, mixing, pii, quality, secrets, simhash, tokens, toxicity)
+from quizspark.llm import (decontamination, language, licenses, merkle, mixing, pii, quality, secrets, simhash, tokens,
+                           toxicity)
 from quizspark.llm.common import table
 
 #: A deployment passes a secret of its own.
@@ -73,6 +74,10 @@ def op10_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.limits(tokens.histogram(table(spark, sf, "documents"), count(F.col("text"))))
 
 
+def op11_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.line_breaks_lost(table(spark, sf, "documents"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf)
@@ -80,7 +85,7 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_license, op3_simhash, op4_mixing, op5_quality, op6_pii, op7_secrets,
-                            op8_language, op9_decontamination, op10_tokens, pipeline)}
+                            op8_language, op9_decontamination, op10_tokens, op11_merkle, pipeline)}
 
 
 def _text_literal(s: str) -> str:
@@ -149,5 +154,40 @@ SELECT doc_id, {', '.join(f'coalesce(n_{r.kind}, 0) AS n_{r.kind}' for r in secr
        coalesce(spans, '') AS spans FROM d LEFT JOIN agg USING (n)"""
 
 
+def _merkle_sql() -> str:
+    def leaf(text: str) -> str:
+        fields = [f"coalesce(strlen(cast({c} AS varchar)) || ':' || cast({c} AS varchar), '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+        return f"sha256({' || '.join(fields)})"
+    bits = "flatten(list_transform(string_split(cast(doc_id AS varchar), ''), lambda c: list_transform(range(8), lambda i: (ascii(c) >> i) & 1)))"
+    crc = (f"list_reduce(list_prepend(cast(4294967295 AS bigint), {bits}), lambda c, b: xor(xor(c, b) >> 1, "
+           "CASE WHEN xor(c, b) & 1 = 1 THEN cast(3988292384 AS bigint) ELSE 0 END))")
+    even = f"(doc_id IS NULL OR xor({crc}, 4294967295) & 1 = 0)"
+    side = "coalesce(lag(dig, 2) OVER w, '') || coalesce(lag(dig, 1) OVER w, '') AS l, coalesce(lead(dig, 1) OVER w, '') || coalesce(lead(dig, 2) OVER w, '') AS r"
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, {leaf('text')} AS leaf,
+                            CASE WHEN {even} THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf('text')} END AS now FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM d),
+up(source, lvl, idx, n, dig) AS (
+  SELECT source, 0, cast(pos AS bigint), cast(n AS bigint), leaf FROM placed
+  UNION ALL
+  SELECT source, lvl + 1, idx // 3, (n + 2) // 3, sha256(string_agg(dig, '' ORDER BY idx)) FROM up WHERE n > 1 GROUP BY source, lvl, idx // 3, n),
+subs AS (SELECT source, dig, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+top(lvl, idx, n, dig) AS (
+  SELECT 0, cast(pos AS bigint), cast(n AS bigint), dig FROM subs
+  UNION ALL
+  SELECT lvl + 1, idx // 3, (n + 2) // 3, sha256(string_agg(dig, '' ORDER BY idx)) FROM top WHERE n > 1 GROUP BY lvl, idx // 3, n),
+up_side AS (SELECT source, lvl, idx, {side} FROM up WHERE n > 1 WINDOW w AS (PARTITION BY source, lvl, idx // 3 ORDER BY idx)),
+top_side AS (SELECT lvl, idx, {side} FROM top WHERE n > 1 WINDOW w AS (PARTITION BY lvl, idx // 3 ORDER BY idx)),
+high AS (SELECT s.source, s.dig AS subroot, list(t.l || '|' || t.r ORDER BY t.lvl) FILTER (WHERE t.l IS NOT NULL) AS path
+         FROM subs s LEFT JOIN top_side t ON t.idx = s.pos // cast(pow(3, t.lvl) AS bigint) GROUP BY s.source, s.dig),
+low AS (SELECT p.source, p.pos, list(u.l || '|' || u.r ORDER BY u.lvl) FILTER (WHERE u.l IS NOT NULL) AS path
+        FROM placed p LEFT JOIN up_side u ON u.source IS NOT DISTINCT FROM p.source AND u.idx = p.pos // cast(pow(3, u.lvl) AS bigint) GROUP BY p.source, p.pos),
+whole AS (SELECT p.doc_id, p.leaf, p.now, h.subroot, (SELECT dig FROM top WHERE n = 1) AS root,
+                 list_concat(coalesce(l.path, []), coalesce(h.path, [])) AS path
+          FROM placed p JOIN low l ON l.source IS NOT DISTINCT FROM p.source AND l.pos = p.pos JOIN high h ON h.source IS NOT DISTINCT FROM p.source),
+folded AS (SELECT *, list_reduce(list_prepend(now, path), lambda d, s: sha256(split_part(s, '|', 1) || d || split_part(s, '|', 2))) AS folded_root FROM whole)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(path, ''), '|', '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license": _license_sql(), "op4_mixing": _mixing_sql(), "op7_secrets": _secrets_sql()}
+    return {"op2_license": _license_sql(), "op4_mixing": _mixing_sql(), "op7_secrets": _secrets_sql(), "op11_merkle": _merkle_sql()}
