@@ -9,8 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizspark.llm import (decontamination, language, licenses, merkle, mixing, pii, quality, secrets, simhash, tokens,
-                           toxicity)
+from quizspark.llm import (alignment, decontamination, language, licenses, merkle, mixing, pii, quality, secrets, simhash,
+                           tokens, toxicity)
 from quizspark.llm.common import table
 
 #: A deployment passes a secret of its own.
@@ -78,6 +78,10 @@ def op11_merkle(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.line_breaks_lost(table(spark, sf, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.align(table(spark, sf, "documents"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf)
@@ -85,7 +89,8 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_license, op3_simhash, op4_mixing, op5_quality, op6_pii, op7_secrets,
-                            op8_language, op9_decontamination, op10_tokens, op11_merkle, pipeline)}
+                            op8_language, op9_decontamination, op10_tokens, op11_merkle, op12_alignment,
+                            pipeline)}
 
 
 def _text_literal(s: str) -> str:
