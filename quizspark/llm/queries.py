@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quizspark.llm import (alignment, decontamination, language, licenses, merkle, mixing, pii, quality, secrets, simhash,
-                           tokens, toxicity)
+                           tokens, toxicity, weighted_sampling)
 from quizspark.llm.common import table
 
 #: A deployment passes a secret of its own.
@@ -82,6 +82,10 @@ def op12_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return alignment.align(table(spark, sf, "documents"))
 
 
+def op13_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return weighted_sampling.fingerprints(table(spark, sf, "documents"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf)
@@ -90,7 +94,7 @@ def pipeline(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_license, op3_simhash, op4_mixing, op5_quality, op6_pii, op7_secrets,
                             op8_language, op9_decontamination, op10_tokens, op11_merkle, op12_alignment,
-                            pipeline)}
+                            op13_fingerprints, pipeline)}
 
 
 def _text_literal(s: str) -> str:
