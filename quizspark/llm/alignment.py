@@ -5,6 +5,8 @@ A text is encoded by a byte-level BPE (A) and a sentence-piece model (B). Where
 tokens of both end at the same byte, the text is cut; tokens of one group are
 linked, each of A with each of B. A pair of ids counts once per document.
 
+Texts are encoded once, into a shared table of ids (two bytes a token). Then:
+
 1. First pass: documents are aligned, each task combines the pairs of its
    documents and writes (pair, documents) rows.
 2. The distinct pairs are dealt into shards of about ``SHARD_KEYS``; each shard
@@ -12,11 +14,11 @@ linked, each of A with each of B. A pair of ids counts once per document.
 3. The written rows of ``FAN`` tasks become one dense vector of counts a shard,
    indexed by the hash (keys are verified); vectors are summed as a tree, ``FAN``
    at a time, until each shard has one.
-4. Second pass: documents are aligned again and their links looked up. Hashes,
+4. Second pass: documents are aligned again, from the written ids, and their links looked up. Hashes,
    keys and counts are broadcast in slabs of at most ``SLAB_KEYS`` keys, 17 bytes
    each; with more pairs than that there is a pass per slab, whose sums are added.
 
-Texts are aligned some hundred thousand characters at a time (a longer one by
+Documents are aligned some hundred thousand tokens at a time (a longer one by
 itself); links are expanded at most ``MAX_LINKS`` at a time, and a group with more
 is reduced to its distinct ids first, so memory does not grow with the links.
 
@@ -31,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,9 +52,11 @@ SHARD_KEYS = 1 << 15
 SLAB_KEYS = 1 << 22
 FAN = 64
 MAX_LINKS = 1 << 22
-BATCH_CHARS = 500_000
+CHUNK_CHARS = 250
+BATCH_BYTES = 800_000
 FLUSH_PAIRS = 1 << 21
 _LOADED: dict = {}
+_INNER_SPACE = re.compile("[^▁]▁")
 
 
 def _byte_letters() -> dict[str, int]:
@@ -83,17 +88,30 @@ class Tokenizers:
         self.a_len, self.b_len = np.zeros(self.n_a, np.int64), np.array([len(x) for x in self.b_bytes], np.int64)
         for t, i in ranks.items():
             self.a_len[i] = len(t)
-        #: "id," and "id|" for A, "id," and "id;" for B
-        self.written = [b"%d%c" % (i, c) for n, ends in ((self.n_a, b",|"), (self.n_b, b",;")) for i in range(n) for c in ends]
-
-    def encode(self, text: str | None) -> tuple[list[int], list[int]] | None:
-        if not text:
+        #: "id," and "id|" for A, "id," and "id;" for B, eight bytes each
+        self.written = np.array([b"%d%c" % (i, c) for n, ends in ((self.n_a, b",|"), (self.n_b, b",;")) for i in range(n) for c in ends], "S8")
+        self.kind = np.dtype("<u2" if max(self.n_a, self.n_b) <= 1 << 16 else "<u4")
+        # where no piece goes on past a word's end and spaces are kept, the pieces of
+        # a text are those of its parts, cut after words; short ones are encoded faster
+        whole = any(_INNER_SPACE.search(self.b.id_to_piece(i)) for i in range(self.n_b)) or self.b.normalize("  a  b ") != "▁▁▁a▁▁b▁"
+        self.parts = (lambda spaced: [spaced]) if whole else re.compile("(?s).{1,%d}[^ ]*(?:(?<= ) *[^ ]*)?" % CHUNK_CHARS).findall
+        self.space = self.b.piece_to_id("▁")
+
+    def encode_b(self, spaced: str) -> list[int]:
+        ids: list[int] = []
+        for part in self.parts(spaced):
+            ids += self.b.encode(part[1:], num_threads=1) if part != " " else [self.space]
+        return ids
+
+    def encode(self, text: str | None) -> tuple[bytes, bytes] | None:
+        """Ids of A and B as bytes; None where there are none."""
+        if not text or "▁" in text:  # that letter would come back as a space
             return None
         spaced = " " + text
-        raw, a, b = spaced.encode(), self.a.encode_ordinary(spaced), self.b.encode(text, num_threads=1)
+        raw, a, b = spaced.encode(), self.a.encode_ordinary(spaced), self.encode_b(spaced)
         if self.a.decode_bytes(a) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
             return None
-        return a, b
+        return np.array(a, self.kind).tobytes(), np.array(b, self.kind).tobytes()
 
 
 def _starts(ends: np.ndarray) -> np.ndarray:
@@ -103,12 +121,11 @@ def _starts(ends: np.ndarray) -> np.ndarray:
 class Aligned:
     """Documents with tokens, aligned together: their ids joined end to end."""
 
-    def __init__(self, tok: Tokenizers, coded: list[tuple[list[int], list[int]]]):
+    def __init__(self, tok: Tokenizers, coded: list[tuple[bytes, bytes]]):
         self.tok = tok
-        self.n_a = np.array([len(a) for a, _ in coded], np.int64)
-        self.n_b = np.array([len(b) for _, b in coded], np.int64)
-        self.a = np.concatenate([np.array(a, np.int64) for a, _ in coded])
-        self.b = np.concatenate([np.array(b, np.int64) for _, b in coded])
+        (self.n_a, self.a), (self.n_b, self.b) = (
+            (np.array([len(x) for x in ids], np.int64) // tok.kind.itemsize, np.frombuffer(b"".join(ids), tok.kind).astype(np.int64))
+            for ids in zip(*coded))
         a_end, b_end = np.cumsum(tok.a_len[self.a]), np.cumsum(tok.b_len[self.b])
         at = np.searchsorted(b_end, a_end)
         both = b_end[at] == a_end  # a document's last tokens always
@@ -153,10 +170,11 @@ class Aligned:
         what_b[self.last_b] += 1
         out[np.arange(len(self.a)) + self.b0[g_a]] = what_a
         out[np.arange(len(self.b)) + self.last_a[g_b] + 1] = what_b
-        ends = np.cumsum(self.n_a + self.n_b)
-        word = self.tok.written.__getitem__
-        return [hashlib.sha256(b"".join(map(word, out[e - n:e].tolist()))[:-1]).hexdigest()
-                for e, n in zip(ends.tolist(), (self.n_a + self.n_b).tolist())]
+        words = self.tok.written[out].view(np.uint8).reshape(-1, 8)
+        used = words != 0
+        raw = words[used].tobytes()
+        ends = np.cumsum(used.sum(axis=1))[np.cumsum(self.n_a + self.n_b) - 1].tolist()
+        return [hashlib.sha256(raw[s:e - 1]).hexdigest() for s, e in zip([0, *ends], ends)]
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -187,17 +205,28 @@ def _send_files(spark: SparkSession, vocabulary_a: str, vocabulary_b: str):
     return spark.sparkContext.broadcast(tuple(files))
 
 
+def encoded(docs: DataFrame, files) -> DataFrame:
+    """doc_id and the ids of both tokenizers (null: no tokens)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
+
+    def run(batches):
+        tok = _tokenizers(files)
+        for batch in batches:
+            found = [tok.encode(t.as_py()) or (None, None) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.binary()) for x in zip(*found))], schema=schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, a binary, b binary")
+
+
 def _runs(tok: Tokenizers, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[int], Aligned | None]]:
     """(ids, places of the documents with tokens, their alignment), some hundred
-    thousand characters at a time."""
+    thousand tokens at a time."""
     for batch in batches:
         ids, coded, size = [], [], 0
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            text = text.as_py()
+        for doc_id, a, b in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
             ids.append(doc_id)
-            coded.append(tok.encode(text))
-            size += len(text or "")
-            if size >= BATCH_CHARS:
+            coded.append((a.as_py(), b.as_py()) if a.is_valid else None)
+            size += len(coded[-1][0]) if coded[-1] else 0
+            if size >= BATCH_BYTES:
                 yield _run(tok, ids, coded)
                 ids, coded, size = [], [], 0
         if ids:
@@ -216,7 +245,7 @@ def shard_of(pair, shards: int):
     return pair % 4294967291 * 1640531527 % 4294967291 % shards
 
 
-def pair_counts(docs: DataFrame, files) -> DataFrame:
+def pair_counts(coded: DataFrame, files) -> DataFrame:
     """(task, pair, n): how many of a task's documents hold a pair, a few rows for
     a pair where a task has too many pairs to hold."""
     schema = pa.schema([("task", pa.int32()), ("pair", pa.int64()), ("n", pa.int64())])
@@ -246,7 +275,7 @@ def pair_counts(docs: DataFrame, files) -> DataFrame:
             kept = combined()
         if kept:
             yield from out(*kept)
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, "task int, pair long, n long")
+    return coded.mapInArrow(run, "task int, pair long, n long")
 
 
 _PARTS = "shard int, sizes binary, bits binary, keys binary"
@@ -369,7 +398,7 @@ def best_counts(table: DataFrame, n_a: int, n_b: int) -> np.ndarray:
 _RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
-def _look_up(docs: DataFrame, files, slab, best, shards: int) -> DataFrame:
+def _look_up(coded: DataFrame, files, slab, best, shards: int) -> DataFrame:
     """A row per document with the sums over the links of one slab of shards."""
     kinds = [pa.int64()] * 7 + [pa.string()]
     schema = pa.schema(list(zip([c.split()[0] for c in _RESULT.split(", ")], kinds)))
@@ -401,7 +430,7 @@ def _look_up(docs: DataFrame, files, slab, best, shards: int) -> DataFrame:
                 for i, s in zip(having, al.digests()):
                     sha[i] = s
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(c) for c in cols], pa.array(sha)], schema=schema)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _RESULT)
+    return coded.mapInArrow(run, _RESULT)
 
 
 def align(docs: DataFrame, vocabulary_a: str = VOCABULARY_A, vocabulary_b: str = VOCABULARY_B) -> DataFrame:
@@ -411,7 +440,8 @@ def align(docs: DataFrame, vocabulary_a: str = VOCABULARY_A, vocabulary_b: str =
     bounded_batches(spark)
     files = _send_files(spark, vocabulary_a, vocabulary_b)
     tok = _tokenizers(files)
-    rows = shared_table(pair_counts(docs, files))
+    coded = shared_table(encoded(docs, files), compression="zstd")
+    rows = shared_table(pair_counts(coded, files))
     pairs = shared_table(rows.select("pair").distinct())
     facts = rows.agg(F.max("task")).first()[0], pairs.count()
     shards, tasks = max(1, -(-facts[1] // SHARD_KEYS)), (facts[0] or 0) + 1
@@ -425,7 +455,7 @@ def align(docs: DataFrame, vocabulary_a: str = VOCABULARY_A, vocabulary_b: str =
         none = {"sizes": b"", "bits": b"", "keys": b"", "counts": b""}  # a shard that no pair hashes to
         slab = [got.get(s, none) for s in range(first, min(first + width, shards))]
         sent = spark.sparkContext.broadcast((first, [tuple(r[c] for c in ("sizes", "bits", "keys")) for r in slab], b"".join(r["counts"] for r in slab)))
-        results.append(_look_up(docs, files, sent, best, shards))
+        results.append(_look_up(coded, files, sent, best, shards))
     if len(results) == 1:
         return results[0]
     # equal documents have equal sums, so they are added up together and dealt out again

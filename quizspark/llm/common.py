@@ -32,12 +32,13 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
-def shared_table(df: DataFrame) -> DataFrame:
+def shared_table(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it
-    back: cuts the lineage, and every executor can read it again."""
+    back: cuts the lineage, and every executor can read it again. ``options``
+    are those of the writer."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -88,20 +88,21 @@ def test_against_brute_force(docs_of, tools):
 
 def test_several_slabs_shards_and_tree_levels(docs_of, tools, monkeypatch):
     rows = [(i % 70, t) for i, t in enumerate(TEXTS + _made_up(60))] + [(1, "hello world"), (1, "hello world"), (None, None)]
-    for name, value in (("SHARD_KEYS", 64), ("SLAB_KEYS", 256), ("FAN", 2), ("BATCH_CHARS", 100)):
+    for name, value in (("SHARD_KEYS", 64), ("SLAB_KEYS", 256), ("FAN", 2), ("BATCH_BYTES", 100), ("CHUNK_CHARS", 3)):
         monkeypatch.setattr(al, name, value)
     assert _got(al.align(docs_of(rows).repartition(7))) == brute(rows, tools)
 
 
 def test_links_in_pieces_are_the_same(monkeypatch):
     class Two:
-        n_a, n_b = 50, 40
+        n_a, n_b, kind = 50, 40, np.dtype("<u2")
         a_len, b_len = np.ones(50, np.int64), np.ones(40, np.int64)
     r = random.Random(1)
     a = [r.randrange(1, 50) for _ in range(300)]
     Two.a_len[0], Two.b_len[0] = 300, 200
     # one group of 100 x 200 tokens that cannot be cut, then single ones
     coded = [([0] + a[:5], [0] + [1] * 100 + [r.randrange(1, 40) for _ in range(5)]), (a[:9], [2] * 9)]
+    coded = [tuple(np.array(x, "<u2").tobytes() for x in c) for c in coded]
     whole = [x.tolist() for x in al.Aligned(Two, coded).links()]
     monkeypatch.setattr(al, "MAX_LINKS", 7)
     assert [x.tolist() for x in al.Aligned(Two, coded).links()] == whole
@@ -131,6 +132,18 @@ def test_perfect_hash_is_minimal_and_knows_its_keys():
     assert all(len(x) == 0 for x in perfect_hash.build(keys[:0]))
 
 
+def test_pieces_by_part_are_those_of_the_text(tools, monkeypatch):
+    monkeypatch.setattr(al, "CHUNK_CHARS", 5)
+    tok = al.Tokenizers(open(al.VOCABULARY_A, "rb").read(), open(al.VOCABULARY_B, "rb").read())
+    r = random.Random(6)
+    texts = [t for t in TEXTS if t] + ["".join(r.choice("   \n\tab\u00e9\u3000e\u0301.\u2581日😀0") for _ in range(r.randrange(1, 90))) for _ in range(600)]
+    for text in texts:
+        if "▁" in text:
+            assert tok.encode(text) is None
+            continue
+        assert tok.encode_b(" " + text) == tools[1].encode(text), text
+
+
 def test_byte_bpe_equals_its_library(tools):
     tok = al.Tokenizers(open(al.VOCABULARY_A, "rb").read(), open(al.VOCABULARY_B, "rb").read())
     for text in [t for t in TEXTS if t] + _made_up(200, 9):
