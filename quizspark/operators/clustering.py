@@ -7,24 +7,24 @@ single-machine libraries; here the same user-level steps are Spark jobs:
 * embed: MLlib tokenizer + HashingTF + IDF + L2 normaliser (or a stored
   embedding column, or a user encoder through ``mapInPandas``);
 * reduce: L2 normalise + MLlib PCA (components are nested, so one fit with
-  the largest ``k`` serves every smaller ``k``);
+  the largest ``k`` serves every smaller ``k``), or coordinates of the
+  neighbour graph (``operators.spectral``);
 * neighbours: exact k-nearest-neighbour graph by hash blocks — a cogroup of
   (query block, candidate block) pairs computes distances with numpy inside
-  each task and emits only the k best per row (never all pairs);
+  each task and emits only the k best per row (never all pairs) — or, for
+  large tables, from cells and neighbours of neighbours
+  (``operators.neighbours``);
 * density clusters: core distance = distance to the k-th neighbour, mutual
-  reachability max(core_a, core_b, d) on the kNN edges, edges at most
-  ``eps`` kept, connected components by min-label propagation with pointer
-  jumping and checkpoints; components smaller than ``min_cluster_size`` are
-  noise (-1). The best of several flat cuts instead of HDBSCAN's hierarchy selection;
-* membership: min core distance in the cluster / own core distance;
-* search: every trial of a seeded parameter sample is evaluated in the same
-  distributed iterations (the trial id is part of the key).
+  reachability max(core_a, core_b, d) on the kNN edges, condensed hierarchy and
+  clusters chosen from it (``operators.hierarchy``), or one flat cut;
+* membership: lambda in the cluster / greatest lambda (flat cut: min core
+  distance in the cluster / own core distance);
+* search: rounds of trials, each evaluated in the same distributed pass (the
+  trial id is part of the key), drawn where earlier losses were low.
 """
 
 from __future__ import annotations
 
-import random
-
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
@@ -34,8 +34,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quizspark.operators.hierarchy import MAX_EDGES, hierarchical_clusters
+from quizspark.operators.neighbours import approximate_knn
 from quizspark.operators.position import global_position, join_small
-from quizspark.session import checkpoint_dir
+from quizspark.operators.search import minimise
+from quizspark.session import checkpoint_dir, saved
 
 
 # --- embeddings ------------------------------------------------------------
@@ -161,6 +164,16 @@ def knn_graph(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec", m
     return out if prefix_dims else out.drop("dims")
 
 
+def neighbour_graph(df: DataFrame, k: int, id_col: str = "id", vec_col: str = "vec", metric: str = "cosine", prefix_dims=None,
+                    exact_rows: int = 20_000) -> DataFrame:
+    """kNN graph like :func:`knn_graph`: exact up to ``exact_rows`` rows, beyond
+    that from cells and neighbours of neighbours (``operators.neighbours``), whose
+    work is near linear."""
+    if df.count() <= exact_rows:
+        return knn_graph(df, k, id_col, vec_col, metric, prefix_dims=prefix_dims)
+    return approximate_knn(df, k, id_col, vec_col, metric, prefix_dims=prefix_dims)
+
+
 # --- density clusters --------------------------------------------------------
 
 def connected_components(edges: DataFrame, vertices: DataFrame, key_cols=(), max_iter: int = 100,
@@ -217,78 +230,40 @@ def _mutual_reachability(knn: DataFrame, keys: list, k_core, n_edges) -> tuple[D
     return e, verts
 
 
-def _flat_cut(e: DataFrame, verts: DataFrame, thr, min_size, keys: list) -> DataFrame:
+def _flat_cut(e: DataFrame, verts: DataFrame, eps: float, min_size: int) -> DataFrame:
     """Keep edges and vertices within eps, label components, mark small
-    components as noise, number clusters 0.. by smallest member id.
-    With ``keys`` (e.g. trial), ``thr`` / ``min_size`` are per-key tables;
-    without, they are plain numbers."""
-    if keys:
-        kept = e.join(thr, keys).where(F.col("mr") <= F.col("eps"))
-        v_ok = verts.join(thr, keys).where(F.col("core") <= F.col("eps"))
-    else:
-        kept = e.where(F.col("mr") <= F.lit(thr))
-        v_ok = verts.where(F.col("core") <= F.lit(thr))
-    comps = connected_components(kept.select(*keys, "src", "dst"), v_ok.select(*keys, "id"), keys)
-    sizes = comps.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("size"))
-    lab = comps.join(sizes, keys + ["label"])
-    lab = lab.join(min_size, keys) if keys else lab.withColumn("min_cluster_size", F.lit(min_size))
-    lab = lab.withColumn("cluster_raw", F.when(F.col("size") >= F.col("min_cluster_size"), F.col("label")))
-    out = verts.join(lab.select(*keys, "id", "cluster_raw"), keys + ["id"], "left")
+    components as noise, number clusters 0.. by smallest member id."""
+    kept = e.where(F.col("mr") <= F.lit(eps))
+    v_ok = verts.where(F.col("core") <= F.lit(eps))
+    comps = connected_components(kept.select("src", "dst"), v_ok.select("id"))
+    sizes = comps.groupBy("label").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= min_size)
+    lab = comps.join(sizes, "label").select("id", F.col("label").alias("cluster_raw"))
+    out = verts.join(lab, "id", "left")
     # one row per cluster: a small table
-    firsts = out.where(F.col("cluster_raw").isNotNull()).groupBy(*keys, "cluster_raw").agg(
+    firsts = out.where(F.col("cluster_raw").isNotNull()).groupBy("cluster_raw").agg(
         F.min("id").alias("_first"), F.min("core").alias("_mincore"))
-    # dense numbers 0.. per key without a single-task window: global
-    # position over (keys, first member), minus each key's first position
-    firsts = global_position(firsts, [*[F.col(k) for k in keys], F.col("_first")], "_gpos")
-    if keys:
-        starts = firsts.groupBy(*keys).agg(F.min("_gpos").alias("_kstart"))
-        firsts = join_small(firsts, starts, keys)
-        firsts = firsts.withColumn("cluster", (F.col("_gpos") - F.col("_kstart")).cast("int"))
-    else:
-        firsts = firsts.withColumn("cluster", F.col("_gpos").cast("int"))
+    firsts = global_position(firsts, ["_first"], "_gpos").select("cluster_raw", F.col("_gpos").cast("int").alias("cluster"), "_mincore")
     # noise has no key: broadcast where small, else split by the skew join
-    out = join_small(out, firsts.select(*keys, "cluster_raw", "cluster", "_mincore"), keys + ["cluster_raw"], "left")
+    out = join_small(out, firsts, ["cluster_raw"], "left")
     prob = F.when(F.col("cluster").isNotNull(), F.coalesce(F.try_divide("_mincore", "core"), F.lit(1.0))).otherwise(F.lit(0.0))
-    return out.select(*keys, "id", F.coalesce("cluster", F.lit(-1)).alias("cluster"), prob.alias("probability"))
-
-
-#: Quantiles of the core distances that are tried as density cut.
-EPS_QUANTILES = (0.3, 0.5, 0.7, 0.8, 0.9, 0.95)
-
-
-def _best_cut(e: DataFrame, verts: DataFrame, cuts: list[float], min_size: int) -> DataFrame:
-    """The clustering with the most clusters among several cuts (ties: the
-    least noise), all cut in the same jobs."""
-    spark = e.sparkSession
-    levels = spark.createDataFrame([(i, float(x), min_size) for i, x in enumerate(cuts)], "level int, eps double, min_cluster_size int")
-    each = F.explode(F.array(*[F.lit(i) for i in range(len(cuts))])).alias("level")
-    # broadcast: a row per cut
-    found = _flat_cut(e.select("*", each), verts.select("*", each), F.broadcast(levels.select("level", "eps")),
-                      F.broadcast(levels.select("level", "min_cluster_size")), ["level"]).checkpoint(eager=True)
-    best = (found.groupBy("level").agg(F.count_distinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("n"),
-                                       F.count(F.when(F.col("cluster") < 0, 1)).alias("noise"))
-            .orderBy(F.desc("n"), "noise", "level").first())
-    return found.where(F.col("level") == (best["level"] if best else 0)).drop("level")
+    return out.select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"), prob.alias("probability"))
 
 
 def density_clusters(knn: DataFrame, min_samples: int = 5, min_cluster_size: int = 25, eps: float | None = None,
-                     eps_quantile: float | None = None) -> DataFrame:
+                     eps_quantile: float | None = None, allow_single: bool = False, max_edges: int = MAX_EDGES) -> DataFrame:
     """Cluster label (-1 = noise) and membership probability per id from a
-    kNN graph (id, nbr, dist, rank). The cut is ``eps``, or the ``eps_quantile``
-    of the core distances, or, with neither, the one of ``EPS_QUANTILES`` that
-    finds the most clusters. An empty graph gives an empty result."""
+    kNN graph (id, nbr, dist, rank): the clusters that last longest in the
+    hierarchy of mutual reachability (``operators.hierarchy``), which may have
+    different densities. With ``eps``, or ``eps_quantile`` of the core distances,
+    one flat cut instead. An empty graph gives an empty result."""
     checkpoint_dir(knn.sparkSession)
     knn = knn.checkpoint(eager=True)  # read by three branches below
     e, verts = _mutual_reachability(knn, [], min_samples, min_samples)
+    if eps is None and eps_quantile is None:
+        return hierarchical_clusters(e, verts, int(min_cluster_size), allow_single=allow_single, max_edges=max_edges)
     if eps is None:
-        quantiles = EPS_QUANTILES if eps_quantile is None else (eps_quantile,)
-        cuts = verts.where(F.col("core") < float("inf")).select(
-            F.percentile_approx("core", list(quantiles))).first()[0] or [0.0]
-        cuts = sorted(set(cuts))
-        if len(cuts) > 1:
-            return _best_cut(e, verts, cuts, int(min_cluster_size))
-        eps = cuts[0]
-    return _flat_cut(e, verts, float(eps), int(min_cluster_size), [])
+        eps = verts.where(F.col("core") < float("inf")).select(F.percentile_approx("core", float(eps_quantile))).first()[0] or 0.0
+    return _flat_cut(e, verts, float(eps), int(min_cluster_size))
 
 
 # --- scoring of a clustering -------------------------------------------------
@@ -320,53 +295,59 @@ N_COMPONENTS = range(3, 15)
 MIN_CLUSTER_SIZE = range(25, 35)
 
 
-def sample_trials(n_trials: int = 100, seed: int = 42) -> list[tuple[int, int, int, int]]:
-    """Seeded sample of distinct (n_neighbors, n_components, min_cluster_size)."""
-    grid = [(a, b, c) for a in N_NEIGHBORS for b in N_COMPONENTS for c in MIN_CLUSTER_SIZE]
-    rng = random.Random(seed)
-    picks = rng.sample(grid, min(n_trials, len(grid)))
-    return [(i, a, b, c) for i, (a, b, c) in enumerate(picks)]
+SPACES = (N_NEIGHBORS, N_COMPONENTS, MIN_CLUSTER_SIZE)
+
+
+def evaluate_trials(graph: DataFrame, trials: list[tuple[int, ...]], first: int = 0) -> DataFrame:
+    """(trial, id, cluster, probability) of each (n_neighbors, n_components,
+    min_cluster_size) on its part of ``graph`` (n_components, id, nbr, dist,
+    rank); the trials run side by side, numbered from ``first``."""
+    tdf = graph.sparkSession.createDataFrame([(first + i, *map(int, t)) for i, t in enumerate(trials)], _TRIAL)
+    per_trial = graph.join(F.broadcast(tdf), "n_components").where(F.col("rank") <= F.col("n_neighbors"))  # a row per trial
+    # core distance at the last neighbour of the trial's graph, which has
+    # fewer neighbours than the smallest cluster
+    e, verts = _mutual_reachability(per_trial.transform(saved), ["trial"], F.col("n_neighbors"), F.col("n_neighbors"))
+    return hierarchical_clusters(e, verts, tdf.select("trial", "min_cluster_size"), ["trial"])
+
+
+_TRIAL = "trial int, n_neighbors int, n_components int, min_cluster_size int"
 
 
 def cluster_search(df: DataFrame, id_col: str = "id", features_col: str = "features", n_trials: int = 100,
                    seed: int = 42, label_lower: int = 6, label_upper: int = 20, penalty: float = 0.20,
-                   eps_quantiles: tuple[float, ...] = EPS_QUANTILES) -> tuple[DataFrame, DataFrame]:
-    """Evaluate sampled trials; returns (trials with loss, best clustering).
-    The trials take the quantiles of the density cut in turn.
-    PCA is fitted once (k = max components); the kNN graph is built once per
-    component count with the largest neighbour count; all trials then run
-    their density clustering together, keyed by trial id."""
-    trials = sample_trials(n_trials, seed)
+                   rounds: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Search the trials with the least loss; returns (trials with loss, best
+    clustering). PCA is fitted once (k = max components) and the kNN graph is
+    built once per component count with the largest neighbour count; the trials
+    of a round are clustered together, keyed by trial id, and the next round is
+    drawn where earlier losses were low (``operators.search``)."""
     spark = df.sparkSession
-    kmax = max(t[2] for t in trials)
-    nmax = max(t[1] for t in trials)
-    red = reduce_dims(df.select(F.col(id_col).alias("id"), F.col(features_col).alias("features")), kmax, "features",
-                      "reduced").select("id", vector_to_array("reduced").alias("r"))
-    red = red.checkpoint(eager=True) if checkpoint_dir(spark) else red
-    # one pass computes the graph for every component count (nested PCA)
-    graph = knn_graph(red.select("id", F.col("r").alias("v")), nmax, "id", "v", metric="euclidean",
-                      prefix_dims=sorted({t[2] for t in trials})).withColumnRenamed("dims", "n_components")
-    level = {t[0]: eps_quantiles[i % len(eps_quantiles)] for i, t in enumerate(trials)}
-    tdf = spark.createDataFrame([(*t, level[t[0]]) for t in trials],
-                                "trial int, n_neighbors int, n_components int, min_cluster_size int, eps_quantile double")
-    per_trial = graph.join(F.broadcast(tdf), "n_components").where(F.col("rank") <= F.col("n_neighbors"))
-    per_trial = per_trial.checkpoint(eager=True)
-    # core distance at the last neighbour of the trial's graph, which has
-    # fewer neighbours than the smallest cluster
-    e, verts = _mutual_reachability(per_trial, ["trial"], F.col("n_neighbors"), F.col("n_neighbors"))
-    # eps per trial is pinned (<= n_trials rows collected): a lazily
-    # recomputed approximate percentile could merge its sketches in another
-    # order after an executor loss and move the cut between branches
-    eps_rows = verts.where(F.col("core") < float("inf")).groupBy("trial").agg(
-        F.percentile_approx("core", list(eps_quantiles)).alias("cuts")).collect()
-    thr = F.broadcast(spark.createDataFrame([(r["trial"], float(r["cuts"][eps_quantiles.index(level[r["trial"]])])) for r in eps_rows],
-                                            "trial int, eps double"))
-    clusters = _flat_cut(e, verts, thr, tdf.select("trial", "min_cluster_size"), ["trial"])
-    clusters = clusters.checkpoint(eager=True)
-    scores = cluster_objective(cluster_score(clusters, key_cols=("trial",)), label_lower, label_upper, penalty)
-    scored = tdf.join(scores, "trial")
-    best_trial = scored.orderBy("loss", "trial").first()["trial"]
-    return scored, clusters.where(F.col("trial") == best_trial).drop("trial")
+    checkpoint_dir(spark)
+    red = reduce_dims(df.select(F.col(id_col).alias("id"), F.col(features_col).alias("features")), max(N_COMPONENTS), "features",
+                      "reduced").select("id", vector_to_array("reduced").alias("r")).checkpoint(eager=True)
+    # one pass computes the graph for every component count (nested coordinates)
+    graph = neighbour_graph(red.select("id", F.col("r").alias("v")), max(N_NEIGHBORS), "id", "v", metric="euclidean",
+                            prefix_dims=list(N_COMPONENTS)).withColumnRenamed("dims", "n_components").transform(saved)
+    done, found = [], []
+
+    def evaluate(trials):
+        clusters = evaluate_trials(graph, trials, len(done)).transform(saved)
+        found.append(clusters)
+        scores = cluster_objective(cluster_score(clusters, key_cols=("trial",)), label_lower, label_upper, penalty)
+        rows = {r["trial"]: r for r in scores.collect()}  # a row per trial
+        start = len(done)
+        done.extend((start + i, *map(int, t), *(rows[start + i][c] for c in ("label_count", "cost", "loss"))) for i, t in enumerate(trials))
+        return [r[-1] for r in done[start:]]
+    if graph.isEmpty():
+        none = spark.createDataFrame([], "trial int, id long, cluster int, probability double")
+        return spark.createDataFrame([], _TRIAL + ", label_count long, cost double, loss double"), none.drop("trial")
+    minimise(SPACES, evaluate, n_trials, seed, rounds)
+    best = min(done, key=lambda r: (r[-1], r[0]))[0]
+    clusters = found[0]
+    for f in found[1:]:
+        clusters = clusters.unionByName(f)
+    scored = spark.createDataFrame(done, _TRIAL + ", label_count long, cost double, loss double")
+    return scored, clusters.where(F.col("trial") == best).drop("trial")
 
 
 # --- top TF-IDF words per cluster ---------------------------------------------

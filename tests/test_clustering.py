@@ -64,12 +64,6 @@ def test_scores_and_objective(spark):
     assert s2["label_count"] == 2
 
 
-def test_search_trials_sampled_in_ranges():
-    t = C.sample_trials(100, 42)
-    assert len(t) == 100 and len({x[1:] for x in t}) == 100
-    assert all(5 <= a < 20 and 3 <= b < 15 and 25 <= c < 35 for _, a, b, c in t)
-
-
 def test_embed_prompts_unit_norm(spark):
     df = spark.createDataFrame([("the cat sat",), ("a dog ran far",), ("the cat ran",)], "prompt string")
     from pyspark.ml.functions import vector_to_array

@@ -91,9 +91,7 @@ def test_baseline_prompt_and_shuffle_round_trip(spark):
     row = df.select(P.baseline_prompt().alias("q"), P.shuffled_answer().alias("a")).first()
     assert row["q"].startswith("Answer the following multiple choice question by giving the most appropriate "
                                "response. The answer should be one of ['A', 'B', 'C', 'D', 'E']. Question: Which")
-    assert row["q"].endswith("A) Facilitate fetal nutrition. B) Produce red blood cells for the fetus. "
-                             "C) Generate antibodies for the fetus. D) Excrete waste products for the fetus. "
-                             "E) Regulate temperature for the fetus.")
+    assert row["q"].endswith(" ".join(f"{x}) {EXAMPLE[x]}" for x in "ABCDE"))
     assert row["a"] == "A"
     s = df.withColumn("shuffle", P.hash_shuffle("question_index", 3))
     r = s.select("shuffle", P.baseline_prompt(shuffle=F.col("shuffle")).alias("q"),
@@ -101,7 +99,7 @@ def test_baseline_prompt_and_shuffle_round_trip(spark):
     assert sorted(r["shuffle"]) == [0, 1, 2, 3, 4]
     slot = "ABCDE".index(r["a"])
     assert r["shuffle"][slot] == 0  # the right answer (A) sits in the answer's slot
-    assert f"{r['a']}) Facilitate fetal nutrition." in r["q"]
+    assert f"{r['a']}) {EXAMPLE['A']}" in r["q"]
 
 
 def test_completion_split(spark):
