@@ -21,18 +21,18 @@ def join_on_index(responses: DataFrame, questions: DataFrame, key: str = "questi
 
 
 def join_on_text(responses: DataFrame, questions: DataFrame, text_col: str = "question",
-                 null_safe: bool = False, duplicates: str = "all", by: tuple[str, ...] = ("model",),
+                 null_safe: bool = False, duplicates: str = "count", by: tuple[str, ...] = ("model",),
                  warn_if_empty: bool = False) -> DataFrame:
     """Fallback when responses lack ``question_index``: join on the rendered
     question text, through its SHA-256 (the text itself is not shuffled twice).
 
     Every question with a matching text gets its rows, copies included.
-    ``duplicates="all"`` (default) first reduces the responses to one per
-    (text, ``by``) - the least by its columns - so a text that stands c times
-    gives c rows per model, never c x c; other responses to the text are lost.
-    ``duplicates="count"`` loses none: every copy gets each distinct response (all
-    its columns) once, with ``n_responses``, how often it was given, so k distinct
-    responses give c x k rows however many there are. ``duplicates="multiply"`` keeps
+    ``duplicates="count"`` (default) loses no response: every copy gets each distinct
+    response (all its columns) once, with ``n_responses``, how often it was given, so
+    k distinct responses give c x k rows however many there are.
+    ``duplicates="all"`` reduces the responses to one per (text, ``by``) - the least
+    by its columns - so a text that stands c times gives c rows per model; other
+    responses to the text are lost. ``duplicates="multiply"`` keeps
     every response x copy, as a plain merge does. ``warn_if_empty`` runs a one-row
     probe and warns when nothing matches (e.g. responses rendered with another
     prompt template)."""

@@ -96,14 +96,15 @@ def safe_corr(x: Column, y: Column) -> Column:
 def difficulty_correlations(joined: DataFrame, with_p: bool = False) -> DataFrame:
     """Pearson r per model between p_correct (NaN -> 0) and IOD, MD ('DI')
     and the human share of the right answer (Answer from the questions
-    table); one aggregate computes all three."""
+    table), with the number of rows where both are present; one aggregate
+    computes all three."""
     p = nan_to_zero(p_correct("clls", "correct_answer"))
     s = joined.select("model", p.alias("_p"), F.col("IOD").alias("_iod"), F.col("MD").alias("_md"),
                       human_share().alias("_h"))
-    wide = s.groupBy("model").agg(
-        safe_corr(F.col("_iod"), F.col("_p")).alias("IOD"), safe_corr(F.col("_md"), F.col("_p")).alias("DI"), safe_corr(F.col("_h"), F.col("_p")).alias("Human"),
-        F.count(F.lit(1)).alias("n"))
-    out = wide.select("model", "n", F.expr("stack(3, 'IOD', IOD, 'DI', DI, 'Human', Human) as (metric, r)"))
+    measures = {"IOD": F.col("_iod"), "DI": F.col("_md"), "Human": F.col("_h")}
+    wide = s.groupBy("model").agg(*[F.struct(F.lit(m).alias("metric"), F.count(F.when(c.isNotNull() & F.col("_p").isNotNull(), 1)).alias("n"),
+                                             safe_corr(c, F.col("_p")).alias("r")).alias(m) for m, c in measures.items()])
+    out = wide.select("model", F.explode(F.array(*measures)).alias("e")).select("model", "e.n", "e.metric", "e.r")
     return with_pearson_p(out) if with_p else out
 
 

@@ -335,7 +335,7 @@ def q_join_on_text(spark, sf):
     r = d.select(F.col("text").alias("question"), F.concat(F.lit("m"), (F.col("doc_id") % 2 + 1).cast("string")).alias("model"),
                  F.substr(F.lit("ABCDE"), (F.col("doc_id") % 5 + 1).cast("int"), F.lit(1)).alias("response"))
     q = d.select(F.col("doc_id").alias("question_index"), F.col("text").alias("question"))
-    return J.join_on_text(r, q).select("question_index", "model", "response")
+    return J.join_on_text(r, q).select("question_index", "model", "response", "n_responses")
 
 
 @query("difficulty_index")

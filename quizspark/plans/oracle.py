@@ -366,9 +366,10 @@ SELECT question_index, prompt, A, B, C, D, substr('ABCD', cast(question_index %
                         "round(llm_difficulty, 9) AS llm_difficulty, question_index FROM difficulty_v",
     "incorrect_filter": "SELECT question_index, model FROM predictions_v "
                         "WHERE NOT coalesce(correct_answer = response, false)",
-    "join_on_text": """SELECT q.doc_id AS question_index, r.model, r.response FROM documents q JOIN (
-    SELECT text, 'm' || cast(doc_id % 2 + 1 AS varchar) AS model, min(substr('ABCDE', cast(doc_id % 5 + 1 AS int), 1)) AS response
-    FROM documents GROUP BY 1, 2) r ON q.text = r.text""",
+    "join_on_text": """SELECT q.doc_id AS question_index, r.model, r.response, r.n_responses FROM documents q JOIN (
+    SELECT text, 'm' || cast(doc_id % 2 + 1 AS varchar) AS model, substr('ABCDE', cast(doc_id % 5 + 1 AS int), 1) AS response,
+           count(*) AS n_responses
+    FROM documents GROUP BY 1, 2, 3) r ON q.text = r.text""",
     "human_and_models": """
 SELECT 'Human' AS name, round(coalesce(sum(h.pct / 100), 0), 9) AS n_correct,
        round(coalesce(sum(h.pct / 100), 0) / count(*), 9) AS raw_accuracy,
@@ -394,10 +395,11 @@ FROM reg CROSS JOIN mx""",
         FROM resp_long_v l JOIN questions_v q ON q.question_index = l.question_index
         LEFT JOIN human_v h ON h.question_index = q.question_index AND h.option = q.Answer
         WHERE l.option = l.correct_answer),
-c AS (SELECT model, count(*) AS n, corr(IOD, p) AS iod, corr(MD, p) AS di, corr(hp, p) AS hum FROM j GROUP BY model)
-SELECT model, n, 'IOD' AS metric, round(iod, 9) AS r FROM c
-UNION ALL SELECT model, n, 'DI', round(di, 9) FROM c
-UNION ALL SELECT model, n, 'Human', round(hum, 9) FROM c""",
+c AS (SELECT model, count(IOD) AS n_iod, count(MD) AS n_di, count(hp) AS n_hum, corr(IOD, p) AS iod, corr(MD, p) AS di, corr(hp, p) AS hum
+      FROM j GROUP BY model)
+SELECT model, n_iod AS n, 'IOD' AS metric, round(iod, 9) AS r FROM c
+UNION ALL SELECT model, n_di, 'DI', round(di, 9) FROM c
+UNION ALL SELECT model, n_hum, 'Human', round(hum, 9) FROM c""",
     "pairwise_corr": _PAIRS + "\nSELECT m1, m2, round(r, 9) AS r, n FROM pairs",
     "best_peer": _PAIRS + """
 SELECT m1 AS model, m2 AS best_peer, r FROM

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quizspark.functions.prompts import hash_shuffle
 from quizspark.operators.filters import limit_questions, normalise_flat, normalise_nested
 from quizspark.operators.position import global_position
 from quizspark.schema import LETTERS, RESPONSE_FILE_SCHEMA
@@ -13,7 +14,12 @@ from quizspark.schema import LETTERS, RESPONSE_FILE_SCHEMA
 _FILE = r"([^/]*)\.json$"
 
 
-def _model_and_dataset(name: Column, datasets: tuple[str, ...]) -> tuple[Column, Column]:
+def file_stem() -> Column:
+    """Name of the row's ``.json`` file without folder and ending."""
+    return F.url_decode(F.regexp_extract(F.input_file_name(), _FILE, 1))
+
+
+def model_and_dataset(name: Column, datasets: tuple[str, ...]) -> tuple[Column, Column]:
     """From ``<model>_<dataset>`` or ``<model>``: a listed dataset name is taken
     whole (the longest that fits), else what follows the last underscore."""
     model = F.when(name.contains("_"), F.regexp_extract(name, r"^(.*)_[^_]+$", 1)).otherwise(name)
@@ -36,7 +42,7 @@ def read_responses(spark: SparkSession, paths, datasets: tuple[str, ...] = ()) -
     :func:`quizspark.sources.writers.write_responses` for volume."""
     raw = (spark.read.schema(RESPONSE_FILE_SCHEMA).option("multiLine", True)
            .option("allowNonNumericNumbers", True).json(paths))
-    model, dataset = _model_and_dataset(F.url_decode(F.regexp_extract(F.input_file_name(), _FILE, 1)), datasets)
+    model, dataset = model_and_dataset(file_stem(), datasets)
     rows = raw.select(model.alias("model"), dataset.alias("dataset"),
                       F.posexplode("questions").alias("pos", "q"))
     return rows.select("model", "dataset", "pos", "q.*")
@@ -66,18 +72,31 @@ def read_difficulty(spark: SparkSession, path: str, fmt: str = "csv") -> DataFra
 
 
 def load_questions(spark: SparkSession, source: str, kind: str = "csv", limit: int | None = None,
-                   n_options: int = 5) -> DataFrame:
+                   n_options: int = 5, split: str | None = None, shuffle_seed: int | None = None) -> DataFrame:
     """Questions from a named layout: ``csv`` (master CSV), ``nested``
     (question / answer_idx / options[{key, value}], JSON or Parquet),
-    ``flat`` (question, opa..opd, cop). Rows keep their source index and
-    the first ``limit`` by index are kept if a limit is given."""
+    ``flat`` (question, opa..opd, cop). Rows keep their source index, or get
+    their position in the source, and the first ``limit`` by index are kept if a
+    limit is given. ``split`` picks one of several files where ``source`` holds
+    ``{split}``, else the rows whose column ``split`` is that. ``shuffle_seed``
+    adds ``shuffle``, the order in which a prompt shows the options."""
+    by_file = split is not None and "{split}" in source
+    path = source.replace("{split}", split) if by_file else source
     if kind == "csv":
-        df = read_questions(spark, source)
+        df = read_questions(spark, path)
     else:
-        raw = spark.read.parquet(source) if source.endswith(".parquet") else spark.read.json(source)
-        if "question_index" not in raw.columns:
-            raw = raw.withColumn("question_index", F.monotonically_increasing_id())
-        df = normalise_nested(raw, n_options) if kind == "nested" else normalise_flat(raw)
+        df = spark.read.parquet(path) if path.endswith(".parquet") else spark.read.json(path)
+        if "question_index" not in df.columns:
+            df = global_position(df.withColumn("_row", F.monotonically_increasing_id()), ["_row"], "question_index").drop("_row")
+    if split is not None and not by_file:
+        if "split" not in df.columns:
+            raise ValueError("the source has neither {split} in its path nor a column split")
+        df = df.where(F.col("split") == split).drop("split")
+    if kind != "csv":
+        df = normalise_nested(df, n_options) if kind == "nested" else normalise_flat(df)
     cols = ["question_index", "prompt"] + [x for x in LETTERS if x in df.columns] + ["Answer"]
     df = df.select(*cols, *[c for c in df.columns if c not in cols])
+    if shuffle_seed is not None:
+        letters = [x for x in LETTERS if x in df.columns]
+        df = df.withColumn("shuffle", hash_shuffle("question_index", shuffle_seed, len(letters)))
     return limit_questions(df, limit) if limit else df

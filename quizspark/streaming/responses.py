@@ -17,17 +17,16 @@ from pyspark.sql import functions as F
 
 from quizspark.functions.arrays import correct_flag, nan_to_null, p_correct
 from quizspark.schema import RESPONSE_FILE_SCHEMA
+from quizspark.sources.readers import file_stem, model_and_dataset
 
-_NAME = r"([^/]*)_([^_/]+)\.json$"
-
-
-def response_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int = 16) -> DataFrame:
-    """Streaming DataFrame of response rows from JSON documents."""
+def response_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int = 16,
+                    datasets: tuple[str, ...] = ()) -> DataFrame:
+    """Streaming DataFrame of response rows from JSON documents; model and data
+    set are read from the file name as ``read_responses`` does."""
     raw = (spark.readStream.schema(RESPONSE_FILE_SCHEMA).option("multiLine", True)
            .option("maxFilesPerTrigger", max_files_per_trigger).json(source_dir))
-    f = F.input_file_name()
-    return raw.select(F.regexp_extract(f, _NAME, 1).alias("model"), F.regexp_extract(f, _NAME, 2).alias("dataset"),
-                      F.posexplode("questions").alias("pos", "q")).select("model", "dataset", "pos", "q.*")
+    model, dataset = model_and_dataset(file_stem(), datasets)
+    return raw.select(model.alias("model"), dataset.alias("dataset"), F.posexplode("questions").alias("pos", "q")).select("model", "dataset", "pos", "q.*")
 
 
 def ingest_responses(spark: SparkSession, source_dir: str, table_dir: str, checkpoint: str,

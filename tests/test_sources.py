@@ -115,3 +115,19 @@ def test_questions_without_an_index_get_their_row(spark, tmp_path):
     p.write_text("prompt,A,B,C,D,E,Answer,cluster_label,llm_difficulty\n" + "".join(f"q{i},a,b,c,d,e,A,ID,0.{i}\n" for i in range(1, 8)))
     df = R.read_questions(spark, str(p))
     assert sorted((r["question_index"], r["prompt"]) for r in df.collect()) == [(i - 1, f"q{i}") for i in range(1, 8)]
+
+
+def test_load_questions_split_shuffle_and_dense_index(spark, tmp_path):
+    for name, n in (("train", 30), ("test", 5)):
+        body = [json.dumps({"question": f"{name} {i}", "opa": "a", "opb": "b", "opc": "c", "opd": "d", "cop": i % 4, "split": name}) for i in range(n)]
+        (tmp_path / f"{name}.json").write_text("\n".join(body) + "\n")
+    train = R.load_questions(spark, str(tmp_path / "{split}.json"), "flat", split="train", shuffle_seed=3)
+    rows = sorted((r["question_index"], r["prompt"], sorted(r["shuffle"])) for r in train.collect())
+    assert rows == [(i, f"train {i}", [0, 1, 2, 3]) for i in range(30)]
+    assert len({tuple(r["shuffle"]) for r in train.collect()}) > 5
+    both = R.load_questions(spark, str(tmp_path / "t*.json"), "flat")  # several files: positions without gaps
+    assert sorted(r["question_index"] for r in both.collect()) == list(range(35))
+    assert R.load_questions(spark, str(tmp_path / "t*.json"), "flat", split="test").count() == 5
+    with pytest.raises(ValueError, match="split"):
+        (tmp_path / "plain.json").write_text(json.dumps({"question": "q", "opa": "a", "opb": "b", "opc": "c", "opd": "d", "cop": 1}))
+        R.load_questions(spark, str(tmp_path / "plain.json"), "flat", split="train")

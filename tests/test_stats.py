@@ -109,14 +109,23 @@ def test_difficulty_and_expected_accuracy_nan_conventions(spark):
     assert a["m2"]["n_correct"] == 0 and a["m1"]["n_correct"] == 2
 
 
+def test_difficulty_correlation_counts_the_pairs(spark):
+    rows = [(i, "m", "A", [-0.1 * (i % 7), -2.0], float(i) if i % 3 else None, float(i * i) if i % 2 else None, None) for i in range(30)]
+    df = spark.createDataFrame(rows, "question_index long, model string, correct_answer string, clls array<double>, IOD double, MD double, h double")
+    df = df.withColumns({f"%{x}": df["h"] for x in "ABCDE"}).withColumn("Answer", df["correct_answer"])
+    got = {r["metric"]: r for r in St.difficulty_correlations(df, with_p=True).collect()}
+    assert {m: r["n"] for m, r in got.items()} == {"IOD": 20, "DI": 15, "Human": 0}
+    assert abs(got["IOD"]["pvalue"] - float(St.pearson_pvalue(got["IOD"]["r"], 20))) < 1e-12 and got["Human"]["r"] is None
+
+
 def test_join_on_text_duplicates(spark):
     from quizspark.operators.joins import join_on_text
     r = spark.createDataFrame([("t1", "A"), ("t1", "B"), ("t2", "C")], "question string, response string")
     q = spark.createDataFrame([(5, "t1"), (3, "t1"), (9, "t2")], "question_index long, question string")
-    every = sorted((x["question_index"], x["response"]) for x in join_on_text(r, q).collect())
+    every = sorted((x["question_index"], x["response"]) for x in join_on_text(r, q, duplicates="all").collect())
     assert every == [(3, "A"), (5, "A"), (9, "C")]   # no question is lost, one response each
     models = r.withColumn("model", r["response"])
-    assert join_on_text(models, q).count() == 5
+    assert join_on_text(models, q, duplicates="all").count() == 5
     assert join_on_text(r, q, duplicates="multiply").count() == 5
 
 

@@ -20,6 +20,19 @@ def test_stream_ingest_and_running_accuracy(spark, tmp_path):
     assert rows["mA"]["n_correct"] == 1 and rows["mB"]["n_correct"] == 3 and rows["mB"]["n"] == 3
 
 
+def test_stream_reads_file_names_like_the_batch_reader(spark, tmp_path):
+    from quizspark.sources.readers import read_responses
+    src = tmp_path / "in"
+    src.mkdir()
+    for name in ("alone", "my_model_med_qa", "m_x", "a b_y"):
+        (src / f"{name}.json").write_text(json.dumps({"questions": [{"question": "q", "question_index": 0}]}))
+    q = (SR.response_stream(spark, str(src), datasets=("med_qa",)).writeStream.format("memory").queryName("names")
+         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    want = {(r["model"], r["dataset"]) for r in read_responses(spark, str(src), datasets=("med_qa",)).collect()}
+    assert {(r["model"], r["dataset"]) for r in spark.sql("SELECT * FROM names").collect()} == want and ("my_model", "med_qa") in want
+
+
 def test_running_accuracy_to_table(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
