@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _PERSISTED: list[DataFrame] = []
+#: Rows that the driver may sum by itself.
+SMALL_ROWS = 5_000
 
 
 def keep(df: DataFrame) -> DataFrame:
@@ -111,10 +113,20 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", max_byt
 
 def running_sums(table: DataFrame, order_by: list, sums: dict[str, str], n_partitions: int | None = None) -> DataFrame:
     """For each column -> name in ``sums``: sum of the column over all earlier
-    rows in the order of ``order_by`` (which ends with a unique column). Range
-    partitions are summed apart; the driver adds up one row for each."""
+    rows in the order of ``order_by`` (which ends with a unique column). A table of
+    at most ``SMALL_ROWS`` rows is summed by the driver, in the one job that makes
+    it; of a larger one range partitions are summed apart and the driver adds up one
+    row for each. The sums are the same."""
     n = _n_partitions(table, n_partitions)
     cols = [F.col(c) if isinstance(c, str) else c for c in order_by]
+    rows = table.orderBy(*cols).limit(SMALL_ROWS + 1).collect()
+    if len(rows) <= SMALL_ROWS:
+        out, run = [], [0] * len(sums)
+        for r in rows:
+            out.append((*r, *run))
+            run = [a + (r[c] or 0) for a, c in zip(run, sums)]
+        schema = T.StructType([*table.schema.fields, *[T.StructField(name, T.LongType()) for name in sums.values()]])
+        return table.sparkSession.createDataFrame(out, schema)
     ranged = table.repartitionByRange(n, *cols).withColumn("_pid", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
     _PERSISTED.append(ranged)
     totals = {r["_pid"]: r for r in ranged.groupBy("_pid").agg(*[F.sum(c).alias(c) for c in sums]).collect()}

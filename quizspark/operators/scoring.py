@@ -212,16 +212,17 @@ def min_perplexity_choice(token_logprobs: DataFrame, keys=("question_index",), l
 def eval_metrics(df: DataFrame, true_col: str = "Answer", pred_col: str = "Prediction") -> DataFrame:
     """Accuracy and support-weighted F1 (sklearn ``average='weighted'``).
 
-    Each row contributes once as a true label and once as a predicted label;
-    one aggregation by label (at most #labels rows per partition shuffled),
-    then a one-row aggregate. F1_L = 2TP / (support_L + predicted_L)."""
-    t, p = F.col(true_col), F.col(pred_col)
-    hit = F.coalesce(t == p, F.lit(False))
+    Rows are counted by (true, predicted) first - at most #labels^2 rows per
+    partition shuffled - and each count stands once under its true and once
+    under its predicted label. F1_L = 2TP / (support_L + predicted_L)."""
+    pairs = df.groupBy(F.col(true_col).alias("t"), F.col(pred_col).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    t, p, n, none = F.col("t"), F.col("p"), F.col("n"), F.lit(0).cast("long")
+    hit = F.when(t == p, n).otherwise(none)
     side = F.explode(F.array(
-        F.struct(t.alias("label"), F.lit(1).alias("is_true"), F.lit(0).alias("is_pred"), hit.cast("int").alias("tp")),
-        F.struct(p.alias("label"), F.lit(0).alias("is_true"), F.lit(1).alias("is_pred"), F.lit(0).alias("tp")),
+        F.struct(t.alias("label"), n.alias("is_true"), none.alias("is_pred"), hit.alias("tp")),
+        F.struct(p.alias("label"), none.alias("is_true"), n.alias("is_pred"), none.alias("tp")),
     )).alias("e")
-    per_label = df.select(side).select("e.*").groupBy("label").agg(
+    per_label = pairs.select(side).select("e.*").groupBy("label").agg(
         F.sum("is_true").alias("support"), F.sum("is_pred").alias("predicted"), F.sum("tp").alias("tp"))
     f1 = F.when(F.col("support") + F.col("predicted") > 0,
                 2.0 * F.col("tp") / (F.col("support") + F.col("predicted"))).otherwise(0.0)
