@@ -31,8 +31,9 @@ def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf: str) -> DataFrame:
-    plan = mixing.plan_mix(table(spark, sf, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken")
+    plan = mixing.plan_mix(table(spark, sf, "documents"))  # at most two copies
+    return plan.select("doc_id", "size", "source_size", "target", "taken",
+                       *[F.round(F.get("positions", i), 9).alias(f"position_{i + 1}") for i in range(2)])
 
 
 def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
@@ -131,15 +132,18 @@ filled AS (SELECT *, 3 * sum(source_size) OVER () AS need2,
                   sum(w) OVER (ORDER BY source_size / w, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_from FROM ranked),
 lvl AS (SELECT need2 - 2 * full_before AS num, 2 * w_from AS den FROM filled
         WHERE (need2 - 2 * full_before) * w <= 2 * source_size * 2 * w_from ORDER BY full_before, w_from DESC LIMIT 1),
-targets AS (SELECT source, source_size, least(cast(2 * source_size AS double), cast(w * num AS double) / cast(den AS double)) AS target
+targets AS (SELECT source, source_size, CASE w WHEN 5 THEN 0.5 WHEN 2 THEN 1.0 ELSE 2.0 END::DOUBLE AS tilt, least(cast(2 * source_size AS double), cast(w * num AS double) / cast(den AS double)) AS target
             FROM ranked CROSS JOIN lvl),
-placed AS (SELECT doc_id, size, source_size, target,
+placed AS (SELECT doc_id, size, source_size, target, tilt,
                   coalesce(sum(size) OVER (PARTITION BY r.source ORDER BY o1, o2, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-           FROM rows r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, cast(size AS bigint) AS size, source_size, target,
-       cast(size * (CASE WHEN 2 * start + size < 2 * target THEN 1 ELSE 0 END
-            + CASE WHEN 2 * (start + source_size) + size < 2 * target THEN 1 ELSE 0 END) AS bigint) AS taken
-FROM placed"""
+           FROM rows r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source),
+copies AS (SELECT *, size > 0 AND 2 * start + size < 2 * target AS in_1, size > 0 AND 2 * (start + source_size) + size < 2 * target AS in_2,
+                  cast(start + size / 2 AS double) / target * (1 + tilt) / 2 AS x_1,
+                  cast(start + source_size + size / 2 AS double) / target * (1 + tilt) / 2 AS x_2 FROM placed)
+SELECT doc_id, cast(size AS bigint) AS size, source_size, target, cast(size * (cast(in_1 AS int) + cast(in_2 AS int)) AS bigint) AS taken,
+       CASE WHEN in_1 THEN round(CASE WHEN tilt = 1 THEN x_1 ELSE 2 * x_1 / (1 + sqrt(greatest(1 + 2 * (tilt - 1) * x_1, 0))) END, 9) END AS position_1,
+       CASE WHEN in_2 THEN round(CASE WHEN tilt = 1 THEN x_2 ELSE 2 * x_2 / (1 + sqrt(greatest(1 + 2 * (tilt - 1) * x_2, 0))) END, 9) END AS position_2
+FROM copies"""
 
 
 def _secrets_sql() -> str:
