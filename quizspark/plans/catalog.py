@@ -429,6 +429,18 @@ def q_knn_graph(spark, sf):
     return rounded(C.knn_graph(_vectors(spark, sf), 10, "id", "vec", metric="cosine"))
 
 
+@query("knn_approximate")
+def q_knn_approximate(spark, sf):
+    return rounded(C.approximate_knn(_vectors(spark, sf), 10, "id", "vec", metric="cosine"))
+
+
+@query("neighbour_coords")
+def q_neighbour_coords(spark, sf):
+    from quizspark.operators.spectral import spectral_coordinates
+    c = spectral_coordinates(C.neighbour_graph(_vectors(spark, sf), 10, metric="cosine"), 3, max_rounds=10)
+    return rounded(c.select("id", *[F.get("reduced", i).alias(f"c{i + 1}") for i in range(3)]), 4)
+
+
 @query("density_clusters")
 def q_density_clusters(spark, sf):
     g = C.knn_graph(_vectors(spark, sf), 10, "id", "vec", metric="cosine")
