@@ -457,6 +457,14 @@ def q_embed_prompts(spark, sf):
                     F.sqrt(F.aggregate(arr, F.lit(0.0), lambda a, x: a + x * x)).alias("norm")).transform(rounded)
 
 
+@query("embed_wide")
+def q_embed_wide(spark, sf):
+    from quizspark.operators.wide import embed_wide
+    d = Fl.distinct_prompts(fx.prompts(spark, sf))
+    e = embed_wide(d, "first_index", "prompt", k=16)
+    return rounded(e.select(F.col("id").alias("first_index"), *[F.get("embedding", i).alias(f"e{i + 1}") for i in range(16)]), 4)
+
+
 @query("reduce_dims")
 def q_reduce_dims(spark, sf):
     v = C.vectors_from_array(fx.table(spark, sf, "embeddings"), "embedding", "features")

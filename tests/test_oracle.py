@@ -12,7 +12,7 @@ from quizspark.plans.catalog import QUERIES
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 SLOW = {"cluster_search", "density_clusters", "length_regression", "embed_prompts", "prompt_categories",
-        "knn_approximate", "neighbour_coords"}
+        "knn_approximate", "neighbour_coords", "embed_wide"}
 
 
 # the corpus subpackage has tests of its own
