@@ -40,8 +40,12 @@ def _times(s: DataFrame, x: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def _dots(df: DataFrame, left: list[str], right: list[str]) -> np.ndarray:
-    row = df.agg(*[F.sum(F.col(a) * F.col(b)) for a in left for b in right]).first()
-    return np.array([v or 0.0 for v in row]).reshape(len(left), len(right))
+    """The symmetric matrix of products of two blocks; its upper half is summed."""
+    at = np.triu_indices(len(left))
+    row = df.agg(*[F.sum(F.col(left[i]) * F.col(right[j])) for i, j in zip(*at)]).first()
+    out = np.zeros((len(left), len(left)))
+    out[at] = [v or 0.0 for v in row]
+    return out + np.triu(out, 1).T
 
 
 def _combined(cols: list[str], m: np.ndarray) -> list[Column]:

@@ -46,7 +46,7 @@ def _orthonormal(block: DataFrame, key: str, cols: list[str]) -> DataFrame:
     return block.select(key, *_combined(cols, vectors * scale)).transform(saved)
 
 
-def leading_directions(entries: DataFrame, ids: DataFrame, k: int, extra: int = 8, rounds: int = 6) -> tuple[DataFrame, np.ndarray]:
+def leading_directions(entries: DataFrame, ids: DataFrame, k: int, extra: int = 8, rounds: int = 4) -> tuple[DataFrame, np.ndarray]:
     """(id, embedding array<double> of ``k``) for every row of ``ids``, and the
     singular values. Rows without entries are zero; a rank below ``k`` pads with
     zeros; no rows give an empty result."""
