@@ -66,10 +66,13 @@ def test_query_columns(spark, planted):
     want = {
         "op1_toxicity": ["doc_id", "held_out", "score", "predicted"],
         "op3_simhash": ["doc_id", "fingerprint", "component_id"],
-        "op4_mixing": ["doc_id", "size", "source_size", "target", "taken"],
+        "op4_mixing": ["doc_id", "size", "source_size", "target", "taken", "position_1", "position_2"],
         "op5_quality": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
         "op7_secrets": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
-        "op8_language": ["doc_id", "held_out", "lang_pred", "score"]}
+        "op8_language": ["doc_id", "held_out", "lang_pred", "score"],
+        "op11_merkle": ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
+        "op12_alignment": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
+        "op13_fingerprints": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]}
     n = len(planted[1])
     for name, columns in want.items():
         df = q.QUERIES[name](spark, sf)
