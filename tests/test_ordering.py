@@ -138,3 +138,15 @@ def test_reorder_runs_matches_direct_sort(spark):
     got = {r["k"]: r["position"] for r in O.reorder_runs(first, ["b", "a"]).collect()}
     want = {k: i for i, (b, a, h, k) in enumerate(sorted((b, a, h, k) for k, a, b, h in rows))}
     assert got == want
+
+
+def test_running_sums_by_ranges_and_by_the_driver_agree(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quizspark.operators import position
+    t = spark.range(300).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("k"), (F.col("id") * 7 % 13).alias("n"))
+    by_driver = sorted(map(tuple, position.running_sums(t, ["k"], {"n": "before"}).collect()))
+    monkeypatch.setattr(position, "SMALL_ROWS", 10)
+    by_range = sorted(map(tuple, position.running_sums(t, ["k"], {"n": "before"}).collect()))
+    assert by_driver == by_range and by_driver[0][2] == 0 and by_driver[-1][2] == sum(r[1] for r in by_driver[:-1])
+    position.release_positions()
