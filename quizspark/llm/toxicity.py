@@ -268,10 +268,13 @@ def fit(docs: DataFrame, labels: DataFrame, hash_bits: int = 18, max_features: i
     sample = (take.select("doc_id", "h", "toxic", text_udf(features, "binary", pa.binary())(F.col("text").cast("string")).alias("x"))
               .orderBy("h", "doc_id").limit(max_rows).toPandas())
     packed, y = np.frombuffer(b"".join(sample["x"]), np.uint8).reshape(len(sample), -1), sample["toxic"].to_numpy(float)
+    del sample
 
-    def chosen(buckets: np.ndarray) -> np.ndarray:
-        at = [wanted[int(b)] for b in buckets]
-        return np.concatenate([_bits(packed[k:k + 1000], 0, len(columns))[:, at] for k in range(0, len(packed), 1000)])
+    def chosen(buckets: np.ndarray, first: int = 0, last: int = len(y)) -> np.ndarray:
+        at, out = [wanted[int(b)] for b in buckets], np.empty((last - first, len(buckets)), np.uint8)
+        for k in range(first, last, 1000):  # a thousand rows at a time are unpacked
+            out[k - first:k - first + 1000] = _bits(packed[k:min(k + 1000, last)], 0, len(columns))[:, at]
+        return out
 
     def rounds(steps: int) -> int:
         return max(epochs, -(-steps * 256 // len(y)))
@@ -279,7 +282,9 @@ def fit(docs: DataFrame, labels: DataFrame, hash_bits: int = 18, max_features: i
     model = nothing
     if len(alone):
         model = ToxicityModel(hash_bits, alone, *_fit(chosen(alone), y, factors, rounds(_STEPS), rate, l2))
-    left = np.clip(model.logits(chosen(alone).astype(np.float32)), -30, 30) if len(alone) else np.full(len(y), base)
+    left = np.full(len(y), base)
+    for k in range(0, len(y) if len(alone) else 0, 1000):
+        left[k:k + 1000] = np.clip(model.logits(chosen(alone, k, min(k + 1000, len(y))).astype(float)), -30, 30)
     pairs = _pair_scores(docs.sparkSession, packed, len(often), y, 1 / (1 + np.exp(-left)), min_z)
     own = np.isin(often, alone)  # pairs of two features have their factors already
     pairs = pairs[~(own[pairs["i"].to_numpy(int)] & own[pairs["j"].to_numpy(int)])]
