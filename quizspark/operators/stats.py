@@ -3,8 +3,8 @@ pairwise model correlations, best peer, length regression (grouped IRLS),
 calibration (closed form), shuffle agreement.
 
 The heavy part of each statistic is one grouped aggregate over the
-responses; p-values are computed afterwards on the result rows (one row per
-model or model pair) by a small vectorised helper.
+responses; p-values are column expressions on the result rows (one row per
+model or model pair).
 """
 
 from __future__ import annotations
@@ -12,11 +12,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quizspark.functions.arrays import (
     argmax_letter, correct_flag, letter_index, letters_array, nan_to_null, nan_to_zero, p_correct,
@@ -25,7 +25,7 @@ from quizspark.functions.text import word_count
 from quizspark.schema import LETTERS
 
 
-# --- p-values (small numeric helpers, run on result rows only) -------------
+# --- p-values: on the driver's rows, then as column expressions -------------
 
 _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(40)
 
@@ -61,22 +61,49 @@ def normal_pvalue(z):
     return np.vectorize(lambda v: math.erfc(abs(v) / math.sqrt(2.0)) if np.isfinite(v) else np.nan)(z)
 
 
-@F.pandas_udf(T.DoubleType())
-def _pearson_p_udf(r: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series(pearson_pvalue(r.to_numpy(dtype=float), n.to_numpy(dtype=float)))
+#: 8 panels of 40 Gauss-Legendre nodes on (0, 1) with their weights
+_GRID = [((i + (u + 1) / 2) / 8, w / 16) for i in range(8) for u, w in zip(_NODES.tolist(), _WEIGHTS.tolist())]
 
 
-@F.pandas_udf(T.DoubleType())
-def _normal_p_udf(z: pd.Series) -> pd.Series:
-    return pd.Series(normal_pvalue(z.to_numpy(dtype=float)))
+def _integral(f) -> Column:
+    """Integral over (0, 1) of ``f``, a function from column to column."""
+    # one literal each: an array of 320 literals takes the optimizer seconds
+    nodes, weights = (F.split(F.lit(",".join(map(repr, v))), ",").cast("array<double>") for v in zip(*_GRID))
+    return F.aggregate(F.zip_with(nodes, weights, lambda u, w: w * f(u)), F.lit(0.0), lambda total, x: total + x)
+
+
+def pearson_p(r: Column, n: Column) -> Column:
+    """Two-sided p of Pearson r with n pairs, inside the JVM: with t = sqrt(df)
+    tan(a) the tail of Student's t is the share of cos(a)^(df - 1) beyond a.
+    NULL without r or with two pairs or fewer."""
+    r, df = r.cast("double"), n.cast("double") - 2
+    start = F.asin(F.abs(r))                   # tan(a) = |r| / sqrt(1 - r^2)
+    width = F.lit(12.0) / F.sqrt(df)           # the density has dropped by e^-72 there
+
+    def mass(begin: Column) -> Column:
+        length = F.least(F.lit(math.pi / 2) - begin, width)
+        return length * _integral(lambda u: F.pow(F.cos(begin + length * u), df - 1))
+    p = F.when(F.abs(r) >= 1, 0.0).otherwise(F.least(F.lit(1.0), F.try_divide(mass(start), mass(F.lit(0.0)))))
+    return F.when(r.isNotNull() & ~F.isnan(r) & (df > 0), p)
+
+
+def normal_p(z: Column) -> Column:
+    """Two-sided p of a standard normal statistic, inside the JVM: its density
+    at z times the integral of exp(-z u - u^2 / 2). NULL without z; p of an
+    infinite z is 0."""
+    z = F.abs(z.cast("double"))
+    length = F.least(F.lit(12.0), F.lit(40.0) / F.greatest(z, F.lit(1.0)))
+    tail = length * _integral(lambda u: F.exp(-z * length * u - F.pow(length * u, F.lit(2.0)) / 2))
+    p = F.lit(math.sqrt(2 / math.pi)) * F.exp(-z * z / 2) * tail
+    return F.when(z.isNotNull() & ~F.isnan(z), F.when(z > 1e3, 0.0).otherwise(F.least(F.lit(1.0), p)))
 
 
 def with_pearson_p(df: DataFrame, r: str = "r", n: str = "n", out: str = "pvalue") -> DataFrame:
-    return df.withColumn(out, _pearson_p_udf(F.col(r).cast("double"), F.col(n).cast("double")))
+    return df.withColumn(out, pearson_p(F.col(r), F.col(n)))
 
 
 def with_normal_p(df: DataFrame, z: str = "z", out: str = "pvalue") -> DataFrame:
-    return df.withColumn(out, _normal_p_udf(F.col(z).cast("double")))
+    return df.withColumn(out, normal_p(F.col(z)))
 
 
 # --- correlations ----------------------------------------------------------
@@ -108,15 +135,24 @@ def difficulty_correlations(joined: DataFrame, with_p: bool = False) -> DataFram
     return with_pearson_p(out) if with_p else out
 
 
+#: up to so many models each pair is an expression of one plan
+_EXPRESSION_MODELS = 16
+
+
 def pairwise_correlations(responses: DataFrame, models, keys=("question_index",), with_p: bool = False) -> DataFrame:
     """Full M x M Pearson matrix (self included, mirrored) of p_correct
     (NaN -> 0) across the questions that both models answered, with their
-    number; NULL for a model without variance. One pivot (shuffle on the question key)
-    and one aggregate with M(M+1)/2 ``corr`` expressions; no row pairs."""
+    number; NULL for a pair without variance (in the pair's own questions). Up
+    to 16 models: one pivot (shuffle on the question key) and one aggregate
+    with M(M+1)/2 ``corr`` expressions. Beyond, ``_gram_correlations``, whose
+    plan does not grow with the models. No row pairs either way."""
     models = list(models)
     p = nan_to_zero(p_correct("clls", "correct_answer"))
-    wide = responses.select(*keys, "model", p.alias("_p")).groupBy(*keys).agg(
-        *[F.max(F.when(F.col("model") == m, F.col("_p"))).alias(m) for m in models])
+    scores = responses.select(*keys, "model", p.alias("_p"))
+    if len(models) > _EXPRESSION_MODELS:
+        out = _gram_correlations(scores, models, list(keys))
+        return with_pearson_p(out) if with_p else out
+    wide = scores.groupBy(*keys).agg(*[F.max(F.when(F.col("model") == m, F.col("_p"))).alias(m) for m in models])
     rows = []
     aggs = []
     for i, a in enumerate(models):
@@ -129,6 +165,49 @@ def pairwise_correlations(responses: DataFrame, models, keys=("question_index",)
     return with_pearson_p(out) if with_p else out
 
 
+def _gram_correlations(scores: DataFrame, models: list[str], keys: list[str]) -> DataFrame:
+    """Pairwise r and n from Gram matrices. Each question's scores (at most one
+    a model) meet in one row; a task multiplies matrices of 2,000 questions x
+    models, with a mask of the answers present, into the sums of x, xx, xy and
+    the number of common questions, and returns one row per model pair, summed
+    by Spark. A pair counts as without variance where what is left of xx after
+    centring is below 1e-12 of it."""
+    names = pa.array(models, pa.string())
+    m = len(models)
+    per_question = (scores.where(F.col("model").isin(models) & F.col("_p").isNotNull())
+                    .groupBy(*keys, "model").agg(F.max("_p").alias("_p"))
+                    .groupBy(*keys).agg(F.collect_list("model").alias("m"), F.collect_list("_p").alias("p")))
+
+    def gram(batches):
+        total = np.zeros((4, m, m))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                which, value = batch.column(0).slice(at, 2000), batch.column(1).slice(at, 2000)
+                row = np.repeat(np.arange(len(which)), pc.list_value_length(which).to_numpy(zero_copy_only=False))
+                col = pc.index_in(which.flatten(), names).to_numpy(zero_copy_only=False)
+                x, there = np.zeros((len(which), m)), np.zeros((len(which), m))
+                x[row, col], there[row, col] = value.flatten().to_numpy(zero_copy_only=False), 1.0
+                total += there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x
+        i, j = np.nonzero(np.triu(total[0]))
+        for k in range(0, len(i), 10_000):
+            a, b = i[k:k + 10_000], j[k:k + 10_000]
+            n, sx, sxx, sxy = total
+            yield pa.RecordBatch.from_pydict({"i": a, "j": b, "n": n[a, b].astype(np.int64), "x": sx[a, b], "y": sx[b, a],
+                                              "xx": sxx[a, b], "yy": sxx[b, a], "xy": sxy[a, b]})
+
+    sums = (per_question.select("m", "p").mapInArrow(gram, "i long, j long, n long, x double, y double, xx double, yy double, xy double")
+            .groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")]))
+    left = lambda s, ss: F.when(ss - s * s / F.col("n") > 1e-12 * ss, ss - s * s / F.col("n"))
+    r = F.try_divide(F.col("xy") - F.col("x") * F.col("y") / F.col("n"),
+                     F.sqrt(left(F.col("x"), F.col("xx"))) * F.sqrt(left(F.col("y"), F.col("yy"))))
+    # every pair has a row, also one without a common question (n = 0)
+    ids = scores.sparkSession.range(m * m).select(F.expr(f"id div {m}").alias("a"), (F.col("id") % m).alias("b"))
+    name = lambda c: F.element_at(F.lit(models), (F.col(c) + 1).cast("int"))
+    found = sums.select(F.col("i").alias("lo"), F.col("j").alias("hi"), r.alias("r"), "n")
+    return (ids.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).join(found, ["lo", "hi"], "left")
+            .select(name("a").alias("m1"), name("b").alias("m2"), "r", F.coalesce("n", F.lit(0)).alias("n")))
+
+
 def best_peer(pairs: DataFrame) -> DataFrame:
     """Per model, the other model with the highest r (self excluded; ties to
     the later name)."""

@@ -186,7 +186,7 @@ def q_step_plan(spark, sf):
 # --- prompts ---------------------------------------------------------------
 
 from quizspark.functions import prompts as P  # noqa: E402
-from quizspark.functions.text import STOP_WORDS, word_count  # noqa: E402
+from quizspark.functions.text import STOP_WORDS, format_stat, word_count  # noqa: E402
 from quizspark.operators import filters as Fl  # noqa: E402
 from quizspark.operators import stats as St  # noqa: E402
 
@@ -398,6 +398,28 @@ def q_pairwise_corr(spark, sf):
     return rounded(St.pairwise_correlations(I.responses(spark, sf), I.MODELS))
 
 
+def _cell(df):
+    """The report's cell: r or z to two places, starred where p < 0.05."""
+    stat = "r" if "r" in df.columns else "z"
+    return rounded(df.withColumn("cell", format_stat(stat, "pvalue")))
+
+
+@query("difficulty_corr_p")
+def q_difficulty_corr_p(spark, sf):
+    joined = J.join_on_index(I.responses(spark, sf), I.master_questions(spark, sf))
+    return _cell(St.difficulty_correlations(joined, with_p=True))
+
+
+@query("pairwise_corr_p")
+def q_pairwise_corr_p(spark, sf):
+    return _cell(St.pairwise_correlations(I.responses(spark, sf), I.MODELS, with_p=True))
+
+
+@query("calibration_p")
+def q_calibration_p(spark, sf):
+    return _cell(St.calibration(I.responses(spark, sf), with_p=True))
+
+
 @query("best_peer")
 def q_best_peer(spark, sf):
     return St.best_peer(rounded(St.pairwise_correlations(I.responses(spark, sf), I.MODELS)))

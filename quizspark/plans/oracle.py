@@ -418,6 +418,38 @@ SELECT model, round(ln(p0 / (1 - p0)), 9) AS intercept, round(ln(p1 / (1 - p1))
 FROM g""",
 })
 
+# p-values by Simpson's rule with 4,000 steps: cos(a)^(df - 1) beyond a = asin(|r|)
+# for Student's t, exp(-z u - u^2 / 2) for the normal tail; ``rows`` has r and n, or z.
+_SIMPSON = """, k AS (SELECT i / 4000.0::double AS u, CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w
+       FROM range(4001) t(i))"""
+_T_TAIL = _SIMPSON + """,
+a AS (SELECT *, asin(least(abs(r), 1)) AS s, 12 / sqrt(greatest(n - 2, 1)) AS wd, n - 2 AS df FROM rows_p),
+b AS (SELECT *, least(pi() / 2 - s, wd) AS l1, least(pi() / 2, wd) AS l0 FROM a),
+tail AS (SELECT id, CASE WHEN any_value(r) IS NULL OR any_value(df) <= 0 THEN NULL WHEN abs(any_value(r)) >= 1 THEN 0
+              ELSE least(1, any_value(l1) * sum(w * pow(abs(cos(s + l1 * u)), df - 1))
+                            / (any_value(l0) * sum(w * pow(abs(cos(l0 * u)), df - 1)))) END AS p
+         FROM b CROSS JOIN k GROUP BY id)
+"""
+_CELL = "printf('%.2f%s', round({0}, 2) + 0, CASE WHEN p < 0.05 THEN '*' ELSE ' ' END) AS cell"
+SQL["difficulty_corr_p"] = (
+    SQL["difficulty_corr"].split("\nSELECT model, n_iod")[0] + """,
+rows_p AS (SELECT model || m AS id, * FROM (
+    SELECT model, n_iod AS n, 'IOD' AS m, iod AS r FROM c UNION ALL SELECT model, n_di, 'DI', di FROM c
+    UNION ALL SELECT model, n_hum, 'Human', hum FROM c) t)""" + _T_TAIL
+    + "SELECT model, n, m AS metric, round(r, 9) AS r, round(p, 9) AS pvalue, " + _CELL.format("r") + " FROM rows_p JOIN tail USING (id)")
+SQL["pairwise_corr_p"] = (
+    _PAIRS + ",\nrows_p AS (SELECT m1 || ' ' || m2 AS id, m1, m2, r, n FROM pairs)" + _T_TAIL
+    + "SELECT m1, m2, round(r, 9) AS r, n, round(p, 9) AS pvalue, " + _CELL.format("r") + " FROM rows_p JOIN tail USING (id)")
+_cal = SQL["calibration"].split("\nSELECT model, round(ln(p0")
+SQL["calibration_p"] = _cal[0] + """,
+h AS (SELECT model, ln(p0 / (1 - p0)) AS b0, ln(p1 / (1 - p1)) - ln(p0 / (1 - p0)) AS b1,
+             sqrt(1 / (n1 * p1 * (1 - p1)) + 1 / (n0 * p0 * (1 - p0))) AS se FROM g),
+q AS (SELECT *, b1 / se AS z, abs(b1 / se) AS az, least(12, 40 / greatest(abs(b1 / se), 1)) AS l FROM h)""" + _SIMPSON + """,
+tail AS (SELECT model, least(1, sqrt(2 / pi()) * exp(-any_value(az * az) / 2) * any_value(l) / 12000
+                                * sum(w * exp(-az * l * u - l * u * l * u / 2))) AS p FROM q CROSS JOIN k GROUP BY model)
+SELECT model, round(b0, 9) AS intercept, round(b1, 9) AS slope, round(se, 9) AS se, round(z, 9) AS z, round(p, 9) AS pvalue,
+       """ + _CELL.format("z") + " FROM q JOIN tail USING (model)"
+
 _oc = _category_sql("raw").strip("\n")
 SQL["ordered_category_table"] = _oc.replace(
     "\nSELECT cnt.Category, cnt.Count,",

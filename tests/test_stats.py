@@ -241,3 +241,71 @@ def test_oracle_needs_no_files_beside_pyspark(monkeypatch):
     from quizspark.plans import oracle
     monkeypatch.setattr(pyspark, "__file__", "/nowhere/pyspark.zip/pyspark/__init__.py")
     assert all(isinstance(v, str) for v in oracle.oracle_sql().values())
+
+
+def test_p_columns_equal_the_helpers(spark):
+    rows = [(r, n) for r in (0.0, 1e-6, -0.01, 0.05, -0.3, 0.8, 0.999, -1.0, 1.0) for n in (3, 4, 5, 12, 250, 40_000, 3_000_000)]
+    got = spark.createDataFrame(rows, "r double, n long").select("r", "n", St.pearson_p(F.col("r"), F.col("n")).alias("p")).collect()
+    for x in got:
+        assert abs(x.p - float(St.pearson_pvalue(x.r, x.n))) < 1e-10, (x.r, x.n)
+    z = [0.0, 1e-9, 0.1, -1.959963985, 3.0, 8.0, -25.0, 37.0, 500.0, 1e9]
+    got = spark.createDataFrame([(v,) for v in z], "z double").select("z", St.normal_p(F.col("z")).alias("p")).collect()
+    for x in got:
+        want = math.erfc(abs(x.z) / math.sqrt(2))
+        assert abs(x.p - want) <= 1e-10 * want + 1e-300, x.z
+    odd = spark.createDataFrame([(None, 9), (float("nan"), 9), (0.3, 2), (0.3, None)], "r double, n long")
+    assert all(x.p is None and x.q is None for x in odd.select(St.pearson_p(F.col("r"), F.col("n")).alias("p"),
+                                                              St.normal_p(F.when(F.col("n") != 2, F.lit(None)).otherwise(F.lit(None))).alias("q")).collect())
+
+
+def _scores(spark, models, questions, seed=5):
+    """(question_index, model, _p): gaps, a constant model, a model alone."""
+    rng = np.random.default_rng(seed)
+    base = rng.random(questions)
+    rows = []
+    for m in range(models):
+        for q in range(questions):
+            if m == 1:
+                rows.append((q, "m1", 0.25))
+            elif m == 2 and q >= 2:
+                continue
+            elif rng.random() < 0.8:
+                rows.append((q, f"m{m}", float(0.5 * base[q] + 0.5 * rng.random())))
+    return spark.createDataFrame(rows, "question_index long, model string, _p double")
+
+
+def test_gram_correlations_equal_pandas(spark):
+    df = _scores(spark, 20, 120)
+    models = [f"m{i}" for i in range(20)] + ["never seen"]
+    got = {(r.m1, r.m2): r for r in St._gram_correlations(df, models, ["question_index"]).collect()}
+    assert set(got) == {(a, b) for a in models for b in models}
+    wide = df.toPandas().pivot(index="question_index", columns="model", values="_p")
+    for a in models:
+        for b in models:
+            if "never seen" in (a, b):
+                assert got[a, b].n == 0 and got[a, b].r is None
+                continue
+            both = wide[[a]].notna().to_numpy()[:, 0] & wide[[b]].notna().to_numpy()[:, 0]
+            x, y = wide[a].to_numpy()[both], wide[b].to_numpy()[both]
+            assert got[a, b].n == both.sum()
+            if both.sum() < 2 or "m1" in (a, b):
+                assert got[a, b].r is None
+            else:
+                assert abs(got[a, b].r - np.corrcoef(x, y)[0, 1]) < 1e-9
+
+
+def test_many_models_by_gram_matrices(spark):
+    """400 models: the plan does not grow, and both ways agree on the first."""
+    few = [f"m{i}" for i in range(3, 9)]
+    many = [f"m{i}" for i in range(400)]
+    rows = [(q, m, ["A", "B"][q % 2], [math.log(0.05 + 0.9 * ((q * 31 + i * 17 + q * i) % 97) / 100)] * 5)
+            for q in range(40) for i, m in enumerate(many)]
+    resp = spark.createDataFrame(rows, "question_index long, model string, correct_answer string, clls array<double>")
+    wide = St.pairwise_correlations(resp, many, with_p=True)
+    assert len(wide._jdf.queryExecution().optimizedPlan().toString()) < 400_000
+    got = {(r.m1, r.m2): r for r in wide.where(F.col("m1").isin(few) & F.col("m2").isin(few)).collect()}
+    want = St.pairwise_correlations(resp, few, with_p=True).collect()
+    assert len(want) == 36 == len(got)
+    for w in want:
+        assert abs(w.r - got[w.m1, w.m2].r) < 1e-9 and w.n == got[w.m1, w.m2].n == 40
+        assert abs(w.pvalue - got[w.m1, w.m2].pvalue) < 1e-9 or abs(w.r) > 1 - 1e-9
