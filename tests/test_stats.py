@@ -309,3 +309,14 @@ def test_many_models_by_gram_matrices(spark):
     for w in want:
         assert abs(w.r - got[w.m1, w.m2].r) < 1e-9 and w.n == got[w.m1, w.m2].n == 40
         assert abs(w.pvalue - got[w.m1, w.m2].pvalue) < 1e-9 or abs(w.r) > 1 - 1e-9
+
+
+def test_responses_and_questions_are_never_broadcast(spark, tmp_path):
+    """A side of a few bytes a row on disk unfolds into wide rows in memory."""
+    from quizspark.operators.joins import join_on_index
+    spark.range(2000).select(F.col("id").alias("question_index")).write.parquet(str(tmp_path / "q"))
+    q = spark.read.parquet(str(tmp_path / "q"))
+    r = q.select("question_index", F.explode(F.array(F.lit("m1"), F.lit("m2"))).alias("model"))
+    joined = join_on_index(r, q.withColumn("Answer", F.lit("A")))
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 4000
