@@ -60,6 +60,17 @@ def test_word_count_matches_python_split(spark):
     assert got == [len(t.split()) if t is not None else 0 for t in texts]
 
 
+def test_words_are_counted_without_a_pattern_and_once(spark):
+    """A pattern made a list of all words, twice a row in the completion split."""
+    odd = " \u00a0a\x1cb\u2003\U0001F600c\u200bd\u3000 \x85e\t"
+    df = spark.createDataFrame([(odd,), (None,)], "text string")
+    out = df.select(*[c.alias(n) for n, c in P.completion_split("text", max_words=3).items()])
+    assert [(r["n_words"], r["over_budget"]) for r in out.collect()] == [(len(odd.split()), True), (0, False)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan and plan.count("ArrowEvalPython") == 1
+    assert out.schema["n_words"].dataType.simpleString() == "bigint"
+
+
 def test_format_stat(spark):
     df = spark.createDataFrame([(0.1234, 0.01), (0.5, 0.2), (-0.126, 0.049)], "s double, p double")
     got = [r[0] for r in df.select(format_stat("s", "p")).collect()]
