@@ -60,3 +60,29 @@ def test_empty_and_tiny(spark):
     none = spark.createDataFrame([], "id long, vec array<double>")
     assert N.approximate_knn(none, 3).count() == 0
     assert N.approximate_knn(_frame(spark, 3), 5, metric="euclidean").groupBy("id").count().where("count <> 2").count() == 0
+
+
+@pytest.mark.parametrize("apart", [True, False])
+def test_nearest_is_a_full_sort_with_ties_to_the_lower_id(apart):
+    rng = np.random.default_rng(3)
+    for m, n, k in ((7, 300, 5), (40, 3, 5), (1, 1, 2), (50, 64, 10)):
+        ids, others = rng.permutation(m), rng.permutation(n) + (100 if apart else 0)
+        d = rng.integers(0, 6, (m, n)) / 4.0  # many ties
+        d[rng.random((m, n)) < 0.1] = np.nan
+        want = [(i, o, x) for i, row in zip(ids, d) for x, o in sorted((x, o) for x, o in zip(row, others) if x == x and o != i)[:k]]
+        for axis, side in ((1, d), (0, np.ascontiguousarray(d.T))):
+            assert list(zip(*(x.tolist() for x in N.nearest(ids, others, side, k, apart, axis)))) == want
+
+
+def test_vectors_shuffled_by_the_exact_graph_grow_as_the_rows(spark):
+    """Blocks grow with the rows, so a vector goes to a bounded number of them."""
+    df = _frame(spark, 1200, dim=4)
+    graph = C.knn_graph(df, 3, block_size=8)  # 150 blocks before
+    plan = graph._jdf.queryExecution().optimizedPlan().toString()
+    assert f"% {C.MANY_BLOCKS})" in plan and "% 150)" not in plan
+    best = np.array([r["v"] for r in df.select(F.col("vec").alias("v")).orderBy("id").collect()])
+    unit = best / np.linalg.norm(best, axis=1, keepdims=True)
+    d = 1 - unit @ unit.T
+    np.fill_diagonal(d, np.inf)
+    got = {(r["id"], r["rank"]): r["nbr"] for r in graph.collect()}
+    assert all(got[i, j + 1] == o for i, row in enumerate(np.argsort(d, axis=1)[:, :3]) for j, o in enumerate(row))
