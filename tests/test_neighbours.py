@@ -86,3 +86,11 @@ def test_vectors_shuffled_by_the_exact_graph_grow_as_the_rows(spark):
     np.fill_diagonal(d, np.inf)
     got = {(r["id"], r["rank"]): r["nbr"] for r in graph.collect()}
     assert all(got[i, j + 1] == o for i, row in enumerate(np.argsort(d, axis=1)[:, :3]) for j, o in enumerate(row))
+
+
+def test_settled_neighbourhoods_do_not_meet_again(spark):
+    df = _frame(spark, 400)
+    exact = C.knn_graph(df, 5, metric="euclidean").withColumn("dims", F.lit(-1))
+    v = df.select("id", F.col("vec").alias("v"))
+    assert N._meetings(exact.withColumn("new", F.lit(False)), v, 5, "euclidean", 4).count() == 0
+    assert N._meetings(exact.withColumn("new", F.col("id") < 3), v, 5, "euclidean", 4).count() > 0
