@@ -18,9 +18,12 @@ _U = np.uint64
 def mix(x: np.ndarray, seed: int) -> np.ndarray:
     """A bijective mixing of 64-bit numbers (public finaliser constants)."""
     x = x.astype(_U) + _U((0x9E3779B97F4A7C15 * (seed + 1)) & (2 ** 64 - 1))
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+    x ^= x >> _U(30)
+    x *= _U(0xBF58476D1CE4E5B9)
+    x ^= x >> _U(27)
+    x *= _U(0x94D049BB133111EB)
+    x ^= x >> _U(31)
+    return x
 
 
 def build(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -51,6 +51,8 @@ OUT_ROWS = 500
 _HALF = (np.arange(1 << 16) + 0.5) / (1 << 16)
 #: -ln u of 16-bit uniforms; two of them add up to a Gamma(2, 1) number.
 _LOG = (-np.log(_HALF)).astype(np.float32)
+#: 1 - b of 16-bit uniforms.
+_REST = 1 - (np.arange(1 << 16).astype(np.uint16) + np.float32(0.5)) * np.float32(1 / (1 << 16))
 
 
 def _gamma_quantiles() -> np.ndarray:
@@ -74,8 +76,9 @@ def _draws(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h = mix(terms[:, None] ^ _STEP[None, :], 0)
     parts = h.view(np.uint16).reshape(*h.shape, 4)
     r = _GAMMA[parts[..., 0]]
-    rest = 1 - (parts[..., 1] + np.float32(0.5)) * np.float32(1 / (1 << 16))
-    return r, rest, np.log(_LOG[parts[..., 2]] + _LOG[parts[..., 3]])
+    log_c = _LOG[parts[..., 2]]
+    log_c += _LOG[parts[..., 3]]
+    return r, _REST[parts[..., 1]], np.log(log_c, out=log_c)
 
 
 def words_of(text: str) -> list[bytes]:
@@ -93,32 +96,56 @@ def words_of(text: str) -> list[bytes]:
     return out
 
 
+def _hashes(words: list[bytes]) -> np.ndarray:
+    """Hash of every shingle of ``SHINGLE_WORDS`` words."""
+    n = max(0, len(words) - SHINGLE_WORDS + 1)
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE_WORDS))))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, shingles), dtype=np.uint64, count=n)
+
+
+def _terms(words: list[bytes]) -> np.ndarray:
+    if 0 < len(words) < SHINGLE_WORDS:
+        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words))], np.uint64)
+    return _hashes(words)
+
+
 def term_hashes(text: str) -> np.ndarray:
     """Hash of every term, repeats included."""
-    words = words_of(text)
-    if len(words) >= SHINGLE_WORDS:
-        words = [b" ".join(g) for g in zip(*(words[i:] for i in range(SHINGLE_WORDS)))]
-    elif words:
-        words = [b" ".join(words)]
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+    return _terms(words_of(text))
+
+
+def edited_hashes(text: str, new: str, head: int) -> list[np.ndarray]:
+    """Term hashes of ``text`` and of ``new``, which has the same first ``head``
+    characters: the terms of the whole words among these are hashed once."""
+    at = max(map(text.rfind, " \n\t\r\v\f", [0] * 6, [head] * 6))
+    whole = words_of(text[:at]) if at > 0 else []
+    if len(whole) < SHINGLE_WORDS:
+        return [term_hashes(text), term_hashes(new)]
+    start, last = _hashes(whole), whole[1 - SHINGLE_WORDS:]
+    return [np.concatenate([start, _hashes(last + words_of(t[at:]))]) for t in (text, new)]
 
 
 def signatures(texts: list[str]) -> np.ndarray:
     """A row of samples (uint16) per text; draws that several texts need are
     made once."""
-    hashed = [term_hashes(t) for t in texts]
+    return hashed_signatures([term_hashes(t) for t in texts])
+
+
+def hashed_signatures(hashed: list[np.ndarray]) -> np.ndarray:
+    """``signatures`` of the texts whose term hashes these are."""
     terms, at = np.unique(np.concatenate(hashed), return_inverse=True)
-    out = np.zeros((len(texts), SAMPLES), np.uint16)
+    out = np.zeros((len(hashed), SAMPLES), np.uint16)
     if not len(terms):
         return out
     cuts = np.cumsum([0] + [len(h) for h in hashed])
     weights = np.stack([np.bincount(at[s:e], minlength=len(terms)) for s, e in zip(cuts, cuts[1:])])
-    least = np.full((len(texts), SAMPLES), np.inf, np.float32)
+    least = np.full((len(hashed), SAMPLES), np.inf, np.float32)
     column = np.arange(SAMPLES)
     for s in range(0, len(terms), CHUNK_TERMS):
         part = terms[s:s + CHUNK_TERMS]
         r, rest, log_c = _draws(part)
-        once = log_c - r * rest  # weight 1: t = 0
+        once = r * rest
+        np.subtract(log_c, once, out=once)  # weight 1: t = 0
         for i, w in enumerate(weights[:, s:s + CHUNK_TERMS]):
             held, many = np.flatnonzero(w), np.flatnonzero(w > 1)
             if not len(held):
@@ -225,7 +252,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def row(doc_id, text: str, following: str) -> tuple[tuple, np.ndarray]:
         """(all but near_next, signature); the draws serve both texts."""
         new = edited(text, following)
-        sig, new_sig = signatures([text, new])
+        sig, new_sig = hashed_signatures(edited_hashes(text, new, len(text) - len(text) // 4))
         sha = hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest()
         return (doc_id, len(text), sha, written(sig), written(new_sig), likeness(sig, new_sig)), sig
 

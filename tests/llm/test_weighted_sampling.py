@@ -109,3 +109,22 @@ def test_odd_rows_empty_and_single(docs_of, odd, empty):
 def test_query_on_the_small_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").collect()]
     assert _got(q.op13_fingerprints(spark, SF_SMALL)) == brute(rows)
+
+
+def test_terms_that_a_text_shares_with_its_edit_are_hashed_once(monkeypatch):
+    import random
+    from quizspark.llm import weighted_sampling as W
+    rng = random.Random(2)
+    odd = ["".join(rng.choice(" ab\n\t\x0b\x0c\ré" + "x" * k) for _ in range(rng.randint(0, 60))) for k in (0, 3, 40, 80) * 100]
+    for a, b in zip(odd, odd[1:]):
+        new = W.edited(a, b)
+        got = W.edited_hashes(a, new, len(a) - len(a) // 4)
+        assert [x.tolist() for x in got] == [W.term_hashes(a).tolist(), W.term_hashes(new).tolist()]
+    made, hashed = [], W.xxhash.xxh3_64_intdigest
+
+    class Counted:
+        xxh3_64_intdigest = staticmethod(lambda x: made.append(x) or hashed(x))
+    monkeypatch.setattr(W, "xxhash", Counted)
+    text = " ".join(f"w{i}" for i in range(400))
+    W.edited_hashes(text, W.edited(text, "z " * 500), len(text) - len(text) // 4)
+    assert len(made) < 650  # about 800 where each text is hashed by itself
