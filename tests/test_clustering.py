@@ -70,3 +70,37 @@ def test_embed_prompts_unit_norm(spark):
     e = C.embed_prompts(df).select(vector_to_array("embedding").alias("v")).collect()
     for r in e:
         assert abs(sum(x * x for x in r["v"]) - 1.0) < 1e-9
+
+
+def test_top_words_of_many_chunks_are_those_of_one_table(spark):
+    """Repeated and null ids, null and single-text clusters, chunks of a few texts;
+    term counts stay in their chunk."""
+    import math
+    import re
+    from collections import Counter, defaultdict
+    r = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(40)] + ["the", "Éa", "x"]
+    rows = [(i % 50 if i % 11 else None, " ".join(r.choice(words, r.integers(0, 25))), ["a", "b", None][i % 3]) for i in range(90)]
+    rows += [(1000, "alone in here", "c"), (1001, None, "a"), (1002, "", "b")]
+    tf, n = defaultdict(Counter), Counter(c for _, _, c in rows)
+    for doc, text, c in rows:
+        t = [w for w in re.findall(r"\w{2,}", (text or "").lower()) if w != "the"]
+        tf[c, doc].update(t + [f"{x} {y}" for x, y in zip(t, t[1:])])
+    df = Counter((c, t) for (c, _), counts in tf.items() for t in counts)
+    w = {(c, d, t): x * (math.log((n[c] + 1) / (df[c, t] + 1)) + 1) for (c, d), counts in tf.items() if c and n[c] > 1 for t, x in counts.items()}
+    norm, score = Counter(), Counter()
+    for (_, d, _), x in w.items():
+        norm[d] += x * x
+    for (c, d, t), x in w.items():
+        if d is not None:
+            score[c, t] += x / math.sqrt(norm[d])
+    want = [(c, i + 1, t, -s) for c in "ab" for i, (s, t) in
+            enumerate(sorted((-round(s, 6), t) for (k, t), s in score.items() if k == c)[:10])]
+    frame = spark.createDataFrame(rows, "id long, prompt string, cluster string").repartition(4)
+    for chars in (100, 10 ** 6):
+        got = C.cluster_top_words(frame, stop_words=["the"], digits=6, chunk_chars=chars)
+        assert [(x["cluster"], x["rank"], x["term"]) for x in got.orderBy("cluster", "rank").collect()] == [x[:3] for x in want]
+        assert np.allclose([x["score"] for x in got.orderBy("cluster", "rank").collect()], [x[3] for x in want], atol=2e-6)
+        plan = got._jdf.queryExecution().toString()
+        assert not re.search(r"Exchange hashpartitioning\([^)]*doc#", plan)
+    assert C.cluster_top_words(frame.limit(0)).count() == 0
