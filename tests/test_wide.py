@@ -45,3 +45,21 @@ def test_low_rank_and_empty(spark):
     rows = W.embed_wide(df, "id", "text", k=3).collect()
     assert len(rows) == 5 and all(abs(r["embedding"][0] - 1) < 1e-9 and np.abs(r["embedding"][1:]).max() < 1e-6 for r in rows)
     assert W.embed_wide(df.limit(0), "id", "text", k=3).count() == 0
+
+
+def test_a_block_too_large_to_broadcast_gives_the_same(spark, monkeypatch):
+    """Repeated and null ids too; the matrix is saved once and never shuffled again."""
+    df = _texts(spark, 120)
+    df = df.union(df.where("id < 110")).union(spark.createDataFrame([(None, "topic1w1 lost")], "id long, text string"))
+
+    def sums(rows):
+        return sorted((r["id"] is not None, r["id"] or 0, [round(x, 5) for x in r["embedding"]]) for r in rows)
+    pulled = []
+    whole = W._pull
+    monkeypatch.setattr(W, "_pull", lambda *a: pulled.append(1) or whole(*a))
+    got = sums(W.embed_wide(df, "id", "text", k=4).collect())
+    assert not pulled and len(got) == df.count()
+    monkeypatch.setattr(W, "BLOCK_BYTES", 0)
+    want = sums(W.embed_wide(df, "id", "text", k=4).collect())
+    assert pulled and [x[:2] for x in got] == [x[:2] for x in want]
+    assert np.allclose([x[2] for x in got], [x[2] for x in want], atol=1e-5)
