@@ -94,3 +94,28 @@ def test_settled_neighbourhoods_do_not_meet_again(spark):
     v = df.select("id", F.col("vec").alias("v"))
     assert N._meetings(exact.withColumn("new", F.lit(False)), v, 5, "euclidean", 4).count() == 0
     assert N._meetings(exact.withColumn("new", F.col("id") < 3), v, 5, "euclidean", 4).count() > 0
+
+
+@pytest.mark.parametrize("candidate_bytes", [1 << 25, 40_000])
+def test_nested_lists_are_exact_beyond_the_rows_of_one_graph(spark, monkeypatch, candidate_bytes):
+    """Graphs over nested dimensions stay exact for ``exact_rows`` rows each; equal
+    vectors are at distance 0, copies of an id share a list."""
+    from quizspark.operators import neighbours as N
+    monkeypatch.setattr(N, "CANDIDATE_BYTES", candidate_bytes)
+    monkeypatch.setattr(C, "approximate_knn", None)
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(900, 7)), 1)
+    x[600:640] = x[:40]
+    ids = list(range(899)) + [5]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "id long, vec array<double>")
+    rows = C.neighbour_graph(df, 6, metric="euclidean", prefix_dims=[2, 5, 7], exact_rows=400).collect()
+    assert len({(r["dims"], r["id"], r["rank"]) for r in rows}) == len(rows) == 3 * 899 * 6
+    for dims in (2, 5, 7):
+        got = {}
+        for r in sorted((r for r in rows if r["dims"] == dims), key=lambda r: r["rank"]):
+            got.setdefault(r["id"], []).append((r["nbr"], r["dist"]))
+        for i in (0, 7, 333, 610, 898):
+            d = np.sqrt(((x[:, :dims] - x[i, :dims]) ** 2).sum(1))
+            want = sorted((a, n) for a, n in zip(d, ids) if n != i)[:6]
+            assert np.allclose([a for _, a in got[i]], [a for a, _ in want])
+        assert got[610][0][1] == 0.0
