@@ -53,3 +53,42 @@ def test_cluster_search_finds_planted_groups_and_learns(spark):
     groups = [[found[g * 60 + i] for i in range(60)] for g in range(8)]
     common = [max(set(g) - {-1}, key=g.count) for g in groups]
     assert len(set(common)) == 8 and all(g.count(c) >= 45 for g, c in zip(groups, common))
+
+
+def test_trials_of_many_edges_are_read_as_forests(spark, monkeypatch):
+    """A trial's graph of more than max_edges edges, whose points are fewer, is
+    not walked through in rounds: its forest is enough, and gives the same."""
+    from quizspark.operators import hierarchy as H
+    rng = np.random.default_rng(8)
+    n = 120
+    rows = [(t, int(a), int(b), float(w)) for t in (3, 4) for a, b, w in zip(rng.integers(0, n, 2000), rng.integers(0, n, 2000), np.round(rng.random(2000), 2)) if a != b]
+    e = spark.createDataFrame(rows, "trial int, src long, dst long, mr double")
+    v = spark.createDataFrame([(t, i) for t in (3, 4) for i in range(n + 3)], "trial int, id long")
+    sizes = spark.createDataFrame([(3, 5), (4, 9)], "trial int, min_cluster_size int")
+    want = {(r["trial"], r["id"]): (r["cluster"], r["probability"]) for r in H.hierarchical_clusters(e, v, sizes, ["trial"]).collect()}
+
+    def never(*_):
+        raise AssertionError("a graph whose forest is small was walked through in rounds")
+    monkeypatch.setattr(H, "_large_graph", never)
+    monkeypatch.setattr(H, "PART_EDGES", 700)
+    got = H.hierarchical_clusters(e, v, sizes, ["trial"], max_edges=200).collect()
+    assert {(r["trial"], r["id"]): (r["cluster"], r["probability"]) for r in got} == want and len(got) == len(want)
+
+
+def test_least_forest_is_kruskals():
+    from quizspark.operators.hierarchy import least_forest
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 0), (30, 20), (40, 300), (200, 3000)):
+        u, v, w = rng.integers(0, n, m), rng.integers(0, n, m), np.round(rng.random(m), 1)
+        u, v = np.minimum(u, v), np.maximum(u, v)
+        up, want = list(range(n)), []
+
+        def top(i):
+            while up[i] != i:
+                i = up[i]
+            return i
+        for i in np.lexsort((v, u, w)):
+            if top(u[i]) != top(v[i]):
+                up[top(u[i])] = top(v[i])
+                want.append((w[i], u[i], v[i]))
+        assert [(w[i], u[i], v[i]) for i in least_forest(u, v, w)] == want
