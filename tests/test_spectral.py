@@ -1,6 +1,7 @@
 """Coordinates of the neighbour graph: nearer to a curved set than PCA's."""
 import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import functions as F
 
 from quizspark.operators import clustering as C
 from quizspark.operators.spectral import spectral_coordinates
@@ -62,3 +63,25 @@ def test_tiny_and_empty(spark):
     assert spectral_coordinates(none, 3).count() == 0
     two = spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0)], "id long, nbr long, dist double")
     assert all(len(r["reduced"]) == 3 and r["reduced"][1:] == [0.0, 0.0] for r in spectral_coordinates(two, 3).collect())
+
+
+def test_power_steps_shuffle_no_edges(spark):
+    """A row of the block goes once to each part; what a step makes is a row per point, not one per edge."""
+    from quizspark.operators import spectral as S
+    n = 1200
+    rng = np.random.default_rng(2)
+    knn = spark.createDataFrame([(i, int(j), float(d)) for i in range(n) for j, d in zip((i + 1 + rng.choice(n - 1, 12, replace=False)) % n, rng.random(12))],
+                                "id long, nbr long, dist double").repartition(4).cache()
+    s, _ = S._matrix(knn)
+    rows, parts = S._parts(s, n)
+    x = rows.select("id", "targets", (F.col("id") % 7).cast("double").alias("x0"), (F.col("id") % 5 - 2).cast("double").alias("x1"))
+    made = S._times(rows, parts, x, ["x0", "x1"], ["y0", "y1"]).collect()
+    w = np.zeros((n, n))
+    for r in s.collect():
+        w[r["src"], r["dst"]] += r["s"]
+    ids = np.arange(n)
+    block = np.column_stack([ids % 7, ids % 5 - 2]).astype(float)
+    got = {r["id"]: (r["x0"], r["x1"], r["y0"], r["y1"]) for r in made}
+    assert len(made) == n and parts > 1
+    assert np.allclose([got[i] for i in range(n)], np.hstack([w @ block, block]))
+    assert x.select(F.explode("targets")).count() <= n * parts < s.count()
