@@ -119,3 +119,40 @@ def test_nested_lists_are_exact_beyond_the_rows_of_one_graph(spark, monkeypatch,
             want = sorted((a, n) for a, n in zip(d, ids) if n != i)[:6]
             assert np.allclose([a for _, a in got[i]], [a for a, _ in want])
         assert got[610][0][1] == 0.0
+
+
+def test_nested_graphs_in_a_task_each_shuffle_nothing(spark):
+    from quizspark.session import saved
+    df = _frame(spark, 2500, copies=300).select("id", F.col("vec").alias("v")).transform(saved)
+    lists = N.descent_lists(df, 9, [3, 12], cell_rows=32)
+    assert "Exchange" not in lists._jdf.queryExecution().executedPlan().toString()
+    got = C._graph_rows(lists).cache()
+    exact = C._graph_rows(N.nested_lists(df, 9, [3, 12])).cache()
+    assert _recall(exact, got, ("dims",)) >= 0.98
+    assert got.groupBy("dims", "id").count().where("count <> 9").count() == 0 and got.where("id = nbr").count() == 0
+    both = got.join(exact.select("dims", "id", "nbr", F.col("dist").alias("true")), ["dims", "id", "nbr"])
+    assert both.count() and both.where(F.abs(F.col("dist") - F.col("true")) > 1e-9).count() == 0
+    # rows of one id share a list and are not neighbours of each other
+    twice = df.union(df.where("id < 50")).transform(saved)
+    rows = N.descent_lists(twice, 9, [3]).collect()
+    assert len(rows) == 2500 and all(r["id"] not in r["nbrs"] and len(set(r["nbrs"])) == len(r["nbrs"]) for r in rows)
+    assert N.descent_lists(df.limit(0), 3, [2]).count() == 0
+
+
+def test_what_a_saved_table_shuffled_is_freed(spark):
+    import time
+
+    from quizspark.session import saved
+
+    def files():
+        found = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.length()) if found.apply(i).getName().startswith("shuffle_")}
+    before, conf = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(conf)
+    df = spark.range(200_000).groupBy((F.col("id") % 50_000).alias("k")).agg(F.max("id").alias("m"))
+    out = df.transform(saved)
+    for _ in range(20):
+        if not (left := files() - before):
+            break
+        time.sleep(0.5)
+    assert not left and out.count() == 50_000 and spark.conf.get(conf) == was

@@ -92,3 +92,22 @@ def test_least_forest_is_kruskals():
                 up[top(u[i])] = top(v[i])
                 want.append((w[i], u[i], v[i]))
         assert [(w[i], u[i], v[i]) for i in least_forest(u, v, w)] == want
+
+
+def test_a_trial_in_a_task_of_its_own_is_the_distributed_one(spark, monkeypatch):
+    """Trials on neighbour lists, with copies and a neighbour that has no list: one
+    task each, without a shuffle, and the same clusters as by forests of parts."""
+    from quizspark.operators.neighbours import nested_lists
+    from quizspark.session import saved
+    df = _planted(spark).select("id", "e")
+    df = df.union(df.where("id < 40").selectExpr("id + 5000", "e"))
+    lists = nested_lists(df, 19, [3, 8], vec_col="e").where("id <> 7").withColumnRenamed("dims", "n_components").transform(lambda x: saved(x, by="n_components"))
+    trials = [(6, 3, 25), (19, 8, 30), (11, 8, 26)]
+    got = C.evaluate_trials(lists, trials, 4)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    got = {(r["trial"], r["id"]): (r["cluster"], round(r["probability"], 9)) for r in got.collect()}
+    monkeypatch.setattr(C, "PART_EDGES", 300)  # edges are read in parts
+    assert {(r["trial"], r["id"]): (r["cluster"], round(r["probability"], 9)) for r in C.evaluate_trials(lists, trials, 4).collect()} == got
+    monkeypatch.setattr(C, "MAX_EDGES", 0)
+    want = {(r["trial"], r["id"]): (r["cluster"], round(r["probability"], 9)) for r in C.evaluate_trials(lists, trials, 4).collect()}
+    assert got == want and len(want) == 3 * 669 and len({c for c, _ in want.values()}) > 3
