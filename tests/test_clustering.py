@@ -1,5 +1,6 @@
 """Clustering: exact kNN vs brute force, planted groups, scores."""
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quizspark.operators import clustering as C
@@ -104,3 +105,31 @@ def test_top_words_of_many_chunks_are_those_of_one_table(spark):
         plan = got._jdf.queryExecution().toString()
         assert not re.search(r"Exchange hashpartitioning\([^)]*doc#", plan)
     assert C.cluster_top_words(frame.limit(0)).count() == 0
+
+
+def test_chunks_of_top_words_tell_hashes_and_return_frequent_terms(spark):
+    """Of many rare terms a chunk sends some bytes, and only those that may be among
+    the best as text; a bound that was too high is noticed and the scores are made again."""
+    r = np.random.default_rng(1)
+    texts = [" ".join(["often"] * 3 + [f"t{x}" for x in r.integers(0, 4000, 60)]) for _ in range(200)]
+    frame = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "id long, prompt string, cluster string")
+    want = C.cluster_top_words(frame, chunk_chars=10 ** 9).collect()
+    chunks = [pa.table({"cluster": ["a"] * 50, "n": pa.array([200] * 50, pa.int64()), "doc": range(i, i + 50), "tok": [t.split() for t in texts[i:i + 50]]}) for i in range(0, 200, 50)]
+    told = pa.concat_tables([C._tell(i, t, 0) for i, t in enumerate(chunks)])
+    entries = len({(i // 50, w) for i, t in enumerate(texts) for s in [t.split()] for w in [*s, *map(" ".join, zip(s, s[1:]))]})
+    assert sum(len(x) for x in told["keys"].to_pylist()) == 8 * entries and told.nbytes < 16 * entries
+    back = C._reply(told)
+    parts = [C._chunk_scores(t, back.filter(pa.array([c == i for c in back["to_chunk"].to_pylist()])), 0, 10, 0.0, None) for i, t in enumerate(chunks)]
+    assert sum(p.num_rows for p in parts) < entries / 2 and all("often" in p["term"].to_pylist() for p in parts)
+    real = C._chunk_scores
+
+    def too_high(t, replies, bits, n_top, slack, least):
+        out = real(t, replies, bits, n_top, slack, least)
+        return out if least is not None else out.slice(0, 0) if not out.num_rows else out.filter(pa.array([x == "often" for x in out["term"].to_pylist()])).set_column(3, "least", pa.array([1e9] * out["term"].to_pylist().count("often"), pa.float64()))
+    C._chunk_scores = too_high
+    try:
+        got = C.cluster_top_words(frame, chunk_chars=4000).collect()
+    finally:
+        C._chunk_scores = real
+    for rows in (got, C.cluster_top_words(frame, chunk_chars=4000).collect()):
+        assert sorted((x["rank"], x["term"], round(x["score"], 6)) for x in rows) == sorted((x["rank"], x["term"], round(x["score"], 6)) for x in want)
